@@ -60,3 +60,14 @@ def n_words(text: Column) -> Column:
     """Number of words, 0 for null."""
     inner = trimmed(text)
     return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, SPACE_RUN))).cast("long")
+
+
+def folded(n: str, zero: str, step: str, item: str, kind: str) -> str:
+    """SQL for the list of ``item`` over i = 1..n, with a state ``s.k`` from ``zero`` by ``step``.
+
+    The list grows in blocks of 256, so a long one isn't copied at each step.
+    """
+    empty, nest = f"CAST(array() AS array<{kind}>)", f"CAST(array() AS array<array<{kind}>>)"
+    one = f"concat(s.cur, array({item}))"
+    body = f"aggregate(sequence(1, {n}), named_struct('k', {zero}, 'cur', {empty}, 'done', {nest}), (s, i) -> named_struct('k', {step}, 'cur', IF(size(s.cur) >= 255, {empty}, {one}), 'done', IF(size(s.cur) >= 255, concat(s.done, array({one})), s.done)), s -> flatten(concat(s.done, array(s.cur))))"
+    return f"IF({n} > 0, {body}, {empty})"

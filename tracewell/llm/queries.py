@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import mixing, simhash
+from tracewell.llm import langid, media, mixing, pii, quality, simhash, token_ids, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": langid.op1_langid,
+    "op2_quality": quality.op2_quality,
+    "op3_pii": pii.op3_pii,
+    "op4_token_ids": token_ids.op4_token_ids,
     "op5_simhash": simhash.op5_simhash,
+    "op6_media": media.op6_media,
     "op7_mixing": mixing.op7_mixing,
+    "op9_warc": warc.op9_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {}
