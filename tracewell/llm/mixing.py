@@ -42,11 +42,11 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies
     return t.select("source", "source_size", "n_docs", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, max_copies: float = MAX_COPIES, seed: str = "") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, max_copies: float = MAX_COPIES, seed: str = "", keep: list[str] | None = None) -> DataFrame:
     """How many copies of each row of ``docs`` the mix takes.
 
     Returns id, source, ``size`` (words), ``source_size``, ``target`` and
-    ``copies`` (long). Each row gets the whole copies of target / source_size
+    ``copies`` (long), and the columns ``keep`` as kept_<name>. Each row gets the whole copies of target / source_size
     for certain. The rest, a fraction f, is a sample of fixed size in words:
     rows are ranked by their random odds u/(1-u) over their inclusion odds
     f/(1-f), and taken in that order while that brings the words nearer to
@@ -59,7 +59,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     with null ids share one u and are ordered by their hash. An empty table
     gives no rows.
     """
-    return _chosen(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie")), weights, max_copies, seed).withColumnRenamed("id", id_col)
+    return _chosen(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"), *[F.col(c).alias(f"kept_{c}") for c in keep or []]), weights, max_copies, seed).withColumnRenamed("id", id_col)
 
 
 def _chosen(sized: DataFrame, weights: tuple[float, ...], max_copies: float, seed: str) -> DataFrame:
@@ -80,12 +80,19 @@ def _chosen(sized: DataFrame, weights: tuple[float, ...], max_copies: float, see
     bins = sampled.groupBy("source", "bin", "wanted").agg(F.sum("size").alias("bin_size")).withColumn("upto", F.sum("bin_size").over(running))
     ends = written(bins.where("upto >= wanted").groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("bin_size")).alias("before"))).alias("end")).select(F.col("source").alias("end_source"), F.col("end.bin").alias("end_bin"), F.col("end.before").alias("before")), "mix-ends")
     placed = ranked.join(ends, ranked["source"].eqNullSafe(ends["end_source"]), "left").drop("end_source")
-    keep = ["id", "source", "size", "source_size", "target", "whole"]
+    kept = [c for c in rows.columns if c.startswith("kept_")]
+    keep = ["id", "source", "size", "source_size", "target", "whole", *kept]
     clear = placed.where("rank is null or end_bin is null or bin <> end_bin").select(*keep, F.when(F.col("rank").isNull(), 0).when(F.col("end_bin").isNull() | (F.col("bin") < F.col("end_bin")), 1).otherwise(0).alias("extra"))
     order = Window.partitionBy("source").orderBy("rank", F.col("id").asc_nulls_last(), "tie", "size")
     edge = placed.where("rank is not null and bin = end_bin").withColumn("upto", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     edge = edge.select(*keep, F.when(F.col("upto") - F.col("size") / 2 <= F.col("wanted"), 1).otherwise(0).alias("extra"))
-    return clear.unionAll(edge).select("id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).cast("long").alias("copies"))
+    return clear.unionAll(edge).select("id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).cast("long").alias("copies"), *kept)
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as mix() says, the columns unchanged."""
+    chosen = mix(docs, keep=docs.columns, **options).where("copies > 0")
+    return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"kept_{c}").alias(c) for c in docs.columns])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,6 +201,15 @@ def redacted(text: str, spans: str) -> Column:
     return F.expr(f"IF(size({spans}) = 0, {text}, concat(array_join({pieces}, ''), substring({text}, array_max(transform({spans}, x -> x.end)) + 1)))")
 
 
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``docs`` with all spans in the text replaced by their kinds; other columns stay."""
+    found = detect(docs, id_col, text_col, docs.columns, threshold)
+    # The id appears twice: under its own name and among the kept columns.
+    found = found.toDF("__id", *found.columns[1:])
+    spans = found.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
+    return spans.select(*[F.when(F.col(c).isNotNull(), redacted("__text", "spans")).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect(table(spark, sf_dir, "documents"))
     n = [F.expr(f"size(filter(base, x -> x.k = {i}))").cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import langid, media, mixing, pii, quality, simhash, substrings, token_ids, warc
+from tracewell.llm import langid, lattice, media, mixing, pii, quality, simhash, substrings, token_ids, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": langid.op1_langid,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": mixing.op7_mixing,
     "op8_substrings": substrings.op8_substrings,
     "op9_warc": warc.op9_warc,
+    "op10_sentencepiece": lattice.op10_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {}

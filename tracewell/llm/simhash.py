@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -144,21 +144,40 @@ def near_links(fps: DataFrame, radius: int = 3, max_bucket: int = 128) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """One row per row of ``docs``: id, ``fp`` (signed long), ``component_id``.
+    """One row per row of ``docs``: id, ``fp`` (signed long), ``component_id``, ``part``.
 
     component_id is the least non-null id among the texts that links of at
     most ``radius`` differing bits reach, the text itself included. Null and
     blank texts have fingerprint 0 and link like any other; repeated ids and
     equal texts are ordinary rows; a null id stays null and takes part in
-    linking; an empty table gives no rows; other columns are not read.
+    linking; ``part``, the component's least fingerprint, names components
+    even then; an empty table gives no rows; other columns are not read.
     """
     rows = written(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp")), "simhash-fp")
     nodes = written(rows.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-nodes")
     parts = connected_components(near_links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
     labelled = written(nodes.join(parts, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("part")), "simhash-parts")
     least = written(labelled.groupBy("part").agg(F.min("rep").alias("component_id")), "simhash-least")
-    named = written(labelled.join(least, "part").select("fp", "component_id"), "simhash-named")
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    named = written(labelled.join(least, "part").select("fp", "component_id", "part"), "simhash-named")
+    return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "part")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with the least id.
+
+    Among rows that share that id, the one with the least text hash stays. A
+    component of null ids only keeps the row with the least fingerprint and
+    text hash.
+    """
+    found = near_duplicates(docs, id_col, text_col, radius)
+    first = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    tie = F.xxhash64(text_col)
+    one = docs.join(first, id_col, "left_semi").select(*docs.columns, F.row_number().over(Window.partitionBy(id_col).orderBy(tie)).alias("__turn")).where("__turn = 1").drop("__turn")
+    nameless = docs.where(F.col(id_col).isNull()).withColumn("__fp", simhash(F.col(text_col)))
+    parts = found.where("component_id IS NULL").groupBy("fp").agg(F.first("part").alias("__part"))
+    nameless = nameless.join(parts, nameless["__fp"] == parts["fp"])
+    nameless = nameless.withColumn("__turn", F.row_number().over(Window.partitionBy("__part").orderBy("__fp", tie))).where("__turn = 1")
+    return one.unionAll(nameless.select(*docs.columns))
 
 
 def fingerprint_hex(fp: Column) -> Column:
