@@ -2,34 +2,57 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import scratch, table
 
-#: Chunks whose ids a worker remembers; beyond that it forgets all and starts anew.
-CACHE = 400_000
+#: Pieces whose ids a worker remembers.
+CACHE = 1_200_000
 END_ID = 2
+#: Documents encoded together.
+_ROWS = 5000
 
 _COUNTS = pa.schema([("id", pa.int64()), ("n", pa.int64())])
-FILE = "shard int, seq long, doc_id long, n_tokens long, control binary, data binary"
-_FILE = pa.schema([("shard", pa.int32()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("control", pa.binary()), ("data", pa.binary())])
+FILE = "shard int, doc_id long, tie long, n_tokens long, control binary, data binary"
+_FILE = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int64()), ("control", pa.binary()), ("data", pa.binary())])
 
 
-class ChunkTokenizer:
-    """A byte-level BPE tokenizer that encodes each distinct chunk once.
+#: Texts with any of these go through the library whole: white space at an
+#: end or beside a blank, white space other than blank, tab and line ends, and
+#: the marks that pieces use.
+_WHOLE = r"^[ \t\n\f\r]|[ \t\n\f\r]\z|[ \t\n\f\r] | [\t\n\f\r]|[\x01\x02\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_FIRST, _CUT = "\x01", "\x02"
+#: The public byte-level pattern, in terms that re knows, for pieces of plain characters only.
+_PRETOKENS = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+_PLAIN = re.compile(r"[\x00-\x7f\xc0-\u017f]*")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters by which byte-level models write bytes: printable ones stand for themselves, the others follow from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+class PieceTokenizer:
+    """A byte-level BPE tokenizer that encodes each distinct piece of a batch once.
 
     The model's pre-tokenizer never joins the text before a blank to what
-    follows it, unless white space touches the blank on either side. So a
-    text falls into chunks at its blanks, and equal chunks have equal ids.
-    New chunks are encoded together, joined by blanks, and told apart by the
-    tokens that begin with a blank. Texts with such white space, and models
-    whose vocabulary doesn't mark blanks, go through the library whole.
+    follows it, unless white space touches the blank on either side; nor a
+    letter to a full stop or comma, either of these to a line end, or a line
+    end to a letter. So a text falls into pieces at these places, and equal
+    pieces have equal ids. Arrow cuts the texts and finds the distinct
+    pieces; the library encodes those that the worker doesn't remember, split
+    into pre-tokens; numpy puts the ids together. Other texts go through the
+    library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -37,64 +60,100 @@ class ChunkTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        vocab = self.model.get_vocab(with_added_tokens=True)
-        self.size = max(vocab.values()) + 1
+        self.bare = Tokenizer(self.model.model)
+        self.size = max(self.model.get_vocab(with_added_tokens=True).values()) + 1
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.blank = np.zeros(self.size, dtype=bool)
-        self.blank[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.cache: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.cache) + len(chunks) > CACHE:
-            self.cache = {}
-        for k in range(0, len(chunks), 20_000):
-            some = chunks[k : k + 20_000]
-            ids = np.array(self.model.encode(" " + " ".join(some), add_special_tokens=False).ids, dtype=self.dtype)
-            at = np.flatnonzero(self.blank[ids]).tolist()
-            if len(at) != len(some):
-                self.cache.update((c, self._whole(" " + c)) for c in some)
-                continue
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            ends = [*at[1:], len(ids)]
-            self.cache.update((c, raw[s * width : e * width]) for c, s, e in zip(some, at, ends, strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _learn(self, pieces: list[str]) -> None:
+        plain, parts, counts = [], [], []
+        for c in pieces:
+            text = c[1:] if c.startswith(_FIRST) else c
+            if _PLAIN.fullmatch(text):
+                got = _PRETOKENS.findall(text)
+                plain.append(c)
+                counts.append(len(got))
+                parts += got
+            else:
+                self.new[c] = self._whole(text)
+        if plain:
+            spelled = _CUT.join(parts).encode().decode("latin-1").translate(self.letters).split(chr(self.letters[ord(_CUT)]))
+            got = self.bare.encode(spelled, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(got.ids, dtype=self.dtype)
+            ends = np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.cumsum(counts)).tolist()
+            raw, width, at = ids.tobytes(), self.dtype.itemsize, 0
+            for c, e in zip(plain, ends, strict=True):
+                self.new[c] = raw[at * width : e * width]
+                at = e
+
+    def _of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each distinct piece. What hasn't been seen for CACHE / 2 new pieces is forgotten."""
+        if len(self.new) > CACHE // 2:
+            self.new, self.old = {}, self.new
+        new, old = self.new, self.old
+        missing = []
+        for c in pieces:
+            if c not in new:
+                if c in old:
+                    new[c] = old[c]
+                else:
+                    missing.append(c)
+        for k in range(0, len(missing), 50_000):
+            self._learn(missing[k : k + 50_000])
+        return [new[c] for c in pieces]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text (null: none), as little-endian bytes."""
-        split = [(x or "").split(" ") for x in texts]
-        plain = [all(w and not w[0].isspace() and not w[-1].isspace() for w in s) for s in split]
-        out: list[bytes] = []
-        for k in range(0, len(split), 500):
-            part = range(k, min(k + 500, len(split)))
-            new = set().union(*(split[i][1:] for i in part if plain[i]))
-            cache = self.cache
-            if missing := [c for c in new if c not in cache]:
-                before = cache
-                self._learn(missing)
-                if self.cache is not before and (rest := [c for c in new if c not in self.cache]):
-                    self._learn(rest)
-                cache = self.cache
-            for i in part:
-                if plain[i]:
-                    s = split[i]
-                    try:
-                        out.append(b"".join([self._whole(s[0]), *map(cache.__getitem__, s[1:])]))
-                        continue
-                    except KeyError:  # forgotten within this part
-                        pass
-                out.append(self._whole(texts[i]) if texts[i] else b"")
+        kind = pa.large_string()
+        texts = pc.fill_null(texts.cast(kind), "")
+        whole = pc.or_(pc.match_substring_regex(texts, _WHOLE), pc.equal(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        for i in np.flatnonzero(whole).tolist():
+            if text := texts[i].as_py():
+                out[i] = self._whole(text)
+        rows = np.flatnonzero(~whole)
+        if not len(rows):
+            return out
+        # The first piece of a text, which has no blank before it, is marked, so that it equals no other.
+        cut = pc.binary_join_element_wise(pa.scalar(_FIRST, kind), texts.take(pa.array(rows)), pa.scalar("", kind))
+        cut = pc.replace_substring(cut, " ", f"{_CUT} ")
+        cut = pc.replace_substring_regex(cut, r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17f}])([.,])", f"\\1{_CUT}\\2")
+        cut = pc.replace_substring_regex(cut, r"([.,])\n([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17f}])", f"\\1{_CUT}\n{_CUT}\\2")
+        lists = pc.split_pattern(cut, _CUT)
+        first = lists.offsets.to_numpy()
+        distinct = lists.flatten().dictionary_encode()
+        code = distinct.indices.to_numpy()
+        got = self._of(distinct.dictionary.to_pylist())
+        width = self.dtype.itemsize
+        size = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // width
+        start = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(got), dtype=self.dtype)
+        k = 0
+        while k < len(rows):  # about a million ids at a time
+            e = max(k + 1, int(np.searchsorted(first, first[k] + 300_000, side="right")) - 1)
+            c = code[first[k] : first[e]]
+            n = size[c]
+            end = np.cumsum(n)
+            ids = flat[np.repeat(start[c] - (end - n), n) + np.arange(end[-1])]
+            edge = np.concatenate([[0], end])[first[k : e + 1] - first[k]].tolist()
+            for i, a, b in zip(rows[k:e].tolist(), edge, edge[1:], strict=False):
+                out[i] = ids[a:b].tobytes()
+            k = e
         return out
 
 
-_held: dict[str, ChunkTokenizer] = {}
+_held: dict[str, PieceTokenizer] = {}
 
 
-def tokenizer(path: str) -> ChunkTokenizer:
+def tokenizer(path: str) -> PieceTokenizer:
     """One tokenizer a worker process and file."""
     if path not in _held:
-        _held[path] = ChunkTokenizer(path)
+        _held[path] = PieceTokenizer(path)
     return _held[path]
 
 
@@ -128,34 +187,48 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _counter(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+RAW = "doc_id long, tie long, n_tokens long, ids binary"
+_RAW = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _tokenizer(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        total = np.zeros(max(t.size, end_id + 1), dtype=np.int64)
+        end = np.array([end_id], dtype=t.dtype).tobytes()
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                texts = batch.column(0).slice(k, 500).to_pylist()
-                total += np.bincount(np.frombuffer(b"".join(t.encode(texts)), dtype=t.dtype), minlength=len(total))
-                total[end_id] += len(texts)
+            for k in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(k, _ROWS)
+                got = t.encode(part.column(2))
+                yield _rows([(i, tie, len(x) // t.dtype.itemsize + 1, x + end) for i, tie, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), got, strict=True)], _RAW)
+
+    return run
+
+
+def _counter(dtype: np.dtype, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                total += np.bincount(np.frombuffer(x.as_buffer(), dtype=dtype), minlength=size)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], schema=_COUNTS)
 
     return run
 
 
-def _encoder(path: str, end_id: int, rank: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encoder(dtype: np.dtype, rank: np.ndarray, bounds: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, seq = tokenizer(path), 0
-        end = np.array([end_id], dtype=t.dtype).tobytes()
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                rows = []
-                for shard, key, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), t.encode(part.column(2).to_pylist()), strict=True):
-                    ids = np.frombuffer(ids + end, dtype=t.dtype)
-                    rows.append((shard, seq, key, len(ids), *pack(rank[ids])))
-                    seq += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _FILE, strict=True)], schema=_FILE)
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                keys = part.column(0).to_pylist()
+                # A null id goes to the first shard, where it sorts first.
+                shard = np.searchsorted(bounds, [bounds[0] if x is None else x for x in keys]).tolist() if len(bounds) else [0] * len(keys)
+                yield _rows([(s, i, tie, n, *pack(rank[np.frombuffer(x.as_buffer(), dtype=dtype)])) for s, i, tie, n, x in zip(shard, keys, part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3), strict=True)], _FILE)
 
     return run
 
@@ -163,29 +236,35 @@ def _encoder(path: str, end_id: int, rank: np.ndarray) -> Callable[[Iterator[pa.
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenize whole texts and write the token files below ``folder``.
 
-    ``folder``/ranks maps ranks to ids, the most frequent id first (ties by
-    id), by counts over all documents; the vocabulary bounds it. ``folder``/ids
-    holds a row for each document in ascending id order (``shard``, then
-    ``seq``): control and data bytes of its ranks, ``end_id`` last. Texts are
-    tokenized twice, once to count and once to write, which costs less disk
-    than keeping the raw ids. Null texts have the end id only; null ids come
-    first; rows of equal id are ordered by their text's hash.
+    ``folder``/raw has the plain ids, as tokenizing is by far the dearest
+    step. ``folder``/ranks maps ranks to ids, the most frequent id first (ties
+    by id), by counts over all documents; the vocabulary bounds it.
+    ``folder``/ids holds a row for each document in ascending id order (by
+    ``shard``, then within its file): control and data bytes of its ranks,
+    ``end_id`` last. Shards are ranges of ids of about equal counts. Null
+    texts have the end id only; null ids come first; rows of equal id are
+    ordered by their text's hash.
     """
     spark = docs.sparkSession
-    text = docs.select(F.col(text_col))
-    counts = text.mapInArrow(_counter(path, end_id), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    t = tokenizer(path)
+    size = max(t.size, end_id + 1)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+    rows.mapInArrow(_tokenizer(path, end_id), RAW).write.option("compression", "zstd").parquet(f"{folder}/raw")
+    raw = spark.read.schema(RAW).parquet(f"{folder}/raw")
+    counts = raw.select("ids").mapInArrow(_counter(t.dtype, size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1).select("rank", "id", "n").write.parquet(f"{folder}/ranks")
-    ranks = spark.read.schema("rank int, id long, n long").parquet(f"{folder}/ranks").toPandas()
-    rank = np.zeros(int(ranks["id"].max()) + 1 if len(ranks) else 1, dtype=np.uint32)
-    rank[ranks["id"]] = ranks["rank"]
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rank = np.zeros(size, dtype=np.uint32)
+    ids_of = _ids_of(spark, folder)
+    rank[ids_of] = np.arange(len(ids_of))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInArrow(_encoder(path, end_id, rank), FILE).write.parquet(f"{folder}/ids")
+    cuts = [(i + 1) / parts for i in range(parts - 1)]
+    bounds = raw.agg(F.percentile_approx("doc_id", cuts, 100 * parts).alias("b")).first()["b"] if cuts else []
+    coded = raw.mapInArrow(_encoder(t.dtype, rank, np.array(bounds or [], dtype=np.int64)), FILE)
+    coded.repartitionById(parts, "shard").sortWithinPartitions("shard", "doc_id", "tie").write.parquet(f"{folder}/ids")
 
 
 def _decoder(ids_of: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    kind = pa.schema([("shard", pa.int32()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    kind = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +287,7 @@ def _lister(ids_of: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [ids_of[unpack(c.as_py(), d.as_py(), n)].astype(np.int64) for c, d, n in zip(batch.column(4), batch.column(5), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(ids, type=pa.list_(pa.int64()))], schema=kind)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, type=pa.list_(pa.int64()))], schema=kind)
 
     return run
 
@@ -224,10 +303,10 @@ def token_digests(spark: SparkSession, folder: str) -> DataFrame:
     Running sums stay within a shard; a shard's own start comes from one row
     a shard.
     """
-    rows = spark.read.schema(FILE).parquet(f"{folder}/ids").mapInArrow(_decoder(_ids_of(spark, folder)), "shard int, seq long, doc_id long, n_tokens long, ids_crc32 long")
+    rows = spark.read.schema(FILE).parquet(f"{folder}/ids").mapInArrow(_decoder(_ids_of(spark, folder)), "shard int, doc_id long, tie long, n_tokens long, ids_crc32 long")
     sizes = spark.read.schema(FILE).parquet(f"{folder}/ids").groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     first = sizes.select(F.col("shard").alias("of"), (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("first"))
-    inside = Window.partitionBy("shard").orderBy("seq")
+    inside = Window.partitionBy("shard").orderBy(F.col("doc_id").asc_nulls_first(), "tie").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("before", F.sum("n_tokens").over(inside) - F.col("n_tokens"))
     return rows.join(first, F.col("shard") == F.col("of")).select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
