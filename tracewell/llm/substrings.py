@@ -121,42 +121,47 @@ def _parts(s: Suffixes, too_many: list[np.ndarray], n_parts: int) -> np.ndarray:
     return (_stir(group + np.uint64(1)) % np.uint64(n_parts)).astype(np.int64)
 
 
-def _pack(s: Suffixes, at: np.ndarray, header: bytes) -> bytes:
-    """Suffixes ``at`` (ascending) of a batch: header, gaps between them (255: the next long one), fingerprints."""
+def _gaps(at: np.ndarray) -> bytes:
+    """Ascending numbers as one-byte gaps; 255 stands for the next of the long ones."""
     gap = np.diff(at, prepend=0)
     long_ = gap[gap >= 255].astype("<u4").tobytes()
-    return b"".join([np.array([len(header), len(at), len(long_)], "<i8").tobytes(), header, np.minimum(gap, 255).astype(np.uint8).tobytes(), long_, s.prefix[-1][at].tobytes(), s.check[at].tobytes()])
+    return np.array([len(at), len(long_)], "<i8").tobytes() + np.minimum(gap, 255).astype(np.uint8).tobytes() + long_
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, tags, begin, at, fingerprints, check bytes."""
-    h, n, m = np.frombuffer(blob, "<i8", 3)
-    head = np.frombuffer(zlib.decompress(blob[24 : 24 + h]), "<i8").reshape(3, -1)
-    o = 24 + h
-    gap = np.frombuffer(blob, np.uint8, n, o).astype(np.int64)
-    gap[gap == 255] = np.frombuffer(blob, "<u4", m // 4, o + n)
-    o += n + m
-    return np.cumsum(head[0]), head[1], np.concatenate([[0], np.cumsum(head[2])]), np.cumsum(gap), np.frombuffer(blob, "<u8", n, o), np.frombuffer(blob, np.uint8, n, o + 8 * n)
+def _ungap(raw: bytes, o: int = 0) -> tuple[np.ndarray, int]:
+    """The numbers at ``o``, and where they end."""
+    n, m = np.frombuffer(raw, "<i8", 2, o).tolist()
+    gap = np.frombuffer(raw, np.uint8, n, o + 16).astype(np.int64)
+    gap[gap == 255] = np.frombuffer(raw, "<u4", m // 4, o + 16 + n)
+    return np.cumsum(gap), o + 16 + n + m
 
 
-SHIPPED = "part int, blob binary, id long, tag long, pos binary"
-_SHIPPED = pa.schema([("part", pa.int32()), ("blob", pa.binary()), ("id", pa.int64()), ("tag", pa.int64()), ("pos", pa.binary())])
+def _columns(*rows: np.ndarray) -> bytes:
+    return zlib.compress(np.stack(rows).astype("<i8").tobytes(), 1)
+
+
+#: Rows between the stages. kind 0: suffixes for a part (documents, positions, fingerprints); 1: a batch's documents and the repeats that it found itself; 2: repeats that a part found.
+SHIPPED = "part int, batch long, kind int, blob binary, docs binary"
+_SHIPPED = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary()), ("docs", pa.binary())])
 MARKS = "id long, tag long, pos binary"
 _MARKS = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("pos", pa.binary())])
 
 
-def _marks(ids: np.ndarray, tags: np.ndarray, begin: np.ndarray, at: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """Suffixes ``at`` as (id, tag, word positions) rows, one a document."""
-    if not len(at):
-        return []
-    at = np.sort(at)
-    doc = np.searchsorted(begin, at, side="right") - 1
-    cut = np.flatnonzero(np.diff(doc)) + 1
-    return [(int(ids[d]), int(tags[d]), p.astype("<u4").tobytes()) for d, p in zip(doc[np.concatenate([[0], cut])], np.split(at - begin[doc], cut), strict=True)]
+def _rows(rows: list[tuple], schema: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(rows), size):
+        yield pa.RecordBatch.from_arrays([pa.array(x, type=t.type) for x, t in zip(zip(*rows[k : k + size], strict=True), schema, strict=True)], schema=schema)
+
+
+def _equal_runs(fp: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Where a new fingerprint begins, in sorted order."""
+    return np.concatenate([[True], (fp[1:] != fp[:-1]) | (check[1:] != check[:-1])])
 
 
 def _ship(too_many: list[np.ndarray], n_parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Deal suffixes to the parts. Of equal windows of a batch only those of its least document go; the others are marked at once."""
+    """Deal suffixes to the parts. Of equal windows of a batch only those of its least document go; the others are repeats already.
+
+    A batch is named by its contents, so that a task that runs again names it alike.
+    """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _batches(source):
@@ -165,77 +170,105 @@ def _ship(too_many: list[np.ndarray], n_parts: int) -> Callable[[Iterator[pa.Rec
             fp = s.prefix[-1]
             doc = np.searchsorted(s.begin, np.arange(len(s)), side="right") - 1
             order = np.argsort(fp, kind="stable")
-            f, c = fp[order], s.check[order]
-            first = np.concatenate([[True], f[1:] != f[:-1]])
-            multi = np.flatnonzero(~(first & np.append(first[1:], True)))
-            sub = order[multi]
-            sub = sub[np.lexsort((sub, s.check[sub], fp[sub]))]
-            lead = np.concatenate([[True], (fp[sub][1:] != fp[sub][:-1]) | (s.check[sub][1:] != s.check[sub][:-1])]) if len(sub) else np.zeros(0, bool)
-            least = s.ids[doc[sub[lead]]][np.cumsum(lead) - 1] if len(sub) else np.zeros(0, np.int64)
-            done = sub[s.ids[doc[sub]] > least]
+            first = np.concatenate([[True], fp[order][1:] != fp[order][:-1]])
+            sub = order[np.flatnonzero(~(first & np.append(first[1:], True)))]
+            done = sub
+            if len(sub):
+                sub = sub[np.lexsort((sub, s.check[sub], fp[sub]))]
+                lead = _equal_runs(fp[sub], s.check[sub])
+                done = np.sort(sub[s.ids[doc[sub]] > s.ids[doc[sub[lead]]][np.cumsum(lead) - 1]])
             live = np.ones(len(s), dtype=bool)
             live[done] = False
             at = np.flatnonzero(live)
             part = _parts(s, too_many, n_parts)[at]
             by_part = np.argsort(part, kind="stable")
             edges = np.searchsorted(part[by_part], np.arange(n_parts + 1))
-            header = zlib.compress(np.stack([np.diff(s.ids, prepend=0), s.tags, np.diff(s.begin)]).astype("<i8").tobytes(), 1)
-            rows = [(p, _pack(s, at[by_part[edges[p] : edges[p + 1]]], header), None, None, None) for p in range(n_parts) if edges[p + 1] > edges[p]]
-            rows += [(i % n_parts, None, *m) for i, m in enumerate(_marks(s.ids, s.tags, s.begin, done))]
-            for k in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=t.type) for x, t in zip(zip(*rows[k : k + 64], strict=True), _SHIPPED, strict=True)], schema=_SHIPPED)
+            sizes = np.diff(s.begin)
+            home = _columns(np.diff(s.ids, prepend=0), s.tags, sizes)
+            batch = int(np.int64(np.uint64(xxhash.xxh64_intdigest(home))))
+            docs = _columns(np.diff(s.ids, prepend=0), sizes)
+            rows = [(batch % n_parts, batch, 1, _gaps(done), home)]
+            for p in range(n_parts):
+                if edges[p + 1] > edges[p]:
+                    own = at[by_part[edges[p] : edges[p + 1]]]
+                    rows.append((p, batch, 0, _gaps(own) + fp[own].tobytes() + s.check[own].tobytes(), docs))
+            yield from _rows(rows, _SHIPPED, 64)
 
     return run
 
 
 def _subtrees(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One part: sort its suffixes by path fingerprint; each run of two or more is an internal node at window depth, below which all but the least document's suffixes are repeats."""
-    heads, ats, fps, checks, docs = [], [], [], [], []
-
-    def rows(got: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(got), 5000):
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=t.type) for x, t in zip(zip(*got[k : k + 5000], strict=True), _MARKS, strict=True)], schema=_MARKS)
-
-    for batch in source:
-        local = []
-        for blob, key, tag, pos in zip(batch.column(1), *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-            raw = blob.as_py()
-            if raw is None:
-                local.append((key, tag, pos))
+    names, ats, fps, checks, ids = [], [], [], [], []
+    for incoming in source:
+        for batch, kind, blob, docs in zip(incoming.column(1).to_pylist(), incoming.column(2).to_pylist(), incoming.column(3), incoming.column(4), strict=True):
+            if kind:
+                yield from _rows([(0, batch, kind, blob.as_py(), docs.as_py())], _SHIPPED, 1)
                 continue
-            ids, tags, begin, at, fp, check = _unpack(raw)
-            heads.append((ids, tags, begin))
+            raw = blob.as_py()
+            at, o = _ungap(raw)
+            gap, sizes = np.frombuffer(zlib.decompress(docs.as_py()), "<i8").reshape(2, -1)
+            names.append(batch)
             ats.append(at.astype(np.uint32))
-            fps.append(fp)
-            checks.append(check)
-            docs.append(ids[np.searchsorted(begin, at, side="right") - 1])
-        yield from rows(local)
+            fps.append(np.frombuffer(raw, "<u8", len(at), o))
+            checks.append(np.frombuffer(raw, np.uint8, len(at), o + 8 * len(at)))
+            ids.append(np.cumsum(gap)[np.searchsorted(np.cumsum(sizes), at, side="right")])
     if not fps:
         return
     of = np.repeat(np.arange(len(fps), dtype=np.int32), [len(x) for x in fps])
-    fp, check, doc, at = (np.concatenate(x) for x in (fps, checks, docs, ats))
-    fps.clear(), checks.clear(), docs.clear(), ats.clear()
+    fp = np.concatenate(fps)
+    fps.clear()
     order = np.argsort(fp)
     f = fp[order]
     same = f[1:] == f[:-1]
     sub = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+    del order, f, same
     if not len(sub):
         return
+    check, owner, at = (np.concatenate(x) for x in (checks, ids, ats))
     sub = sub[np.lexsort((check[sub], fp[sub]))]
-    lead = np.concatenate([[True], (fp[sub][1:] != fp[sub][:-1]) | (check[sub][1:] != check[sub][:-1])])
-    least = np.minimum.reduceat(doc[sub], np.flatnonzero(lead))
-    repeat = sub[doc[sub] > least[np.cumsum(lead) - 1]]
-    repeat = repeat[np.argsort(of[repeat], kind="stable")]
-    edges = np.searchsorted(of[repeat], np.arange(len(heads) + 1))
-    for k, (ids, tags, begin) in enumerate(heads):
-        yield from rows(_marks(ids, tags, begin, at[repeat[edges[k] : edges[k + 1]]].astype(np.int64)))
+    lead = _equal_runs(fp[sub], check[sub])
+    least = np.minimum.reduceat(owner[sub], np.flatnonzero(lead))
+    repeat = np.sort(sub[owner[sub] > least[np.cumsum(lead) - 1]])  # by batch, then place
+    edges = np.searchsorted(of[repeat], np.arange(len(names) + 1))
+    rows = [(0, batch, 2, _gaps(at[repeat[edges[k] : edges[k + 1]]].astype(np.int64)), None) for k, batch in enumerate(names) if edges[k + 1] > edges[k]]
+    yield from _rows(rows, _SHIPPED, 64)
+
+
+def _resolve(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch together, its documents first: one row for each document that has repeats."""
+
+    def documents(home: bytes, found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        at = np.unique(np.concatenate(found))
+        if not len(at):
+            return
+        gap, tags, sizes = np.frombuffer(zlib.decompress(home), "<i8").reshape(3, -1)
+        ids, begin = np.cumsum(gap), np.concatenate([[0], np.cumsum(sizes)])
+        doc = np.searchsorted(begin, at, side="right") - 1
+        cut = np.flatnonzero(np.diff(doc)) + 1
+        rows = [(int(ids[d]), int(tags[d]), p.astype("<u4").tobytes()) for d, p in zip(doc[np.concatenate([[0], cut])], np.split(at - begin[doc], cut), strict=True)]
+        yield from _rows(rows, _MARKS, 5000)
+
+    held, home, found = None, b"", []
+    for incoming in source:
+        for batch, _kind, blob, docs in zip(incoming.column(1).to_pylist(), incoming.column(2).to_pylist(), incoming.column(3), incoming.column(4), strict=True):
+            if batch != held:
+                if found:
+                    yield from documents(home, found)
+                held, found = batch, []
+            if docs.is_valid:
+                home = docs.as_py()
+            found.append(_ungap(blob.as_py())[0])
+    if found:
+        yield from documents(home, found)
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``id``, ``tag``, ``pos``: where windows of 13 words start that also start in a document with a smaller id.
 
     ``tag`` tells rows of equal id by their text; ``pos`` holds little-endian
-    32-bit word positions; a document may have several rows. Rows with a null
+    32-bit word positions; a document has one row a batch, so one unless rows
+    repeat. Rows with a null
     id have no order and neither repeat nor are repeated.
 
     A suffix belongs to the group of its shortest prefix (1, 2, 4, 8 or 13
@@ -245,7 +278,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     their path to the depth of a window and so finds the nodes at that depth
     that have two suffixes or more. A batch sends only the least document's
     suffixes of equal windows, so a window that very many documents share
-    reaches its part at most once a batch and document.
+    reaches its part at most once a batch and document. Parts answer each
+    batch in one packed row.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"), F.col(text_col).alias("text"))
@@ -261,7 +295,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = counts.where((F.col("depth") > 0) & (F.col("n") > share * total)).select("depth", "fp").collect()
     too_many = [np.sort(np.array([r["fp"] for r in found if r["depth"] == d], dtype=np.int64).view(np.uint64)) for d in LADDER[:-1]]
     shipped = rows.mapInArrow(_ship(too_many, n_parts), SHIPPED)
-    return shipped.repartitionById(n_parts, "part").mapInArrow(_subtrees, MARKS)
+    found = shipped.repartitionById(n_parts, "part").mapInArrow(_subtrees, SHIPPED)
+    return found.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(_resolve, MARKS)
 
 
 def cut(text: str | None, positions: list[bytes] | None) -> tuple[int, int, str]:
