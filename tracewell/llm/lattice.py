@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import dataset as pads
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -62,62 +63,96 @@ class Cutter:
     """Splits texts into units that no piece crosses, so best paths of units make the best path of the text.
 
     A cut lies between two characters that stand side by side in no piece.
-    Whether a word of the text is one unit is remembered for frequent words.
+    Whole batches are cut at once: pairs of neighbours are looked up in a
+    table for low code points and in a sorted list for others.
     """
 
-    CACHE = 200_000
+    LOW = 0x250
+    _BLANK = ord(BLANK)
 
     def __init__(self, pairs: frozenset[str]) -> None:
-        self.pairs = pairs
-        self.cache: dict[str, list[str]] = {}
-
-    def _cut(self, chunk: str) -> list[str]:
-        pairs, at, out = self.pairs, 0, []
-        for k in range(1, len(chunk)):
-            if chunk[k - 1 : k + 1] not in pairs:
-                out.append(chunk[at:k])
-                at = k
-        out.append(chunk[at:])
-        return out
-
-    def units(self, text: str | None) -> list[str]:
-        """Units of a whole text in order; the text gets a blank in front, as the model's own encoder does, unless it is empty."""
-        if not text:
-            return []
-        out: list[str] = []
-        cache = self.cache
-        for chunk in (BLANK + text.replace(" ", BLANK)).replace(BLANK, "\0" + BLANK).split("\0")[1:]:
-            got = cache.get(chunk)
-            if got is None:
-                got = self._cut(chunk)
-                if len(cache) >= self.CACHE:
-                    cache.clear()
-                if len(chunk) <= 64:
-                    cache[chunk] = got
-            out += got
-        return out
+        # The blank's own code point is high; it borrows a control character that is never within a piece.
+        code = lambda c: 1 if c == BLANK else ord(c)
+        self.low = np.zeros((self.LOW, self.LOW), dtype=bool)
+        high = []
+        for p in pairs:
+            x, y = map(code, p)
+            if max(x, y) < self.LOW:
+                self.low[x, y] = True
+            else:
+                high.append(x << 32 | y)
+        if "\x01" in {c for p in pairs for c in p}:
+            raise ValueError("a piece holds the character that stands for the blank here")
+        self.high = np.sort(np.array(high, dtype=np.int64))
+
+    def units(self, texts: list[str | None]) -> tuple[pa.LargeStringArray, np.ndarray]:
+        """All units in order, and the first unit of each text (and the end). A text gets a blank in front, unless it is empty."""
+        spelled = [BLANK + t.replace(" ", BLANK) if t else "" for t in texts]
+        joined = "".join(spelled)
+        data = joined.encode("utf-8", "surrogatepass")
+        c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        edge = np.concatenate([[0], np.cumsum([len(t) for t in spelled], dtype=np.int64)])
+        if not len(c):
+            return pa.array([], pa.large_string()), np.zeros(len(edge), dtype=np.int64)
+        width = (c > 0x7F).view(np.uint8) + (c > 0x7FF).view(np.uint8) + (c > 0xFFFF).view(np.uint8) + np.uint8(1)
+        k = np.where(c == 1, np.uint32(self.LOW), c)  # the control character itself never joins
+        k[c == self._BLANK] = 1
+        near = k < self.LOW
+        near = near[1:] & near[:-1]
+        x = np.minimum(k, self.LOW - 1)
+        joins = np.zeros(len(c), dtype=bool)
+        joins[1:] = self.low.ravel()[x[:-1] * np.uint32(self.LOW) + x[1:]] & near
+        far = np.flatnonzero(~near)
+        if len(far) and len(self.high):
+            key = k[far].astype(np.int64) << 32 | k[far + 1]
+            at = np.minimum(np.searchsorted(self.high, key), len(self.high) - 1)
+            joins[far + 1] = self.high[at] == key
+        joins[edge[:-1][edge[:-1] < len(c)]] = False
+        first = np.flatnonzero(~joins)
+        offsets = np.append(np.cumsum(width, dtype=np.int64)[first] - width[first], len(data))
+        units = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(data))
+        return units, np.searchsorted(first, edge)
+
+
+#: Texts cut together.
+_ROWS = 250
 
 
 def _distinct(pairs: frozenset[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    kind = pa.schema([("block", pa.string()), ("unit", pa.string())])
+    kind = pa.schema([("block", pa.string()), ("unit", pa.large_string())])
+
+    def rows(block: str, parts: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        units = pc.unique(pa.concat_arrays(parts))
+        for k in range(0, len(units), 50_000):
+            some = units.slice(k, 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(some)), some.cast(pa.string())], names=kind.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Cutter(pairs)
-        seen: dict[str, set[str]] = {}
+        held, parts, fresh = None, [], 0
         for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                seen.setdefault(block, set()).update(cut.units(text.as_py()))
-        for block, units in seen.items():
-            some = list(units)
-            for k in range(0, len(some), 20_000):
-                part = some[k : k + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part)), pa.array(part)], schema=kind)
+            for k in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(k, _ROWS)
+                blocks, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                edges = [0, *(i for i in range(1, len(blocks)) if blocks[i] != blocks[i - 1]), len(blocks)]
+                for s, e in zip(edges, edges[1:], strict=False):
+                    if blocks[s] != held:
+                        if parts:
+                            yield from rows(held, parts)
+                        held, parts, fresh = blocks[s], [], 0
+                    parts.append(pc.unique(cut.units(texts[s:e])[0]))
+                    fresh += len(parts[-1])
+                    if fresh > 300_000:
+                        parts, fresh = [pc.unique(pa.concat_arrays(parts))], 0
+                        pa.default_memory_pool().release_unused()
+        if parts:
+            yield from rows(held, parts)
 
     return run
 
 
 def best_paths(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """Adds ``ids`` (array<int>) to rows with a distinct ``unit``; other columns stay.
+    """``ids`` (array<int>) besides the columns of ``units``, whose ``unit`` is distinct and not empty.
 
     The path with the greatest sum of scores; of equal ones that whose last
     piece is longest. All substrings up to the longest piece are joined to the
@@ -129,27 +164,55 @@ def best_paths(units: DataFrame, pieces: Pieces) -> DataFrame:
     spark = units.sparkSession
     if len(pieces.rows) > MAX_PIECES:
         raise ValueError("the piece table is too large to broadcast")
-    known = F.broadcast(spark.createDataFrame(pieces.rows, "piece string, id int, score double"))
+    # Joined by a hash of the substring, as numbers probe faster, and then by the substring itself.
+    p, i, x = zip(*pieces.rows, strict=True)
+    known = spark.createDataFrame(pa.table({"known": pa.array(p), "id": pa.array(i, pa.int32()), "score": pa.array(x, pa.float64())}))
+    known = F.broadcast(known.withColumn("h", F.xxhash64("known")))
     m = pieces.longest
-    subs = f"flatten(transform(sequence(1, char_length(unit)), s -> transform(sequence(s, least(s + {m - 1}, char_length(unit))), e -> struct(e AS e, e - s + 1 AS n, substring(unit, s, e - s + 1) AS piece))))"
-    rest = [c for c in units.columns if c != "unit"]
-    edges = units.where("unit <> ''").select("unit", *rest, F.expr(f"explode({subs})").alias("x")).select("unit", *rest, "x.e", "x.n", "x.piece")
-    edges = edges.join(known, "piece", "left").where("id IS NOT NULL OR n = 1")
-    raw = f"transform(sequence(0, length(hex(piece)) div 2 - 1), k -> int(conv(substring(hex(piece), 2 * k + 1, 2), 16, 10)) + {pieces.byte_base})"
-    edge = F.expr(f"struct(e, n, coalesce(score, {pieces.unknown!r}D * char_length(piece)) AS score, IF(id IS NULL, {raw}, array(id)) AS ids)")
-    grouped = edges.groupBy("unit").agg(*[F.first(c).alias(c) for c in rest], F.sort_array(F.collect_list(edge)).alias("edges"))
-    back, zero = "array<struct<n:int,ids:array<int>>>", "named_struct('n', 0, 'ids', CAST(array() AS array<int>))"
-    # State: e end of the edges at hand; b, p their best score and edge; win scores of the ends before e; cur, done: edges chosen for earlier ends.
+    own = units.columns
+    starts = units.where("unit <> ''").select(*own, F.expr("explode(sequence(1, char_length(unit)))").alias("s"))
+    spans = starts.select(*own, "s", F.expr(f"explode(sequence(s, least(s + {m - 1}, char_length(unit))))").alias("e"))
+    subs = spans.select(*own, "e", F.expr("e - s + 1").alias("n"), F.expr("substring(unit, s, e - s + 1)").alias("piece"))
+    edges = subs.withColumn("h", F.xxhash64("piece")).join(known, "h", "left").where("n = 1 OR piece = known")
+    edge = F.expr(f"IF(piece <=> known, struct(e, n, id, score), struct(e, n, -ascii(piece) - 1 AS id, {pieces.unknown!r}D AS score))")
+    grouped = edges.groupBy(*own).agg(F.collect_list(edge).alias("edges")).withColumn("len", F.char_length("unit"))
+    return grouped.select(*own, F.expr(f"IF(len <= {_SHORT}, {_short_path()}, {_long_path(m)})").alias("ids")).select(*own, F.expr(_spelled(pieces.byte_base)).alias("ids"))
+
+
+#: Units up to this long take the simple fold, whose work grows with the square of their length.
+_SHORT = 64
+
+
+def _short_path() -> str:
+    """SQL: each end's best score, last piece and ids, from those of the ends before it."""
+    start = "array(named_struct('b', 0D, 'n', 0, 'ids', CAST(array() AS array<int>)))"
+    way = "named_struct('b', s[i - x.n].b + x.score, 'n', x.n, 'ids', concat(s[i - x.n].ids, array(x.id)))"
+    return f"aggregate(sequence(1, len), {start}, (s, i) -> concat(s, array(array_max(transform(filter(edges, x -> x.e = i), x -> {way})))), s -> s[len].ids)"
+
+
+def _long_path(m: int) -> str:
+    """SQL: the same over sorted edges, with the last ``m`` scores and back pointers in blocks, so work is in proportion to the length."""
+    back, zero = "array<struct<n:int,id:int>>", "named_struct('n', 0, 'id', 0)"
+    # e: end of the edges at hand; b, p: their best score and edge; win: scores of the ends before e; cur, done: edges chosen for earlier ends.
     start = f"named_struct('e', 0, 'b', 0D, 'p', {zero}, 'win', CAST(array() AS array<double>), 'cur', CAST(array() AS {back}), 'done', CAST(array() AS array<{back}>))"
-    pick = "named_struct('n', x.n, 'ids', x.ids)"
+    pick = "named_struct('n', x.n, 'id', x.id)"
     win = f"slice(concat(array(s.b), s.win), 1, {m})"
     full = "size(s.cur) >= 255"
-    moved = f"named_struct('e', x.e, 'b', element_at({win}, x.n) + x.score, 'p', {pick}, 'win', {win}, 'cur', IF({full}, CAST(array() AS {back}), concat(s.cur, array(s.p))), 'done', IF({full}, concat(s.done, array(concat(s.cur, array(s.p)))), s.done))"
-    better = f"named_struct('e', s.e, 'b', element_at(s.win, x.n) + x.score, 'p', {pick}, 'win', s.win, 'cur', s.cur, 'done', s.done)"
-    fold = f"aggregate(edges, {start}, (s, x) -> IF(x.e > s.e, {moved}, IF(element_at(s.win, x.n) + x.score >= s.b, {better}, s)), s -> concat(flatten(s.done), s.cur, array(s.p)))"
-    paths = grouped.select("unit", *rest, F.expr(fold).alias("back")).withColumn("len", F.size("back") - 1)
-    walk = folded("len", "len", "IF(len - i + 1 = s.k, s.k - back[len - i + 1].n, s.k)", "IF(len - i + 1 = s.k, back[len - i + 1].ids, CAST(array() AS array<int>))", "array<int>")
-    return paths.select("unit", *rest, F.expr(f"flatten(reverse({walk}))").alias("ids"))
+    moved = f"named_struct('e', x.e, 'b', IF(x.n = 1, s.b, s.win[x.n - 2]) + x.score, 'p', {pick}, 'win', {win}, 'cur', IF({full}, CAST(array() AS {back}), concat(s.cur, array(s.p))), 'done', IF({full}, concat(s.done, array(concat(s.cur, array(s.p)))), s.done))"
+    better = f"named_struct('e', s.e, 'b', s.win[x.n - 1] + x.score, 'p', {pick}, 'win', s.win, 'cur', s.cur, 'done', s.done)"
+    chosen = f"aggregate(sort_array(edges), {start}, (s, x) -> IF(x.e > s.e, {moved}, IF(s.win[x.n - 1] + x.score >= s.b, {better}, s)), s -> concat(flatten(s.done), s.cur, array(s.p)))"
+    at = "back[len - i + 1]"
+    walk = folded("len", "len", f"IF(len - i + 1 = s.k, s.k - {at}.n, s.k)", f"IF(len - i + 1 = s.k, array({at}.id), CAST(array() AS array<int>))", "array<int>")
+    # One element, so that the edges are folded once.
+    return f"transform(array({chosen}), back -> flatten(reverse({walk})))[0]"
+
+
+def _spelled(base: int) -> str:
+    """SQL: ids with characters that have no piece, kept as -code - 1, written as the ids of their UTF-8 bytes."""
+    c = "(-i - 1)"
+    more = lambda k: f"{base} + 128 + ((shiftright({c}, {6 * k})) & 63)"
+    raw = f"CASE WHEN {c} < 128 THEN array({base} + {c}) WHEN {c} < 2048 THEN array({base} + 192 + shiftright({c}, 6), {more(0)}) WHEN {c} < 65536 THEN array({base} + 224 + shiftright({c}, 12), {more(1)}, {more(0)}) ELSE array({base} + 240 + shiftright({c}, 18), {more(2)}, {more(1)}, {more(0)}) END"
+    return f"IF(exists(ids, i -> i < 0), flatten(transform(ids, i -> IF(i >= 0, array(i), {raw}))), ids)"
 
 
 _BLOCK = "concat(input_file_name(), '#', input_file_block_start())"
@@ -160,51 +223,80 @@ def _filed(docs: DataFrame) -> DataFrame:
     return docs if docs.inputFiles() and "Exchange" not in docs._jdf.queryExecution().executedPlan().toString() else written(docs, "lattice-docs")
 
 
-def _encoder(pairs: frozenset[str], folder: str, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _block_paths(folder: str, block: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Units of one block, where the ids of each begin (and the end), and all ids."""
+    store, root = pafs.FileSystem.from_uri(folder)
+    got = pads.dataset(f"{root}/block={hashlib.md5(block.encode()).hexdigest()}", filesystem=store, format="parquet").to_table(columns=["unit", "ids"]).combine_chunks()
+    ids = got.column("ids").combine_chunks()
+    return got.column("unit").combine_chunks().cast(pa.large_string()), ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy().astype("<u4")
+
+
+def _encoder(pairs: frozenset[str], folder: str, at: int, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Cutter(pairs)
-        store, root = pafs.FileSystem.from_uri(folder)
-        held, paths = None, {}
+        held, paths = None, None
+
+        def coded(block: str, texts: list[str | None]) -> list[bytes]:
+            nonlocal held, paths
+            cuts = [cut.units(texts[k : k + _ROWS]) for k in range(0, len(texts), _ROWS)]
+            coded_units = [(u.dictionary_encode(), first) for u, first in cuts]
+            del cuts
+            if not any(len(u) for u, _ in coded_units):
+                return [b""] * len(texts)
+            if block != held:
+                held, paths = block, _block_paths(folder, block)
+            own, begin, flat = paths
+            where = pc.index_in(pa.concat_arrays([u.dictionary for u, _ in coded_units]), value_set=own).to_numpy(zero_copy_only=False).astype(np.int64)
+            out, at = [], 0
+            for units, first in coded_units:
+                c = where[at : at + len(units.dictionary)][units.indices.to_numpy()]
+                at += len(units.dictionary)
+                n = begin[c + 1] - begin[c]
+                end = np.cumsum(n)
+                ids = flat[np.repeat(begin[c] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+                edge = np.concatenate([[0], end])[first].tolist()
+                out += [ids[s:e].tobytes() for s, e in zip(edge, edge[1:], strict=False)]
+            pa.default_memory_pool().release_unused()
+            return out
+
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part, out = batch.slice(k, 500), []
-                for block, text in zip(part.column(0).to_pylist(), part.column(at), strict=True):
-                    units = cut.units(text.as_py())
-                    if block != held and units:
-                        paths = {}
-                        name = f"{root}/block={hashlib.md5(block.encode()).hexdigest()}"
-                        for got in pads.dataset(name, filesystem=store, format="parquet").to_batches(columns=["unit", "ids"]):
-                            ends = got.column(1).offsets.to_numpy()
-                            flat = got.column(1).values.to_numpy().astype("<u4")
-                            paths.update((u, flat[s:e].tobytes()) for u, s, e in zip(got.column(0).to_pylist(), ends, ends[1:], strict=False))
-                        held = block
-                    out.append(b"".join([paths[u] for u in units]))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(out, pa.binary())], names=[*part.schema.names[1:], "token_ids"])
+            for k in range(0, batch.num_rows, 8 * _ROWS):
+                part, out = batch.slice(k, 8 * _ROWS), []
+                blocks, texts = part.column(0).to_pylist(), part.column(at).to_pylist()
+                edges = [0, *(i for i in range(1, len(blocks)) if blocks[i] != blocks[i - 1]), len(blocks)]
+                for s, e in zip(edges, edges[1:], strict=False):
+                    out += coded(blocks[s], texts[s:e])
+                done = pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(out, pa.binary())], names=[*part.schema.names[1:], "token_ids"])
+                yield then(done) if then else done
 
     return run
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", then: tuple[str, Callable[[pa.RecordBatch], pa.RecordBatch]] | None = None) -> DataFrame:
     """All columns of ``docs`` and ``token_ids``: little-endian 32-bit ids as one binary value.
 
+    ``then``, a schema and a function, turns each encoded batch into another
+    one within the same Python worker.
+
     Each file block's distinct units go to the lattice once for all blocks
     that have them; their paths come back in one folder a block, which the
-    block's rows then look up. A unit that all blocks share has one row with
-    a list of blocks. Null and empty texts have no ids; repeated rows are
-    encoded alike; a column named token_ids is replaced.
+    block's rows then look up. Null and empty texts have no ids; repeated rows
+    are encoded alike; a column named token_ids is replaced.
     """
     spark = docs.sparkSession
     pieces = Pieces.load(path)
     docs = _filed(docs.drop("token_ids"))
     folder = scratch(spark, "lattice")
     found = docs.select(F.expr(_BLOCK).alias("block"), F.col(text_col).alias("text")).mapInArrow(_distinct(pieces.pairs), "block string, unit string")
-    units = found.select("unit", F.md5("block").alias("block")).groupBy("unit").agg(F.collect_list("block").alias("blocks"))
-    paths = best_paths(units, pieces)
-    dealt = paths.select(F.explode("blocks").alias("block"), "unit", "ids").repartition("block")
-    dealt.write.partitionBy("block").option("compression", "zstd").parquet(folder)
+    dealt = found.select("unit", F.md5("block").alias("block")).repartition("unit")
+    # The hash of a block is asked for so that both sides need the same columns and one exchange serves them.
+    paths = best_paths(dealt.groupBy("unit").agg(F.max(F.xxhash64("block")).alias("some")), pieces)
+    answers = dealt.join(paths.hint("shuffle_hash"), "unit").where("some IS NOT NULL").select("block", "unit", "ids").repartition("block")
+    answers.write.partitionBy("block").option("compression", "zstd").parquet(folder)
     kept = docs.select(F.expr(_BLOCK).alias("__block"), *docs.columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return kept.mapInArrow(_encoder(pieces.pairs, folder, 1 + docs.columns.index(text_col)), f"{schema}, token_ids binary")
+    out, finish = then or (f"{schema}, token_ids binary", None)
+    return kept.mapInArrow(_encoder(pieces.pairs, folder, 1 + docs.columns.index(text_col), finish), out)
 
 
 def decode_ids(ids: bytes, pieces: Pieces) -> str:
@@ -213,25 +305,22 @@ def decode_ids(ids: bytes, pieces: Pieces) -> str:
     return raw[1:].decode("utf-8", "surrogatepass")
 
 
-def _digests(pieces: Pieces) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _digests(pieces: Pieces) -> tuple[str, Callable[[pa.RecordBatch], pa.RecordBatch]]:
     kind = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for key, text, ids in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                ids = ids.as_py()
-                back = decode_ids(ids, pieces)
-                rows.append((key, len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == (text.as_py() or "").replace(BLANK, " ")))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for key, text, ids in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            ids = ids.as_py()
+            back = decode_ids(ids, pieces)
+            rows.append((key, len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == (text.as_py() or "").replace(BLANK, " ")))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(kind)], schema=kind)
 
-    return run
+    return "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean", run
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    return coded.mapInArrow(_digests(Pieces.load(path)), "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, then=_digests(Pieces.load(path)))
