@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import table
+from tracewell.llm.common import mapped, table
 
 #: Features: n-grams of one to three characters, hashed to 2**BITS columns; one more is the constant.
 BITS = 15
@@ -151,13 +151,13 @@ def fit(train: DataFrame, max_rows: int = 3000, text_col: str = "text", lang_col
     if not langs:
         return Model([], np.zeros(SIZE), np.zeros((SIZE + 1, 0)))
     df = np.zeros(SIZE + 1, dtype=np.int64)
-    for r in rows.select("text").mapInArrow(_count_documents, "col int, n long").groupBy("col").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("text").transform(mapped, _count_documents, "col int, n long").groupBy("col").agg(F.sum("n").alias("n")).collect():
         df[r["col"]] = r["n"]
     idf = np.log((1 + df[SIZE]) / (1 + df[:SIZE])) + 1
     share = max(1, max_rows // len(langs))
     chance = F.create_map(*[x for k, n in langs.items() for x in (F.lit(k), F.lit(min(1.0, share / n)))])[F.col("lang")]
     luck = F.pmod(F.xxhash64(F.col("id"), F.lit("language")), F.lit(1_000_000)) / 1e6
-    got = rows.where(luck < chance).select("id", "lang", "text").mapInArrow(_vectors, "id long, lang string, on array<int>, n array<long>").orderBy("id", "lang").toArrow()
+    got = rows.where(luck < chance).select("id", "lang", "text").transform(mapped, _vectors, "id long, lang string, on array<int>, n array<long>").orderBy("id", "lang").toArrow()
     names = sorted(langs)
     data = [(np.array(o), np.array(n), names.index(y)) for y, o, n in zip(got["lang"].to_pylist(), got["on"].to_pylist(), got["n"].to_pylist(), strict=True) if o]
     held = data[::5] if len(data) >= 10 else []
@@ -180,7 +180,7 @@ def predict(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "
     """The columns ``keep``, the text (last), ``lang_pred`` and ``score`` of every row of ``docs``; only the text decides."""
     d = docs.select(*keep, F.col(text_col))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields)
-    return d.mapInArrow(_predictor(model), f"{schema}, lang_pred string, score double")
+    return d.transform(mapped, _predictor(model), f"{schema}, lang_pred string, score double")
 
 
 def held_out(id_col: Column) -> Column:

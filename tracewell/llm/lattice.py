@@ -21,7 +21,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import folded, scratch, table, written
+from tracewell.llm.common import folded, mapped, scratch, table, written
 
 BLANK = "▁"
 #: A piece table beyond this isn't broadcast.
@@ -287,7 +287,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", then: tuple[str,
     pieces = Pieces.load(path)
     docs = _filed(docs.drop("token_ids"))
     folder = scratch(spark, "lattice")
-    found = docs.select(F.expr(_BLOCK).alias("block"), F.col(text_col).alias("text")).mapInArrow(_distinct(pieces.pairs), "block string, unit string")
+    found = docs.select(F.expr(_BLOCK).alias("block"), F.col(text_col).alias("text")).transform(mapped, _distinct(pieces.pairs), "block string, unit string")
     dealt = found.select("unit", F.md5("block").alias("block")).repartition("unit")
     # The hash of a block is asked for so that both sides need the same columns and one exchange serves them.
     paths = best_paths(dealt.groupBy("unit").agg(F.max(F.xxhash64("block")).alias("some")), pieces)
@@ -296,7 +296,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", then: tuple[str,
     kept = docs.select(F.expr(_BLOCK).alias("__block"), *docs.columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     out, finish = then or (f"{schema}, token_ids binary", None)
-    return kept.mapInArrow(_encoder(pieces.pairs, folder, 1 + docs.columns.index(text_col), finish), out)
+    return kept.transform(mapped, _encoder(pieces.pairs, folder, 1 + docs.columns.index(text_col), finish), out)
 
 
 def decode_ids(ids: bytes, pieces: Pieces) -> str:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import table, written
+from tracewell.llm.common import mapped, table, written
 
 #: 64 pixels of three 8-bit samples: one row of the image holds this many bytes.
 WIDTH, CHANNELS = 64, 3
@@ -170,12 +170,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns ``id``, ``n_bytes``, ``media``: each text as one PNG. A null text is stored as an empty one."""
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_encode, "id long, n_bytes long, media binary")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).transform(mapped, _encode, "id long, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:
     """What reading each PNG back gives: payload size and digests, the stored form's size and digest, and the cosine hash as ``feature``."""
-    return media.select("id", "n_bytes", "media").mapInArrow(_features, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("id", "n_bytes", "media").transform(mapped, _features, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tracewell.llm.common import table, written
+from tracewell.llm.common import mapped, table, written
 from tracewell.llm.components import connected_components
 
 BITS = 64
@@ -140,7 +140,7 @@ def near_links(fps: DataFrame, radius: int = 3, max_bucket: int = 128) -> DataFr
     large = shared.where(F.col("n") > max_bucket).select(F.col("mask").cast("long"), "key", F.posexplode(_masked(F.col("fp"), second)).alias("mask2", "key2"), "fp")
     large = large.withColumn("mask2", F.col("mask2").cast("long")).repartition("mask", "key", "mask2", "key2").sortWithinPartitions("mask", "key", "mask2", "key2")
     link = _link_buckets(radius)
-    return small.mapInArrow(link, schema).unionAll(large.mapInArrow(link, schema)).distinct()
+    return small.transform(mapped, link, schema).unionAll(large.transform(mapped, link, schema)).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
@@ -174,8 +174,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tie = F.xxhash64(text_col)
     one = docs.join(first, id_col, "left_semi").select(*docs.columns, F.row_number().over(Window.partitionBy(id_col).orderBy(tie)).alias("__turn")).where("__turn = 1").drop("__turn")
     nameless = docs.where(F.col(id_col).isNull()).withColumn("__fp", simhash(F.col(text_col)))
-    parts = found.where("component_id IS NULL").groupBy("fp").agg(F.first("part").alias("__part"))
-    nameless = nameless.join(parts, nameless["__fp"] == parts["fp"])
+    parts = found.where("component_id IS NULL").groupBy(F.col("fp").alias("__key")).agg(F.first("part").alias("__part"))
+    nameless = nameless.join(parts, F.col("__fp") == F.col("__key"))
     nameless = nameless.withColumn("__turn", F.row_number().over(Window.partitionBy("__part").orderBy("__fp", tie))).where("__turn = 1")
     return one.unionAll(nameless.select(*docs.columns))
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import scratch, table
+from tracewell.llm.common import mapped, scratch, table
 
 WINDOW = 13
 #: Lengths of the prefixes that may name a group; the last is the depth at which trees are cut.
@@ -286,7 +286,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     share = max(1 / (4 * n_parts), LEAST_SHARE)
-    counts = rows.mapInArrow(_frequent(share), "depth int, fp long, n long").groupBy("depth", "fp").agg(F.sum("n").alias("n"))
+    counts = rows.transform(mapped, _frequent(share), "depth int, fp long, n long").groupBy("depth", "fp").agg(F.sum("n").alias("n"))
     folder = scratch(spark, "prefixes")
     counts.write.parquet(folder)
     counts = spark.read.schema("depth int, fp long, n long").parquet(folder)
@@ -294,9 +294,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # At most 1 / share prefixes a depth pass this, so the table is bounded.
     found = counts.where((F.col("depth") > 0) & (F.col("n") > share * total)).select("depth", "fp").collect()
     too_many = [np.sort(np.array([r["fp"] for r in found if r["depth"] == d], dtype=np.int64).view(np.uint64)) for d in LADDER[:-1]]
-    shipped = rows.mapInArrow(_ship(too_many, n_parts), SHIPPED)
-    found = shipped.repartitionById(n_parts, "part").mapInArrow(_subtrees, SHIPPED)
-    return found.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(_resolve, MARKS)
+    shipped = rows.transform(mapped, _ship(too_many, n_parts), SHIPPED)
+    found = shipped.repartitionById(n_parts, "part").transform(mapped, _subtrees, SHIPPED)
+    return found.repartition("batch").sortWithinPartitions("batch", "kind").transform(mapped, _resolve, MARKS)
 
 
 def cut(text: str | None, positions: list[bytes] | None) -> tuple[int, int, str]:
@@ -334,7 +334,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marks = repeated_windows(docs, id_col, text_col).groupBy("id", "tag").agg(F.collect_list("pos").alias("pos"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"), F.col(text_col).alias("text"))
     joined = rows.join(marks, ["id", "tag"], "left").select("id", "text", "pos")
-    return joined.mapInArrow(_cutter(digest), f"id long, n_words long, n_removed long, {'kept_sha256' if digest else 'kept'} string")
+    return joined.transform(mapped, _cutter(digest), f"id long, n_words long, n_removed long, {'kept_sha256' if digest else 'kept'} string")
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

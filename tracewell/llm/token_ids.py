@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import scratch, table
+from tracewell.llm.common import mapped, scratch, table
 
 #: Pieces whose ids a worker remembers.
 CACHE = 1_200_000
@@ -249,9 +249,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END
     t = tokenizer(path)
     size = max(t.size, end_id + 1)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
-    rows.mapInArrow(_tokenizer(path, end_id), RAW).write.option("compression", "zstd").parquet(f"{folder}/raw")
+    rows.transform(mapped, _tokenizer(path, end_id), RAW).write.option("compression", "zstd").parquet(f"{folder}/raw")
     raw = spark.read.schema(RAW).parquet(f"{folder}/raw")
-    counts = raw.select("ids").mapInArrow(_counter(t.dtype, size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = raw.select("ids").transform(mapped, _counter(t.dtype, size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1).select("rank", "id", "n").write.parquet(f"{folder}/ranks")
     rank = np.zeros(size, dtype=np.uint32)
     ids_of = _ids_of(spark, folder)
@@ -259,7 +259,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = [(i + 1) / parts for i in range(parts - 1)]
     bounds = raw.agg(F.percentile_approx("doc_id", cuts, 100 * parts).alias("b")).first()["b"] if cuts else []
-    coded = raw.mapInArrow(_encoder(t.dtype, rank, np.array(bounds or [], dtype=np.int64)), FILE)
+    coded = raw.transform(mapped, _encoder(t.dtype, rank, np.array(bounds or [], dtype=np.int64)), FILE)
     coded.repartitionById(parts, "shard").sortWithinPartitions("shard", "doc_id", "tie").write.parquet(f"{folder}/ids")
 
 
@@ -294,7 +294,7 @@ def _lister(ids_of: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 def read_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id`` and ``ids`` (array, end id included) from the token files."""
-    return spark.read.schema(FILE).parquet(f"{folder}/ids").mapInArrow(_lister(_ids_of(spark, folder)), "doc_id long, ids array<long>")
+    return spark.read.schema(FILE).parquet(f"{folder}/ids").transform(mapped, _lister(_ids_of(spark, folder)), "doc_id long, ids array<long>")
 
 
 def token_digests(spark: SparkSession, folder: str) -> DataFrame:
@@ -303,7 +303,7 @@ def token_digests(spark: SparkSession, folder: str) -> DataFrame:
     Running sums stay within a shard; a shard's own start comes from one row
     a shard.
     """
-    rows = spark.read.schema(FILE).parquet(f"{folder}/ids").mapInArrow(_decoder(_ids_of(spark, folder)), "shard int, doc_id long, tie long, n_tokens long, ids_crc32 long")
+    rows = spark.read.schema(FILE).parquet(f"{folder}/ids").transform(mapped, _decoder(_ids_of(spark, folder)), "shard int, doc_id long, tie long, n_tokens long, ids_crc32 long")
     sizes = spark.read.schema(FILE).parquet(f"{folder}/ids").groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     first = sizes.select(F.col("shard").alias("of"), (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("first"))
     inside = Window.partitionBy("shard").orderBy(F.col("doc_id").asc_nulls_first(), "tie").rowsBetween(Window.unboundedPreceding, 0)

@@ -12,7 +12,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import scratch, table
+from tracewell.llm.common import mapped, scratch, table
 
 #: Payloads below this many bytes are never made revisits.
 MIN_REVISIT = 100
@@ -117,7 +117,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     copies.write.parquet(f"{folder}/copies")
     copies = spark.read.schema("digest string, first long").parquet(f"{folder}/copies")
     marked = rows.join(copies, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")).alias("refers_to"))
-    marked.mapInArrow(_writer(f"{folder}/archives"), INDEX).write.parquet(f"{folder}/index")
+    marked.transform(mapped, _writer(f"{folder}/archives"), INDEX).write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
@@ -167,7 +167,7 @@ def read_records(index: DataFrame, folder: str, each: Callable[[dict[str, str],
     payload into a row. A response whose payload fails its digest is an error.
     """
     dealt = index.select("file", "offset", "length").withColumn("span", F.floor(F.col("offset") / SPAN)).repartition("file", "span").sortWithinPartitions("file", "offset")
-    return dealt.select("file", "offset", "length").mapInArrow(_reader(f"{folder}/archives", each, arrow), schema)
+    return dealt.select("file", "offset", "length").transform(mapped, _reader(f"{folder}/archives", each, arrow), schema)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
