@@ -118,7 +118,7 @@ def test_text_functions(spark):
 
 def test_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_text('﻿id,note\r\n1,"two\r\nlines, ""quoted"""\r\n')
-    assert [tuple(r) for r in files.csv_contract(spark, str(tmp_path / "a.csv"), ["id", "note"]).collect()] == [("1", 'two\r\nlines, "quoted"')]
+    assert [tuple(r) for r in files.csv_contract(spark, str(tmp_path / "a.csv"), ["id", "note"]).collect()] == [("1", 'two\nlines, "quoted"')]
     with pytest.raises(ValueError):
         files.csv_contract(spark, str(tmp_path / "a.csv"), ["id"])
     (tmp_path / "c.jsonl").write_text('{"id": 1}\n\nbroken\n{"id": 2}\n')

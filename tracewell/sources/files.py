@@ -18,7 +18,7 @@ def jsonl_corpus(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def csv_contract(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A CSV whose header must be exactly ``columns``; quotes may hold line ends. ValueError otherwise."""
+    r"""A CSV whose header must be exactly ``columns``; quotes may hold line ends, which are read as \n. ValueError otherwise."""
     got = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
     names = [c.lstrip("﻿") for c in got.columns]
     if names != columns:
