@@ -409,6 +409,16 @@ def test_long_units(spark):
     assert got == {u: best(pieces, table, u) for u in units}
 
 
+def test_cuts_do_not_depend_on_windows(monkeypatch):
+    cut = lattice.Cutter(lattice.Pieces.load(public_tokenizers.path("piece_bpe_32k.model")).pairs)
+    texts = ["The end. Is it, really?\nYes \x01 x", None, "", "日本 ab", "😀😀 é", " "]
+    units, first = cut.units(texts)
+    for window in (1, 2, 3, 7):
+        monkeypatch.setattr(lattice, "_WINDOW", window)
+        got, at = cut.units(texts)
+        assert got.to_pylist() == units.to_pylist() and at.tolist() == first.tolist()
+
+
 def test_cuts_cross_no_piece():
     pieces = lattice.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
     cut = lattice.Cutter(pieces.pairs)

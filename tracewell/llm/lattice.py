@@ -21,7 +21,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import folded, mapped, scratch, table, written
+from tracewell.llm.common import folded, give_back, mapped, scratch, table, written
 
 BLANK = "▁"
 #: A piece table beyond this isn't broadcast.
@@ -63,8 +63,9 @@ class Cutter:
     """Splits texts into units that no piece crosses, so best paths of units make the best path of the text.
 
     A cut lies between two characters that stand side by side in no piece.
-    Whole batches are cut at once: pairs of neighbours are looked up in a
-    table for low code points and in a sorted list for others.
+    Many texts are cut at once, a window of characters at a time: pairs of
+    neighbours are looked up in a table for low code points and in a sorted
+    list for others.
     """
 
     LOW = 0x250
@@ -89,12 +90,30 @@ class Cutter:
         """All units in order, and the first unit of each text (and the end). A text gets a blank in front, unless it is empty."""
         spelled = [BLANK + t.replace(" ", BLANK) if t else "" for t in texts]
         joined = "".join(spelled)
-        data = joined.encode("utf-8", "surrogatepass")
-        c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
         edge = np.concatenate([[0], np.cumsum([len(t) for t in spelled], dtype=np.int64)])
-        if not len(c):
+        del spelled
+        if not joined:
             return pa.array([], pa.large_string()), np.zeros(len(edge), dtype=np.int64)
-        width = (c > 0x7F).view(np.uint8) + (c > 0x7FF).view(np.uint8) + (c > 0xFFFF).view(np.uint8) + np.uint8(1)
+        starts, offsets, size = [], [], 0
+        for k in range(0, len(joined), _WINDOW):
+            # The character before a window says whether its first one joins.
+            c = np.frombuffer(joined[max(k - 1, 0) : k + _WINDOW].encode("utf-32-le", "surrogatepass"), dtype="<u4")
+            joins, lead = self._joins(c), int(k > 0)
+            inside = edge[(edge >= k) & (edge < k + len(c) - lead)] - k
+            joins[inside + lead] = False
+            c, first = c[lead:], np.flatnonzero(~joins[lead:])
+            width = (c > 0x7F).view(np.uint8) + (c > 0x7FF).view(np.uint8) + (c > 0xFFFF).view(np.uint8) + np.uint8(1)
+            end = np.cumsum(width, dtype=np.int64)
+            starts.append(first + k)
+            offsets.append(end[first] - width[first] + size)
+            size += int(end[-1])
+        first = np.concatenate(starts)
+        offsets = np.concatenate([*offsets, [size]])
+        units = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(joined.encode("utf-8", "surrogatepass")))
+        return units, np.searchsorted(first, edge)
+
+    def _joins(self, c: np.ndarray) -> np.ndarray:
+        """Whether each character stands beside the one before it in some piece; false for the first."""
         k = np.where(c == 1, np.uint32(self.LOW), c)  # the control character itself never joins
         k[c == self._BLANK] = 1
         near = k < self.LOW
@@ -107,13 +126,11 @@ class Cutter:
             key = k[far].astype(np.int64) << 32 | k[far + 1]
             at = np.minimum(np.searchsorted(self.high, key), len(self.high) - 1)
             joins[far + 1] = self.high[at] == key
-        joins[edge[:-1][edge[:-1] < len(c)]] = False
-        first = np.flatnonzero(~joins)
-        offsets = np.append(np.cumsum(width, dtype=np.int64)[first] - width[first], len(data))
-        units = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(data))
-        return units, np.searchsorted(first, edge)
+        return joins
 
 
+#: Characters cut at once, which bounds the arrays that a very long text needs.
+_WINDOW = 1 << 18
 #: Texts cut together.
 _ROWS = 250
 
@@ -144,7 +161,7 @@ def _distinct(pairs: frozenset[str]) -> Callable[[Iterator[pa.RecordBatch]], Ite
                     fresh += len(parts[-1])
                     if fresh > 300_000:
                         parts, fresh = [pc.unique(pa.concat_arrays(parts))], 0
-                        pa.default_memory_pool().release_unused()
+                        give_back()
         if parts:
             yield from rows(held, parts)
 
@@ -256,7 +273,7 @@ def _encoder(pairs: frozenset[str], folder: str, at: int, then: Callable[[pa.Rec
                 ids = flat[np.repeat(begin[c] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
                 edge = np.concatenate([[0], end])[first].tolist()
                 out += [ids[s:e].tobytes() for s, e in zip(edge, edge[1:], strict=False)]
-            pa.default_memory_pool().release_unused()
+            give_back()
             return out
 
         for batch in batches:
