@@ -48,6 +48,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most bytes of rows that go to a Python worker at once, unless the session has its own setting.
+BATCH_BYTES = "15m"
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def give_back() -> None:
     """Return freed memory to the system: Arrow's pool, and the C heap, where numpy's arrays are, if the C library can."""
     pa.default_memory_pool().release_unused()
@@ -60,7 +65,12 @@ def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterato
     """mapInArrow whose worker gives the memory of its batches back to the system when a task ends.
 
     Workers are kept for later tasks, so what they hold counts all the time.
+    Batches are bounded by bytes besides rows, as texts may be long; Spark
+    reads that setting when the plan runs, so it stays set.
     """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY, None) is None:
+        conf.set(_BATCH_KEY, BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(batches)
