@@ -21,4 +21,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": lattice.op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: SQL can't express trained models (1, 2, 3), tokenizers and lattices (4, 10), XXH64 fingerprints (5) and PNG (6); tests/llm compares those with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op7_mixing": f"""
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS turn FROM d GROUP BY source),
+w AS (SELECT *, CASE turn WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::DOUBLE AS weight, source_size * 3.0::DOUBLE AS cap FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER turns, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER turns, 0)) AS level
+      FROM w WINDOW turns AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, min(CASE WHEN level <= cap / weight THEN cap / weight END) OVER () AS free_from FROM l),
+t AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0 ELSE least(cap, coalesce((SELECT g.level FROM f g WHERE g.cap / g.weight = f.free_from ORDER BY g.source NULLS LAST LIMIT 1) * weight, cap)) END AS target FROM f),
+m AS (SELECT doc_id, d.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS share, (('0x' || md5(doc_id::VARCHAR)[1:13])::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS u
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT *, floor(share) AS whole, share - floor(share) AS part FROM m),
+o AS (SELECT *, CASE WHEN part > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS rank FROM r),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM o)
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN rank IS NOT NULL AND upto - size / 2 <= part * source_size THEN 1 ELSE 0 END))::BIGINT AS taken FROM c""",
+    "op8_substrings": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, s, array_to_string(w[s : s + 12], ' ') AS window_words FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d)),
+l AS (SELECT window_words, min(doc_id) AS least FROM g GROUP BY window_words),
+r AS (SELECT DISTINCT doc_id, s + unnest(range(0, 13)) AS k FROM g JOIN l USING (window_words) WHERE least < doc_id),
+k AS (SELECT e.doc_id, count(*) AS n_kept, string_agg(e.word, ' ' ORDER BY e.k) AS kept FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d) e ANTI JOIN r ON e.doc_id = r.doc_id AND e.k = r.k GROUP BY e.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest, min(page_id) AS least FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN least IS NOT NULL AND page_id IS DISTINCT FROM least THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM least THEN least END AS refers_to
+FROM p LEFT JOIN m ON p.payload_digest = m.payload_digest""",
+}
