@@ -127,6 +127,13 @@ def test_redaction(spark, docs, rows):
     assert got.where("text IS NULL").count() == docs.where("text IS NULL").count()
 
 
+def test_redaction_of_long_secrets(spark):
+    rng = random.Random(9)
+    secrets = ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (28, 256, 257, 1000, 20000)]
+    d = spark.createDataFrame([(i, f"the token={s} is here") for i, s in enumerate(secrets)], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in pii.redact(d).collect()} == {i: "the <SECRET> is here" for i in range(len(secrets))}
+
+
 def test_em_trusts_agreeing_labelers():
     post = pii.estimate([(2 + 2 * 3 + 2 * 9 + 2 * 27, 50), (1 + 1 * 3 + 1 * 9 + 1 * 27, 50), (2 + 1 * 3, 5)])
     assert post[80] > 0.9 and post[40] < 0.1

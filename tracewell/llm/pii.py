@@ -24,7 +24,7 @@ BASE = {
 }
 #: What the method looks at besides: keyed credentials, written-out addresses, runs of seven or more digits.
 CANDIDATE = "|".join([
-    r"(?i:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.-]{8,256}[\"']?",
+    r"(?i:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.-]{8,}+[\"']?",
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\s?(?:\(at\)|\[at\])\s?[A-Za-z0-9-]{1,63}\s?(?:\(dot\)|\[dot\]|\.)\s?[A-Za-z]{2,10}",
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     r"(?<![A-Za-z0-9])[+(]{0,2}[0-9](?:[ ().-]{0,2}[0-9]){6,64}",
