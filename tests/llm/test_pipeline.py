@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import collections
+import random
+
 import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
-from tracewell.llm import lattice
+from tracewell.llm import lattice, similar
 from tracewell.llm.common import written
 
 
@@ -25,6 +28,65 @@ def test_stages_on_nothing(spark, none):
         assert stage(spark, docs, "").count() == 0, name
 
 
+def components_by_brute_force(rows):
+    """Least id of each row's component: 5-word Jaccard >= 0.8 or no word at all, over all pairs that share a shingle."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset([b" ".join(w)] if 0 < len(w) <= 5 else [b" ".join(w[i : i + 5]) for i in range(len(w) - 4)]))
+    label = {s: s for s in sets}
+
+    def root(s):
+        while label[s] is not s:
+            s = label[s]
+        return s
+
+    label = {s: s for s in label}
+    nodes, having = list(label), collections.defaultdict(list)
+    for i, s in enumerate(nodes):
+        common = collections.Counter(j for g in s for j in having[g])
+        for j, n in common.items():
+            if n / (len(s) + len(nodes[j]) - n) >= 0.8:
+                label[root(s)] = root(nodes[j])
+        for g in s:
+            having[g].append(i)
+    least = {}
+    for (k, _), s in zip(rows, sets, strict=True):
+        r = root(label[s])
+        least[r] = min((x for x in (k, least.get(r)) if x is not None), default=None)
+    return [least[root(label[s])] for s in sets]
+
+
+def near_texts(n=140):
+    """A base text, copies of it that are near one another, near the base only, or just below the limit, and other texts."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(204)]
+    rows = [(500, " ".join(base))]
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(0, 204, 6), 1 + i % 6):
+            w[at] = word()
+        rows.append((1000 + i, " ".join(w)))
+    rows += [(i, " ".join(word() for _ in range(40))) for i in range(20)]
+    return rows + [(2000 + i, " ".join(base[: 100 + 4 * i])) for i in range(26)]
+
+
+def test_near_dedup_by_brute_force(spark, docs, rows):
+    awkward = [(r[0], r[1]) for r in rows]
+    sample = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    for data in (awkward, sample, near_texts()):
+        d = spark.createDataFrame(data, "doc_id long, text string")
+        want = components_by_brute_force(data)
+        for size in (similar.MAX_BUCKET, 3):
+            got = collections.Counter((r["doc_id"], r["component_id"]) for r in similar.near_copies(d, max_bucket=size).collect())
+            assert got == collections.Counter((k, c) for (k, _), c in zip(data, want, strict=True))
+        kept = [r["doc_id"] for r in stage(spark, d, "").collect()]
+        assert collections.Counter(k for k in kept if k is not None) == collections.Counter({c for c in want if c is not None})
+    assert {2, 56} & set(r["doc_id"] for r in stage(spark, spark.createDataFrame(sample, "doc_id long, text string"), "").collect()) != {2, 56}
+
+
 def test_run(spark):
     pieces = lattice.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()

@@ -163,17 +163,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the least id.
+    """The rows of ``docs`` without near-duplicates, as near_duplicates() finds them."""
+    return least_of_each(docs, near_duplicates(docs, id_col, text_col, radius), simhash, id_col, text_col)
+
+
+def least_of_each(docs: DataFrame, found: DataFrame, fingerprint: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component of ``found`` the row of ``docs`` with the least id; ``fingerprint`` of a text is its ``fp`` there.
 
     Among rows that share that id, the one with the least text hash stays. A
     component of null ids only keeps the row with the least fingerprint and
     text hash.
     """
-    found = near_duplicates(docs, id_col, text_col, radius)
     first = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     tie = F.xxhash64(text_col)
     one = docs.join(first, id_col, "left_semi").select(*docs.columns, F.row_number().over(Window.partitionBy(id_col).orderBy(tie)).alias("__turn")).where("__turn = 1").drop("__turn")
-    nameless = docs.where(F.col(id_col).isNull()).withColumn("__fp", simhash(F.col(text_col)))
+    nameless = docs.where(F.col(id_col).isNull()).withColumn("__fp", fingerprint(F.col(text_col)))
     parts = found.where("component_id IS NULL").groupBy(F.col("fp").alias("__key")).agg(F.first("part").alias("__part"))
     nameless = nameless.join(parts, F.col("__fp") == F.col("__key"))
     nameless = nameless.withColumn("__turn", F.row_number().over(Window.partitionBy("__part").orderBy("__fp", tie))).where("__turn = 1")
