@@ -144,7 +144,6 @@ def test_token_files(spark, docs, rows, none):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     folder = scratch(spark, "test-ids")
     token_ids.write_token_files(docs, folder, path)
     tie = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
@@ -170,6 +169,13 @@ def test_coding_round_trip():
         token_ids.unpack(b"\x00", b"ab", 1)
 
 
+def test_added_tokens_are_the_library_s(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    token_ids.write_token_files(spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "a <|endoftext b")], "doc_id long, text string"), f"file://{tmp_path}/t", path)
+    got = {r["doc_id"]: r["ids"] for r in token_ids.read_token_ids(spark, f"file://{tmp_path}/t").collect()}
+    assert got[1] == [64, 220, 50256, 275, 2] and got[2] == [50256, 2] and 50256 not in got[3]
+
+
 def test_pieces_equal_the_library():
     t = token_ids.PieceTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
     rng = random.Random(4)

@@ -17,6 +17,8 @@ from tracewell.llm.common import mapped, scratch, table
 #: Pieces whose ids a worker remembers.
 CACHE = 1_200_000
 END_ID = 2
+#: A shard holds about so many ids at most.
+SHARD_IDS = 1 << 27
 #: Documents encoded together.
 _ROWS = 5000
 
@@ -25,7 +27,7 @@ FILE = "shard int, doc_id long, tie long, n_tokens long, control binary, data bi
 _FILE = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int64()), ("control", pa.binary()), ("data", pa.binary())])
 
 
-#: Texts with any of these go through the library whole: white space at an
+#: Texts with any of these, or with an added token, go through the library whole: white space at an
 #: end or beside a blank, white space other than blank, tab and line ends, and
 #: the marks that pieces use.
 _WHOLE = r"^[ \t\n\f\r]|[ \t\n\f\r]\z|[ \t\n\f\r] | [\t\n\f\r]|[\x01\x02\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -59,7 +61,8 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        # The model's added tokens are found in raw text, so texts that hold one aren't cut.
+        self.uncut = "|".join([_WHOLE, *(re.escape(t.content) for t in self.model.get_added_tokens_decoder().values())])
         self.bare = Tokenizer(self.model.model)
         self.size = max(self.model.get_vocab(with_added_tokens=True).values()) + 1
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
@@ -111,7 +114,7 @@ class PieceTokenizer:
         """The ids of each text (null: none), as little-endian bytes."""
         kind = pa.large_string()
         texts = pc.fill_null(texts.cast(kind), "")
-        whole = pc.or_(pc.match_substring_regex(texts, _WHOLE), pc.equal(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False)
+        whole = pc.or_(pc.match_substring_regex(texts, self.uncut), pc.equal(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False)
         out: list[bytes] = [b""] * len(texts)
         for i in np.flatnonzero(whole).tolist():
             if text := texts[i].as_py():
@@ -256,7 +259,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END
     rank = np.zeros(size, dtype=np.uint32)
     ids_of = _ids_of(spark, folder)
     rank[ids_of] = np.arange(len(ids_of))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = raw.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_IDS))
     cuts = [(i + 1) / parts for i in range(parts - 1)]
     bounds = raw.agg(F.percentile_approx("doc_id", cuts, 100 * parts).alias("b")).first()["b"] if cuts else []
     coded = raw.transform(mapped, _encoder(t.dtype, rank, np.array(bounds or [], dtype=np.int64)), FILE)
