@@ -18,6 +18,8 @@ from tracewell.llm.common import mapped, scratch, table
 MIN_REVISIT = 100
 #: Reads join ranges that are at most GAP apart, up to READ bytes; SPAN bytes of a file are one unit of work.
 GAP, READ, SPAN = 64 << 10, 8 << 20, 64 << 20
+#: Bytes that a task reads about, where there are more stretches than shuffle partitions.
+TASK = 1 << 30
 #: A new archive begins beyond this size.
 ARCHIVE = 1 << 30
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -108,7 +110,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     all responses, and so are rows that share that least page_id. Null html
     is an empty payload; a null url or page_id leaves its field out; where
     all ids of equal payloads are null, all are responses. Every url, however
-    frequent, is spread with its payload. An empty table gives an empty index.
+    frequent, is spread with its payload. A payload is compressed in one
+    piece, so a very long one needs its own size a few times. An empty table
+    gives an empty index; other columns are not read.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
@@ -163,10 +167,15 @@ def read_records(index: DataFrame, folder: str, each: Callable[[dict[str, str],
     """Read the records that ``index`` (any selection of its rows) names.
 
     Rows are dealt by file and stretch of the file and sorted by offset, so a
-    task reads few, long, ascending ranges. ``each`` turns header fields and
+    task reads few, long, ascending ranges; there are as many tasks as
+    stretches, up to one for each TASK bytes. ``each`` turns header fields and
     payload into a row. A response whose payload fails its digest is an error.
     """
-    dealt = index.select("file", "offset", "length").withColumn("span", F.floor(F.col("offset") / SPAN)).repartition("file", "span").sortWithinPartitions("file", "offset")
+    ranges = index.select("file", "offset", "length").withColumn("span", F.floor(F.col("offset") / SPAN))
+    # The index is small beside what it names, so the number of tasks comes from the bytes to read.
+    size = ranges.agg(F.sum("length").alias("n"), F.approx_count_distinct(F.struct("file", "span")).alias("spans")).first()
+    tasks = min(max(1, size["spans"]), max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size["n"] or 0) // TASK)))
+    dealt = ranges.repartition(tasks, "file", "span").sortWithinPartitions("file", "offset")
     return dealt.select("file", "offset", "length").transform(mapped, _reader(f"{folder}/archives", each, arrow), schema)
 
 
