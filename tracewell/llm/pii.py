@@ -25,9 +25,9 @@ BASE = {
 #: What the method looks at besides: keyed credentials, written-out addresses, runs of seven or more digits.
 CANDIDATE = "|".join([
     r"(?i:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.-]{8,}+[\"']?",
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\s?(?:\(at\)|\[at\])\s?[A-Za-z0-9-]{1,63}\s?(?:\(dot\)|\[dot\]|\.)\s?[A-Za-z]{2,10}",
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    r"(?<![A-Za-z0-9])[+(]{0,2}[0-9](?:[ ().-]{0,2}[0-9]){6,64}",
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?(?:\(at\)|\[at\])\s?[A-Za-z0-9-]++\s?(?:\(dot\)|\[dot\]|\.)\s?[A-Za-z]{2,}+",
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    r"(?<![A-Za-z0-9])[+(]{0,2}[0-9](?:[ ().-]{0,2}[0-9]){6,}+",
 ])
 KINDS = ("email", "ip", "card", "phone", "secret")
 _SPAN = "struct<start:int,end:int,v:string>"
@@ -65,10 +65,34 @@ def _matches(docs: DataFrame, patterns: dict[str, str], text: str) -> DataFrame:
     return docs.select("*", *[F.when(F.size(f"m_{k}") > 0, F.split(t, p, -1)).otherwise(none).alias(f"p_{k}") for k, p in patterns.items()])
 
 
+#: The gazetteer, a table of a kind and an entry: what credentials are called, how domains end, which calling codes exist (E.164; all codes of some three-digit zones), and words before numbers that aren't personal. Callers may pass their own.
+GAZETTEER: dict[str, tuple[str, ...]] = {
+    "credential": ("password", "passwd", "pwd", "token", "secret", "apikey", "api_key", "api-key"),
+    "ending": tuple("com org net edu gov mil int info biz io ai app dev co example test ac ad ae af ag al am ao ar at au az ba bd be bf bg bh bj bo br bw by bz ca cd cf cg ch ci cl cm cn cr cu cv cy cz de dj dk do dz ec ee eg es et eu fi fj fr ga gb ge gh gn gr gt hk hn hr ht hu id ie il in iq ir is it jm jo jp ke kg kh km kr kw kz lb li lk lr ls lt lu lv ly ma mc md me mg mk ml mm mn mr mt mu mv mw mx my mz na ne ng ni nl no np nz om pa pe ph pk pl pt py qa re ro rs ru rw sa sc sd se sg si sk sn so sv sy td tg th tn tr tt tz ua ug uk us uy uz ve vn ye za zm zw".split()),
+    "calling": tuple("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()),
+    "zone": tuple("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split()),
+    "quantity": ("eur", "usd", "isbn", "doi", "version", "page", "chapter", "vol", "no", "$", "€", "£"),
+}
+
+
+def _listed_in(kind: str, value: str, gazetteer: dict[str, tuple[str, ...]]) -> str:
+    """SQL: whether the gazetteer has the value as an entry of that kind."""
+    entries = ", ".join("'" + e.replace("\\", "\\\\").replace("'", "\\'") + "'" for e in gazetteer.get(kind, ()))
+    return f"array_contains(CAST(array({entries}) AS array<string>), {value})"
+
+
+def _gazetteer(table: dict[str, tuple[str, ...]]) -> str:
+    """SQL of the labeler that looks parts of a candidate up in the gazetteer."""
+    name, ending, number = "lower(regexp_extract(x.v, '^[A-Za-z_-]+', 0))", "lower(regexp_extract(x.v, '[A-Za-z]+$', 0))", "regexp_replace(x.v, '[^0-9]', '')"
+    before = "lower(regexp_extract(x.l, '([A-Za-z]+|[$€£])[.]?[ :]{0,2}$', 1))"
+    calling = " OR ".join([*(_listed_in("calling", f"left({number}, {k})", table) for k in (1, 2)), _listed_in("zone", f"left({number}, 2)", table)])
+    return f"CASE WHEN {_listed_in('credential', name, table)} THEN 1 WHEN x.v RLIKE '@|[(\\\\[]at[)\\\\]]' THEN IF({_listed_in('ending', ending, table)}, 1, -1) WHEN {_listed_in('quantity', before, table)} THEN 0 WHEN x.v LIKE '+%' THEN IF({calling}, 1, 0) ELSE -1 END"
+
+
 #: Labelers: SQL over a candidate x (v: its text, l and r: what stands before and after) that gives 1 (personal), 0 (not) or -1 (no opinion).
 LABELERS = {
     "shape": f"CASE WHEN x.v RLIKE '@|[(\\\\[]at[)\\\\]]' THEN 1 WHEN x.v RLIKE '^(?:19|20)[0-9]{{2}}[-. ][0-9]{{1,2}}[-. ][0-9]{{1,2}}$' THEN 0 WHEN x.v RLIKE '^[+][0-9]' THEN IF({_digits('x.v')} BETWEEN 10 AND 15, 1, 0) WHEN x.v RLIKE '^[0-9]+([.][0-9]+){{3}}$' THEN IF({_octets('x.v')}, 1, 0) WHEN x.v RLIKE '^[(]?[0-9]{{3}}[)]?[ .-][0-9]{{3}}[ .-][0-9]{{4}}$' THEN 1 WHEN x.v RLIKE '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN 1 WHEN x.v RLIKE '^[0-9 -]+$' AND {_digits('x.v')} BETWEEN 14 AND 19 THEN IF({_luhn('x.v')}, 1, 0) WHEN x.v RLIKE '^[0-9]+$' THEN 0 ELSE -1 END",
-    "gazetteer": "CASE WHEN x.v RLIKE '(?i)^(?:password|passwd|pwd|token|secret|api)' THEN 1 WHEN x.v RLIKE '(?i)mail|[.](?:com|org|net|edu|gov|io|mu|fr|de|es|uk)$' THEN 1 WHEN x.l RLIKE '(?i)(?:eur|usd|isbn|doi|version|page|chapter|vol|no[.]?|[$]|€|£)[ :]{0,2}$' THEN 0 ELSE -1 END",
+    "gazetteer": _gazetteer(GAZETTEER),
     "context": "CASE WHEN x.l RLIKE '(?i)(?:call|phone|tel|mobile|contact|reach|fax|mail|card|account|iban|ssn|host|server|ip)[ :.#]{1,3}$' THEN 1 WHEN x.r RLIKE '(?i)^ ?(?:%|km|kg|people|years|euros?|items|dollars)' THEN 0 ELSE -1 END",
     "entropy": "CASE WHEN x.v RLIKE '[0-9a-f]{16}' AND x.v RLIKE '[a-f]' AND x.v RLIKE '[0-9]' THEN 1 WHEN x.v RLIKE '^[0-9]{20,}' THEN 0 ELSE -1 END",
 }
@@ -85,16 +109,17 @@ FEATURES = {
 }
 
 
-def _codes() -> tuple[str, str]:
+def _codes(gazetteer: dict[str, tuple[str, ...]]) -> tuple[str, str]:
     """SQL for the votes as one number in base 3, and for the features as one in base 2."""
-    votes = " + ".join(f"(({q}) + 1) * {3**i}" for i, q in enumerate(LABELERS.values()))
+    labelers = LABELERS | {"gazetteer": _gazetteer(gazetteer)}
+    votes = " + ".join(f"(({q}) + 1) * {3**i}" for i, q in enumerate(labelers.values()))
     feats = " + ".join(f"IF({q}, {2**i}, 0)" for i, q in enumerate(FEATURES.values()))
     return votes, feats
 
 
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, gazetteer: dict[str, tuple[str, ...]] = GAZETTEER) -> DataFrame:
     """Per row: ``id``, ``base`` (spans of the four base kinds, sorted), ``cand`` (candidates with votes and features); and the columns ``keep``."""
-    votes, feats = _codes()
+    votes, feats = _codes(gazetteer)
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("txt"), *[F.col(c).alias(f"kept_{c}") for c in keep or []])
     names = [c for c in d.columns if c != "txt"]
     d = _matches(d, BASE | {"cand": CANDIDATE}, "txt")
@@ -181,13 +206,15 @@ def _listed(spans: str) -> str:
     return f"array_join(transform({spans}, x -> concat({names}[x.k], ':', x.start, ':', x.end)), ',')"
 
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.5, gazetteer: dict[str, tuple[str, ...]] = GAZETTEER) -> DataFrame:
     """Per row of ``docs``: id, ``base`` and ``spans``, arrays of (start, k, end) in code points, end exclusive, k an index into KINDS; and the columns ``keep``.
 
     Null and empty texts have none; rows are independent, so repeated rows and
-    null ids are kept as they are; other columns are not read.
+    null ids are kept as they are; a span of any length in a text of any
+    length is found whole; where candidates touch, the one that begins first
+    counts; other columns are not read.
     """
-    found = written(find_spans(docs, id_col, text_col, keep), "pii-found")
+    found = written(find_spans(docs, id_col, text_col, keep, gazetteer), "pii-found")
     out = found.withColumn("spans", decided(fit(found), threshold))
     return out.select(F.col("id").alias(id_col), "base", "spans", *[F.col(f"kept_{c}").alias(c) for c in keep or []])
 
