@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import mapped, table
+from tracewell.llm.common import give_back, mapped, table
 
 #: Features: n-grams of one to three characters, hashed to 2**BITS columns; one more is the constant.
 BITS = 15
@@ -118,7 +118,7 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 _DF = pa.schema([("col", pa.int32()), ("n", pa.int64())])
-_ROW = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("on", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
+_ROW = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("tie", pa.int64()), ("on", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
 _PRED = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
 
 
@@ -134,38 +134,54 @@ def _count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = [grams(t.as_py() or "") for t in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype(np.int32) for a, _ in got], type=pa.list_(pa.int32())), pa.array([b for _, b in got], type=pa.list_(pa.int64()))], schema=_ROW)
+        got = [grams(t.as_py() or "") for t in batch.column(3)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([x[k].astype(np.int32) for x in got], type=pa.list_(pa.int32())) for k in (0, 1))], schema=_ROW)
 
 
-def fit(train: DataFrame, max_rows: int = 3000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
+def fit(train: DataFrame, max_rows: int = 3000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_langs: int = 200) -> Model:
     """Learn from labelled rows (null labels and ids are left out).
 
     Document frequencies cover all of ``train``. The classifier itself is
     fitted on about ``max_rows`` rows, as many of each language as there are
     up to an equal share, chosen by hash of the id; a fifth of them sets the
-    temperature. The driver holds those sparse rows and one number a column.
+    temperature. The driver holds those sparse rows, as flat arrays, and one
+    number a column. Where the label column has more than ``max_langs``
+    values, the most frequent ones (ties: the lesser name) are the languages,
+    and rows with other labels teach nothing.
     """
     rows = train.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    langs = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     if not langs:
         return Model([], np.zeros(SIZE), np.zeros((SIZE + 1, 0)))
     df = np.zeros(SIZE + 1, dtype=np.int64)
-    for r in rows.select("text").transform(mapped, _count_documents, "col int, n long").groupBy("col").agg(F.sum("n").alias("n")).collect():
-        df[r["col"]] = r["n"]
+    counted = rows.select("text").transform(mapped, _count_documents, "col int, n long").groupBy("col").agg(F.sum("n").alias("n")).toArrow()
+    df[counted["col"].to_numpy()] = counted["n"].to_numpy()
     idf = np.log((1 + df[SIZE]) / (1 + df[:SIZE])) + 1
     share = max(1, max_rows // len(langs))
     chance = F.create_map(*[x for k, n in langs.items() for x in (F.lit(k), F.lit(min(1.0, share / n)))])[F.col("lang")]
     luck = F.pmod(F.xxhash64(F.col("id"), F.lit("language")), F.lit(1_000_000)) / 1e6
-    got = rows.where(luck < chance).select("id", "lang", "text").transform(mapped, _vectors, "id long, lang string, on array<int>, n array<long>").orderBy("id", "lang").toArrow()
     names = sorted(langs)
-    data = [(np.array(o), np.array(n), names.index(y)) for y, o, n in zip(got["lang"].to_pylist(), got["on"].to_pylist(), got["n"].to_pylist(), strict=True) if o]
-    held = data[::5] if len(data) >= 10 else []
-    model = Model(names, idf, train_ftrl([r for i, r in enumerate(data) if not held or i % 5], len(names), idf))
-    model.temperature = calibrate(np.array([model.logits(o, n) for o, n, _ in held]), np.array([y for _, _, y in held]))
+    model = Model(names, idf, np.zeros((SIZE + 1, len(names))))
+    _train(model, rows.where(luck < chance).select("id", "lang", F.xxhash64("text").alias("tie"), "text").transform(mapped, _vectors, "id long, lang string, tie long, on array<int>, n array<int>").toArrow())
+    give_back()
     return model
 
 
+def _train(model: Model, got: pa.Table) -> None:
+    """Sets weights and temperature from the sampled rows, in order of id, label and text hash."""
+    if not got.num_rows:
+        return
+    got = got.combine_chunks()
+    on, n = (got[c].chunk(0) for c in ("on", "n"))
+    at, on, n = on.offsets.to_numpy(), on.values.to_numpy(), n.values.to_numpy()
+    y = np.searchsorted(np.array(model.langs, dtype=object), got["lang"].to_pylist())
+    order = np.lexsort((got["tie"].to_numpy(), y, got["id"].to_numpy()))
+    data = [(on[at[i] : at[i + 1]], n[at[i] : at[i + 1]], int(y[i])) for i in order.tolist() if at[i + 1] > at[i]]
+    held = data[::5] if len(data) >= 10 else []
+    model.weights = train_ftrl([r for i, r in enumerate(data) if not held or i % 5], len(model.langs), model.idf)
+    model.temperature = calibrate(np.array([model.logits(o, c) for o, c, _ in held]), np.array([k for _, _, k in held]))
+
+
 def _predictor(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
