@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,12 +26,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
     That is spark.checkpoint.dir. Where it is unset, as in tests on one
-    machine, a temporary folder takes its place.
+    machine, a temporary folder takes its place; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext.getCheckpointDir()
         if held is None:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tracewell-')}")
             held = spark.sparkContext.getCheckpointDir()
         root = held
@@ -45,7 +48,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() made and that nothing will read again, so that long jobs hold no more disk than they need."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of a few numbers that are broadcast at most: some tens of megabytes.
+BROADCAST_ROWS = 1 << 20
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows as one side of a join: broadcast if its counted rows are few, else left to be shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 #: Most bytes of rows that go to a Python worker at once, unless the session has its own setting.

@@ -8,11 +8,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tracewell.llm.common import mapped, table, written
+from tracewell.llm.common import mapped, small_side, table, written
 from tracewell.llm.components import connected_components
 
 BITS = 64
@@ -143,45 +143,58 @@ def near_links(fps: DataFrame, radius: int = 3, max_bucket: int = 128) -> DataFr
     return small.transform(mapped, link, schema).unionAll(large.transform(mapped, link, schema)).distinct()
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A 64-bit number by which a row is found again; rows with equal id and text share it."""
+    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """One row per row of ``docs``: id, ``fp`` (signed long), ``component_id``, ``part``.
+    """One row per row of ``docs``: id, ``k`` (its row_key), ``fp`` (signed long), ``component_id``, ``part``, ``first``.
 
     component_id is the least non-null id among the texts that links of at
     most ``radius`` differing bits reach, the text itself included. Null and
     blank texts have fingerprint 0 and link like any other; repeated ids and
     equal texts are ordinary rows; a null id stays null and takes part in
     linking; ``part``, the component's least fingerprint, names components
-    even then; an empty table gives no rows; other columns are not read.
+    even then; ``first`` is the row_key of the component's first row; an empty
+    table gives no rows; other columns are not read.
     """
-    rows = written(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp")), "simhash-fp")
-    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-nodes")
-    parts = connected_components(near_links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    labelled = written(nodes.join(parts, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("part")), "simhash-parts")
-    least = written(labelled.groupBy("part").agg(F.min("rep").alias("component_id")), "simhash-least")
-    named = written(labelled.join(least, "part").select("fp", "component_id", "part"), "simhash-named")
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "part")
+    rows = written(docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("k"), simhash(F.col(text_col)).alias("fp")), "simhash-fp")
+    nodes = written(rows.select("fp").distinct(), "simhash-nodes")
+    parts = connected_components(near_links(nodes, radius)).withColumnRenamed("node", "fp")
+    return placed(rows, nodes, "fp", parts, id_col)
+
+
+def placed(rows: DataFrame, nodes: DataFrame, node: str, parts: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` (id, k, node) with their component's ``part``, least id and first row: ids ascend, null last, then row keys."""
+    labelled = written(nodes.join(parts, node, "left").select(node, F.coalesce("component", node).alias("part")), "component-labels")
+    told = written(rows.select("id", "k", node).join(labelled, node), "component-rows")
+    first = told.groupBy("part").agg(F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull().alias("no"), "id", "k")).alias("f"))
+    first = written(first.select("part", "component_id", F.col("f.k").alias("first")), "component-first")
+    return told.join(first, "part").select(F.col("id").alias(id_col), "k", F.col(node).alias("fp"), "component_id", "part", "first")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
     """The rows of ``docs`` without near-duplicates, as near_duplicates() finds them."""
-    return least_of_each(docs, near_duplicates(docs, id_col, text_col, radius), simhash, id_col, text_col)
+    return least_of_each(docs, near_duplicates(docs, id_col, text_col, radius), id_col, text_col)
 
 
-def least_of_each(docs: DataFrame, found: DataFrame, fingerprint: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component of ``found`` the row of ``docs`` with the least id; ``fingerprint`` of a text is its ``fp`` there.
+def least_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component of ``found`` one row of ``docs``, unchanged: that with the least id.
 
-    Among rows that share that id, the one with the least text hash stays. A
-    component of null ids only keeps the row with the least fingerprint and
-    text hash.
+    Among rows that share that id, and in a component of null ids only, the
+    least hash of id and text decides; of rows equal in both, any one stays.
+    What goes is joined to ``docs``, as it is the smaller part as a rule.
     """
-    first = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    tie = F.xxhash64(text_col)
-    one = docs.join(first, id_col, "left_semi").select(*docs.columns, F.row_number().over(Window.partitionBy(id_col).orderBy(tie)).alias("__turn")).where("__turn = 1").drop("__turn")
-    nameless = docs.where(F.col(id_col).isNull()).withColumn("__fp", fingerprint(F.col(text_col)))
-    parts = found.where("component_id IS NULL").groupBy(F.col("fp").alias("__key")).agg(F.first("part").alias("__part"))
-    nameless = nameless.join(parts, F.col("__fp") == F.col("__key"))
-    nameless = nameless.withColumn("__turn", F.row_number().over(Window.partitionBy("__part").orderBy("__fp", tie))).where("__turn = 1")
-    return one.unionAll(nameless.select(*docs.columns))
+    gone = found.where("k <> first").select("k").distinct().withColumn("many", F.lit(False))
+    many = found.where("k = first").groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k", F.lit(True).alias("many"))
+    marks = written(gone.unionAll(many), "duplicate-rows")
+    held = docs.columns
+    rows = docs.select(F.struct(*held).alias("row"), row_key(id_col, text_col).alias("k")).join(small_side(marks), "k", "left")
+    kept = rows.where("many IS NULL").select("row.*")
+    if marks.where("many").isEmpty():
+        return kept
+    return kept.unionAll(rows.where("many").groupBy("k").agg(F.first("row").alias("row")).select("row.*"))
 
 
 def fingerprint_hex(fp: Column) -> Column:
