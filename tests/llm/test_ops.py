@@ -314,6 +314,36 @@ def test_mix_comes_near_its_targets(spark):
     assert all(abs(r["got"] - r["t"]) <= 26 for r in t)
 
 
+def test_longer_documents_are_likelier(spark):
+    """Sampled shares of each size class are near the probabilities that a plain water filling gives."""
+    sizes = [2, 5, 20, 70, 300]
+    n, of = 6000, lambda i: sizes[i % 5]
+    d = spark.range(n).select(F.col("id").alias("doc_id"), F.element_at(F.array(*[F.lit(x) for x in sizes]), (F.col("id") % 5 + 1).cast("int")).alias("n"))
+    d = d.select("doc_id", F.repeat(F.lit("w "), F.col("n")).alias("text"), F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b").alias("source"))
+    got = mixing.mix(d).collect()
+    for source in ("a", "b"):
+        mine = [r for r in got if r["source"] == source]
+        total, target = mine[0]["source_size"], mine[0]["target"]
+        whole = int(target // total)
+        words_of = collections.Counter()
+        for r in mine:
+            words_of[r["size"]] += r["size"]
+        odds = {x: 2.0 ** ((x.bit_length() - 1) // 2) for x in sizes}
+        left, free, part = target - whole * total, set(sizes), {}
+        while free:
+            level = left / sum(odds[x] * words_of[x] for x in free)
+            full = {x for x in free if odds[x] * level >= 1}
+            if not full:
+                part |= {x: odds[x] * level for x in free}
+                break
+            part |= dict.fromkeys(full, 1.0)
+            left -= sum(words_of[x] for x in full)
+            free -= full
+        share = {x: sum(r["copies"] - whole for r in mine if r["size"] == x) / sum(r["size"] == x for r in mine) for x in sizes}
+        assert all(abs(share[x] - part[x]) < 0.07 for x in sizes), (source, share, part)
+        assert share[2] < share[20] < share[300] or share[300] == 1
+
+
 def test_substrings(spark, docs, rows, none):
     got = substrings.deduplicated(docs).collect()
     first, want = {}, []

@@ -33,12 +33,19 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER turns, 0)) /
       FROM w WINDOW turns AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT *, min(CASE WHEN level <= cap / weight THEN cap / weight END) OVER () AS free_from FROM l),
 t AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0 ELSE least(cap, coalesce((SELECT g.level FROM f g WHERE g.cap / g.weight = f.free_from ORDER BY g.source NULLS LAST LIMIT 1) * weight, cap)) END AS target FROM f),
-m AS (SELECT doc_id, d.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS share, (('0x' || md5(doc_id::VARCHAR)[1:13])::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS u
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-r AS (SELECT *, floor(share) AS whole, share - floor(share) AS part FROM m),
-o AS (SELECT *, CASE WHEN part > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS rank FROM r),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM o)
-SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN rank IS NOT NULL AND upto - size / 2 <= part * source_size THEN 1 ELSE 0 END))::BIGINT AS taken FROM c""",
+k AS (SELECT d.source, length(bin(greatest(size, 1))) - 1 AS class, sum(size)::DOUBLE AS class_size, 2.0::DOUBLE ** ((length(bin(greatest(size, 1))) - 1) // 2) AS odds FROM d GROUP BY ALL),
+v AS (SELECT k.*, source_size, target, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS whole, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS share FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+x AS (SELECT *, (share - whole) * source_size AS wanted FROM v),
+y AS (SELECT *, (wanted - coalesce(sum(class_size) OVER longer, 0)) / nullif(sum(odds * class_size) OVER (PARTITION BY source) - coalesce(sum(odds * class_size) OVER longer, 0), 0) AS level
+      FROM x WINDOW longer AS (PARTITION BY source ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+z AS (SELECT *, max(CASE WHEN odds * level < 1 THEN class END) OVER (PARTITION BY source) AS free_class FROM y),
+p AS (SELECT z.source, z.class, z.source_size, z.target, z.whole, z.wanted, CASE WHEN z.wanted <= 0 THEN 0 ELSE least(1, greatest(0, coalesce(g.level * z.odds, 1))) END AS part
+      FROM z LEFT JOIN z g ON g.source IS NOT DISTINCT FROM z.source AND g.class = z.free_class),
+m AS (SELECT doc_id, d.source, size, source_size, target, whole, part, wanted, (('0x' || md5(doc_id::VARCHAR)[1:13])::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS u
+      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND length(bin(greatest(d.size, 1))) - 1 = p.class),
+o AS (SELECT *, CASE WHEN part >= 1 THEN 0 WHEN part > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS rank FROM m),
+c AS (SELECT *, CASE WHEN rank IS NOT NULL THEN sum(CASE WHEN rank IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id ROWS UNBOUNDED PRECEDING) END AS upto FROM o)
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN rank IS NOT NULL AND upto - size / 2 <= wanted THEN 1 ELSE 0 END))::BIGINT AS taken FROM c""",
     "op8_substrings": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 g AS (SELECT doc_id, s, array_to_string(w[s : s + 12], ' ') AS window_words FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d)),
