@@ -140,7 +140,7 @@ def _columns(*rows: np.ndarray) -> bytes:
     return zlib.compress(np.stack(rows).astype("<i8").tobytes(), 1)
 
 
-#: Rows between the stages. kind 0: suffixes for a part (documents, positions, fingerprints); 1: a batch's documents and the repeats that it found itself; 2: repeats that a part found.
+#: Rows between the stages. kind 0: suffixes for a part (positions, fingerprints, and their own documents); 1: a batch's documents and the repeats that it found itself; 2: repeats that a part found.
 SHIPPED = "part int, batch long, kind int, blob binary, docs binary"
 _SHIPPED = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary()), ("docs", pa.binary())])
 MARKS = "id long, tag long, pos binary"
@@ -186,12 +186,15 @@ def _ship(too_many: list[np.ndarray], n_parts: int) -> Callable[[Iterator[pa.Rec
             sizes = np.diff(s.begin)
             home = _columns(np.diff(s.ids, prepend=0), s.tags, sizes)
             batch = int(np.int64(np.uint64(xxhash.xxh64_intdigest(home))))
-            docs = _columns(np.diff(s.ids, prepend=0), sizes)
             rows = [(batch % n_parts, batch, 1, _gaps(done), home)]
-            for p in range(n_parts):
-                if edges[p + 1] > edges[p]:
-                    own = at[by_part[edges[p] : edges[p + 1]]]
-                    rows.append((p, batch, 0, _gaps(own) + fp[own].tobytes() + s.check[own].tobytes(), docs))
+            for p in np.flatnonzero(np.diff(edges)).tolist():
+                own = at[by_part[edges[p] : edges[p + 1]]]
+                # Only the documents that these suffixes are of, so what is sent doesn't grow with the number of parts.
+                of, n = np.unique(doc[own], return_counts=True)
+                rows.append((p, batch, 0, _gaps(own) + fp[own].tobytes() + s.check[own].tobytes(), _columns(np.diff(s.ids[of], prepend=0), n)))
+                if len(rows) == 64:
+                    yield from _rows(rows, _SHIPPED, 64)
+                    rows = []
             yield from _rows(rows, _SHIPPED, 64)
 
     return run
@@ -207,12 +210,12 @@ def _subtrees(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             raw = blob.as_py()
             at, o = _ungap(raw)
-            gap, sizes = np.frombuffer(zlib.decompress(docs.as_py()), "<i8").reshape(2, -1)
+            gap, n = np.frombuffer(zlib.decompress(docs.as_py()), "<i8").reshape(2, -1)
             names.append(batch)
             ats.append(at.astype(np.uint32))
             fps.append(np.frombuffer(raw, "<u8", len(at), o))
             checks.append(np.frombuffer(raw, np.uint8, len(at), o + 8 * len(at)))
-            ids.append(np.cumsum(gap)[np.searchsorted(np.cumsum(sizes), at, side="right")])
+            ids.append(np.repeat(np.cumsum(gap), n))
     if not fps:
         return
     of = np.repeat(np.arange(len(fps), dtype=np.int32), [len(x) for x in fps])
@@ -329,7 +332,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Each word that a repeated window covers goes; windows are judged on the
     input. Null and blank texts have no words; rows of equal id don't repeat
-    each other; rows with a null id stay whole.
+    each other; rows with a null id stay whole; a text of any length is one
+    unit of a task's batch, so a very long one needs some 40 bytes a word; an
+    empty table gives no rows; other columns are not read.
     """
     marks = repeated_windows(docs, id_col, text_col).groupBy("id", "tag").agg(F.collect_list("pos").alias("pos"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"), F.col(text_col).alias("text"))
