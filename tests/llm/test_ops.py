@@ -362,6 +362,21 @@ def test_substrings(spark, docs, rows, none):
     assert substrings.deduplicated(none).count() == 0
 
 
+def test_what_is_sent_does_not_grow_with_the_parts():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 400)) for _ in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), pa.array([0] * 600, pa.int64()), pa.array(texts)], names=["id", "tag", "text"])
+    none = [np.zeros(0, dtype=np.uint64)] * 4
+
+    def sent(parts):
+        rows = [r for b in substrings._ship(none, parts)(iter([batch])) for r in b.to_pylist()]
+        assert sum(r["kind"] == 1 for r in rows) == 1
+        return sum(len(r["blob"]) + len(r["docs"]) for r in rows)
+
+    few = sent(16)
+    assert sent(256) < 1.4 * few and sent(2048) < 2 * few
+
+
 def test_frequent_prefixes_split_further(spark, monkeypatch):
     rng = random.Random(8)
     texts = [" ".join(["the", "same"] + [rng.choice("ab") for _ in range(40)]) for _ in range(60)]
@@ -452,6 +467,27 @@ def test_long_units(spark):
     assert got == {u: best(pieces, table, u) for u in units}
 
 
+def test_units_longer_than_stretches(spark, monkeypatch):
+    """Long units, cut into stretches and segments, give what brute force gives; also where stretches are tiny."""
+    pieces = lattice.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    table = {p: (i, s) for p, i, s in pieces.rows}
+    rng = random.Random(4)
+    units = {"".join(rng.choice(letters) for _ in range(n)) for n in (257, 600, 1300, 3000) for letters in ("etaoinshrdlu", "0123456789abcdef", "ab=日é")} | {"=" * 900, "abc" * 400}
+    for outer, inner in ((1 << 16, 256), (100, 30)):
+        monkeypatch.setattr(lattice, "_OUTER", outer)
+        monkeypatch.setattr(lattice, "_INNER", inner)
+        got = {r["unit"]: r["ids"] for r in lattice.best_paths(spark.createDataFrame([(u,) for u in units], "unit string"), pieces).collect()}
+        assert got == {u: best(pieces, table, u) for u in units}
+
+
+def test_a_unit_of_a_megabyte(spark):
+    pieces = lattice.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(6)
+    unit = "".join(rng.choices("0123456789abcdefghijklmnopqrstuvwxyz", k=1 << 20))
+    ids = lattice.best_paths(spark.createDataFrame([(unit,)], "unit string"), pieces).first()["ids"]
+    assert b"".join(pieces.text_of[i] for i in ids).decode() == unit
+
+
 def test_cuts_do_not_depend_on_windows(monkeypatch):
     cut = lattice.Cutter(lattice.Pieces.load(public_tokenizers.path("piece_bpe_32k.model")).pairs)
     texts = ["The end. Is it, really?\nYes \x01 x", None, "", "日本 ab", "😀😀 é", " "]

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import dataset as pads
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import folded, give_back, mapped, scratch, table, written
@@ -174,26 +174,72 @@ def best_paths(units: DataFrame, pieces: Pieces) -> DataFrame:
     The path with the greatest sum of scores; of equal ones that whose last
     piece is longest. All substrings up to the longest piece are joined to the
     piece table; characters without a piece get their UTF-8 bytes. Grouping
-    by unit needs no shuffle where ``units`` is dealt by unit already. The
-    fold keeps the last scores only and its back pointers in blocks, so a very
-    long unit costs time in proportion to its length.
+    by unit needs no shuffle where ``units`` is dealt by unit already. Units
+    beyond LONG characters go another way, see _long_units().
     """
-    spark = units.sparkSession
+    known = _piece_table(units.sparkSession, pieces)
+    units = units.withColumn("len", F.char_length("unit"))
+    return _short_units(units, known, pieces).unionAll(_long_units(units, known, pieces)).drop("len")
+
+
+def _short_units(units: DataFrame, known: DataFrame, pieces: Pieces) -> DataFrame:
+    """``ids`` of the units up to LONG characters (``len``): one row of edges a unit."""
+    own = units.columns
+    starts = units.where(f"len BETWEEN 1 AND {LONG}").select(*own, F.expr("explode(sequence(1, len))").alias("s"))
+    spans = starts.select(*own, "s", F.expr(f"explode(sequence(s, least(s + {pieces.longest - 1}, len)))").alias("e"))
+    subs = spans.select(*own, "e", F.expr("e - s + 1").alias("n"), F.expr("substring(unit, s, e - s + 1)").alias("piece"))
+    edges = subs.withColumn("h", F.xxhash64("piece")).join(known, "h", "left").where("n = 1 OR piece = known")
+    edge = F.expr(f"IF(piece <=> known, struct(e, n, id, score), struct(e, n, -ascii(piece) - 1 AS id, {pieces.unknown!r}D AS score))")
+    grouped = edges.groupBy(*own).agg(F.collect_list(edge).alias("edges"))
+    paths = grouped.select(*own, F.expr(f"IF(len <= {_SHORT}, {_short_path()}, {_long_path(pieces.longest)})").alias("ids"))
+    return paths.select(*own, F.expr(_spelled(pieces.byte_base)).alias("ids"))
+
+
+def _piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
+    """Joined by a hash of the substring, as numbers probe faster, and then by the substring itself."""
     if len(pieces.rows) > MAX_PIECES:
         raise ValueError("the piece table is too large to broadcast")
-    # Joined by a hash of the substring, as numbers probe faster, and then by the substring itself.
     p, i, x = zip(*pieces.rows, strict=True)
     known = spark.createDataFrame(pa.table({"known": pa.array(p), "id": pa.array(i, pa.int32()), "score": pa.array(x, pa.float64())}))
-    known = F.broadcast(known.withColumn("h", F.xxhash64("known")))
-    m = pieces.longest
-    own = units.columns
-    starts = units.where("unit <> ''").select(*own, F.expr("explode(sequence(1, char_length(unit)))").alias("s"))
-    spans = starts.select(*own, "s", F.expr(f"explode(sequence(s, least(s + {m - 1}, char_length(unit))))").alias("e"))
-    subs = spans.select(*own, "e", F.expr("e - s + 1").alias("n"), F.expr("substring(unit, s, e - s + 1)").alias("piece"))
+    return F.broadcast(known.withColumn("h", F.xxhash64("known")))
+
+
+#: Units up to this long carry themselves through the join.
+LONG = 256
+#: Characters of a long unit that go together; the outer pieces bound how far into a string the inner ones must be sought.
+_OUTER, _INNER = 1 << 16, 256
+
+
+def _long_units(units: DataFrame, known: DataFrame, pieces: Pieces) -> DataFrame:
+    """``ids`` of long units, in time about proportional to their length.
+
+    Rows carry a hash of the unit and a stretch of it, not the unit. After
+    the join a unit falls apart wherever no piece of it lies across; each of
+    these segments is folded by itself, and their ids are put together in
+    order. What a row of edges holds is so bounded by the longest run of
+    pieces that overlap, which is the whole unit only where one character or
+    pattern repeats all along.
+    """
+    own, over = units.columns, pieces.longest - 1
+    named = units.where(f"len > {LONG}").select(*own, F.sha2(F.col("unit").cast("binary"), 256).alias("key"))
+    cut = lambda text, n, size: f"explode(transform(sequence(0, ({n} - 1) div {size}), c -> named_struct('at', int(c * {size}), 'text', substring({text}, int(c * {size} + 1), {size + over}))))"
+    outer = named.select("key", "len", F.expr(cut("unit", "len", _OUTER)).alias("o")).select("key", F.col("o.at").alias("base"), "o.text", F.expr(f"least({_OUTER}, len - o.at)").alias("own"))
+    # ``own`` of the characters are starts; what follows belongs to the next stretch.
+    inner = outer.select("key", "base", "own", F.expr(cut("text", "own", _INNER)).alias("i")).select("key", F.expr("base + i.at").alias("base"), "i.text", F.expr(f"least({_INNER}, own - i.at)").alias("own"))
+    starts = inner.select("key", "base", "text", F.expr("explode(sequence(1, own))").alias("s"))
+    spans = starts.select("key", "base", "text", "s", F.expr(f"explode(sequence(s, least(s + {over}, char_length(text))))").alias("e"))
+    subs = spans.select("key", F.expr("e + base").alias("e"), F.expr("e - s + 1").alias("n"), F.expr("substring(text, s, e - s + 1)").alias("piece"))
     edges = subs.withColumn("h", F.xxhash64("piece")).join(known, "h", "left").where("n = 1 OR piece = known")
-    edge = F.expr(f"IF(piece <=> known, struct(e, n, id, score), struct(e, n, -ascii(piece) - 1 AS id, {pieces.unknown!r}D AS score))")
-    grouped = edges.groupBy(*own).agg(F.collect_list(edge).alias("edges")).withColumn("len", F.char_length("unit"))
-    return grouped.select(*own, F.expr(f"IF(len <= {_SHORT}, {_short_path()}, {_long_path(m)})").alias("ids")).select(*own, F.expr(_spelled(pieces.byte_base)).alias("ids"))
+    edges = edges.select("key", "e", "n", F.expr("IF(piece <=> known, id, -ascii(piece) - 1)").alias("id"), F.expr(f"IF(piece <=> known, score, {pieces.unknown!r}D)").alias("score"))
+    # A segment begins where no edge from further left ends later.
+    order = Window.partitionBy("key").orderBy(F.expr("e - n"), "n")
+    reach = F.coalesce(F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edges = edges.withColumn("head", F.when(F.expr("e - n") >= reach, F.expr("e - n")))
+    edges = edges.withColumn("head", F.max("head").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    grouped = edges.groupBy("key", "head").agg(F.collect_list(F.expr("struct(e - head AS e, n, id, score)")).alias("edges")).withColumn("len", F.expr("array_max(transform(edges, x -> x.e))"))
+    paths = grouped.select("key", "head", F.expr(f"IF(len <= {_SHORT}, {_short_path()}, {_long_path(pieces.longest)})").alias("ids"))
+    whole = paths.groupBy("key").agg(F.expr("flatten(transform(sort_array(collect_list(struct(head, ids))), x -> x.ids))").alias("ids"))
+    return named.join(whole, "key").select(*own, F.expr(_spelled(pieces.byte_base)).alias("ids"))
 
 
 #: Units up to this long take the simple fold, whose work grows with the square of their length.
@@ -306,9 +352,11 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", then: tuple[str,
     folder = scratch(spark, "lattice")
     found = docs.select(F.expr(_BLOCK).alias("block"), F.col(text_col).alias("text")).transform(mapped, _distinct(pieces.pairs), "block string, unit string")
     dealt = found.select("unit", F.md5("block").alias("block")).repartition("unit")
-    # The hash of a block is asked for so that both sides need the same columns and one exchange serves them.
-    paths = best_paths(dealt.groupBy("unit").agg(F.max(F.xxhash64("block")).alias("some")), pieces)
-    answers = dealt.join(paths.hint("shuffle_hash"), "unit").where("some IS NOT NULL").select("block", "unit", "ids").repartition("block")
+    # The hash of a block is asked for so that both sides need the same columns and one exchange serves them; the length is an aggregate so that no filter on it goes below that exchange.
+    units = dealt.groupBy("unit").agg(F.max(F.xxhash64("block")).alias("some"), F.max(F.char_length("unit")).alias("len"))
+    known = _piece_table(spark, pieces)
+    found = [dealt.join(_short_units(units, known, pieces).hint("shuffle_hash"), "unit"), dealt.join(_long_units(units, known, pieces), "unit")]
+    answers = found[0].unionAll(found[1]).where("some IS NOT NULL").select("block", "unit", "ids").repartition("block")
     answers.write.partitionBy("block").option("compression", "zstd").parquet(folder)
     kept = docs.select(F.expr(_BLOCK).alias("__block"), *docs.columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
