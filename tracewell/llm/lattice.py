@@ -221,7 +221,8 @@ def _long_units(units: DataFrame, known: DataFrame, pieces: Pieces) -> DataFrame
     pattern repeats all along.
     """
     own, over = units.columns, pieces.longest - 1
-    named = units.where(f"len > {LONG}").select(*own, F.sha2(F.col("unit").cast("binary"), 256).alias("key"))
+    # All columns take part in the hash, so every branch needs the same ones and may share the exchange below.
+    named = units.where(f"len > {LONG}").select(*own, F.sha2(F.concat_ws(" ", *own).cast("binary"), 256).alias("key"))
     cut = lambda text, n, size: f"explode(transform(sequence(0, ({n} - 1) div {size}), c -> named_struct('at', int(c * {size}), 'text', substring({text}, int(c * {size} + 1), {size + over}))))"
     outer = named.select("key", "len", F.expr(cut("unit", "len", _OUTER)).alias("o")).select("key", F.col("o.at").alias("base"), "o.text", F.expr(f"least({_OUTER}, len - o.at)").alias("own"))
     # ``own`` of the characters are starts; what follows belongs to the next stretch.
@@ -351,7 +352,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", then: tuple[str,
     docs = _filed(docs.drop("token_ids"))
     folder = scratch(spark, "lattice")
     found = docs.select(F.expr(_BLOCK).alias("block"), F.col(text_col).alias("text")).transform(mapped, _distinct(pieces.pairs), "block string, unit string")
-    dealt = found.select("unit", F.md5("block").alias("block")).repartition("unit")
+    dealt = found.select("unit", F.md5("block").alias("block")).where("unit IS NOT NULL").repartition("unit")
     # The hash of a block is asked for so that both sides need the same columns and one exchange serves them; the length is an aggregate so that no filter on it goes below that exchange.
     units = dealt.groupBy("unit").agg(F.max(F.xxhash64("block")).alias("some"), F.max(F.char_length("unit")).alias("len"))
     known = _piece_table(spark, pieces)
