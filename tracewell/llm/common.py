@@ -71,7 +71,7 @@ def small_side(df: DataFrame) -> DataFrame:
 
 
 #: Most bytes of rows that go to a Python worker at once, unless the session has its own setting.
-BATCH_BYTES = "15m"
+BATCH_BYTES = "4m"
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
