@@ -22,7 +22,7 @@ def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_partkey % 3 = 0")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), (F.col("l_partkey") % len(LABELS) + 1).cast("int"))
     return li.select(F.col("l_orderkey").alias("input_hash"), (F.col("l_suppkey") % 7).alias("analyst"), label.alias("label"), F.col("l_shipdate").alias("created_at"))
 
@@ -33,7 +33,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _E = "e AS (SELECT o_orderkey AS input_hash, o_custkey AS sender, o_custkey % 50 AS sender_domain, o_orderkey % 97 AS recipient, o_orderdate AS created_at, o_orderstatus <> 'O' AS flagged FROM orders)"
 _I = f"{_E}, i AS (SELECT l.input_hash, indicator, sender, sender_domain, recipient, created_at, flagged FROM (SELECT DISTINCT l_orderkey AS input_hash, CASE WHEN l_linenumber % 2 = 0 THEN 'link:' ELSE 'template:' END || l_suppkey AS indicator FROM lineitem) l JOIN e USING (input_hash))"
-_O = "oc AS (SELECT l_orderkey AS input_hash, l_suppkey % 7 AS analyst, [" + ", ".join(f"'{x}'" for x in LABELS) + f"][CAST(l_partkey % {len(LABELS)} AS INT) + 1] AS label, l_shipdate AS created_at FROM lineitem WHERE l_partkey % 3 = 0), lo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY input_hash, analyst ORDER BY created_at DESC, label DESC) AS t FROM oc) WHERE t = 1), cl AS (SELECT input_hash, label, count(*) AS n, max(created_at) AS last FROM lo GROUP BY 1, 2), cons AS (SELECT input_hash, label, votes FROM (SELECT *, row_number() OVER (PARTITION BY input_hash ORDER BY n DESC, last DESC, label) AS t, CAST(sum(n) OVER (PARTITION BY input_hash) AS BIGINT) AS votes FROM cl) WHERE t = 1)"
+_O = "oc AS (SELECT l_orderkey AS input_hash, l_suppkey % 7 AS analyst, [" + ", ".join(f"'{x}'" for x in LABELS) + f"][CAST(l_partkey % {len(LABELS)} AS INT) + 1] AS label, l_shipdate AS created_at FROM lineitem), lo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY input_hash, analyst ORDER BY created_at DESC, label DESC) AS t FROM oc) WHERE t = 1), cl AS (SELECT input_hash, label, count(*) AS n, max(created_at) AS last FROM lo GROUP BY 1, 2), cons AS (SELECT input_hash, label, votes FROM (SELECT *, row_number() OVER (PARTITION BY input_hash ORDER BY n DESC, last DESC, label) AS t, CAST(sum(n) OVER (PARTITION BY input_hash) AS BIGINT) AS votes FROM cl) WHERE t = 1)"
 _BENIGN, _FRAUD = (", ".join(f"'{x}'" for x in xs) for xs in (ops.BENIGN, ops.FRAUD))
 
 QUERIES = {

@@ -56,8 +56,8 @@ def cut_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieved_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three benchmark items most like each conversation's turns (every conversation whose number 20 divides)."""
-    q = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id % 20 = 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    """The three benchmark items most like each turn of each conversation."""
+    q = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
     return similarity.retrieve(q, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("row_id"), "text"))
 
 
@@ -94,7 +94,7 @@ _CUT = """CASE WHEN length(text) <= 500 THEN text WHEN instr(head, chr(10)) > 0
  WHEN instr(head, ' ') > 0 AND 500 - instr(reverse(head), ' ') >= 400 THEN rtrim(left(head, 500 - instr(reverse(head), ' '))) ELSE head END"""
 _NEG, _FUN = (", ".join(f"'{w}'" for w in ws) for ws in (similarity.NEGATIONS, similarity.FUNCTION_WORDS))
 _WEIGHT = f"CASE WHEN t IN ({_NEG}) THEN 2.0::DOUBLE WHEN t IN ({_FUN}) THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END"
-_RETRIEVE = f"""WITH q0 AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(lower(text), '[a-z]{{2,}}') AS w FROM conversations WHERE conv_id % 20 = 0), c0 AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[a-z]{{2,}}') AS w FROM benchmark),
+_RETRIEVE = f"""WITH q0 AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(lower(text), '[a-z]{{2,}}') AS w FROM conversations), c0 AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[a-z]{{2,}}') AS w FROM benchmark),
  q AS (SELECT DISTINCT id, t FROM (SELECT id, unnest(w) AS t FROM q0 UNION ALL SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])) FROM q0)),
  c AS (SELECT DISTINCT id, t FROM (SELECT id, unnest(w) AS t FROM c0 UNION ALL SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])) FROM c0)),
  qs AS (SELECT id, sum(CASE WHEN NOT contains(t, '_') THEN {_WEIGHT} ELSE 0 END) AS a, count(*) FILTER (WHERE contains(t, '_')) AS p FROM q GROUP BY 1), cs AS (SELECT id, sum(CASE WHEN NOT contains(t, '_') THEN {_WEIGHT} ELSE 0 END) AS a, count(*) FILTER (WHERE contains(t, '_')) AS p FROM c GROUP BY 1),
