@@ -308,6 +308,7 @@ def _encoder(pairs: frozenset[str], folder: str, at: int, then: Callable[[pa.Rec
             if not any(len(u) for u, _ in coded_units):
                 return [b""] * len(texts)
             if block != held:
+                paths = None
                 held, paths = block, _block_paths(folder, block)
             own, begin, flat = paths
             where = pc.index_in(pa.concat_arrays([u.dictionary for u, _ in coded_units]), value_set=own).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -324,8 +325,8 @@ def _encoder(pairs: frozenset[str], folder: str, at: int, then: Callable[[pa.Rec
             return out
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 8 * _ROWS):
-                part, out = batch.slice(k, 8 * _ROWS), []
+            for k in range(0, batch.num_rows, 4 * _ROWS):
+                part, out = batch.slice(k, 4 * _ROWS), []
                 blocks, texts = part.column(0).to_pylist(), part.column(at).to_pylist()
                 edges = [0, *(i for i in range(1, len(blocks)) if blocks[i] != blocks[i - 1]), len(blocks)]
                 for s, e in zip(edges, edges[1:], strict=False):
