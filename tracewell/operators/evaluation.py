@@ -35,13 +35,16 @@ def consistency(runs: DataFrame) -> DataFrame:
 def distribution(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """min, max, mean, exact median and p95 (the value at floor(0.95 * (n - 1))) per group.
 
-    Ranks come from a window per group; a group that is one hot key sorts by
-    external merge and isn't held in memory.
+    Rows are counted per value before anything is ordered, so a window sorts
+    the distinct values of a group, not its rows.
     """
     w = Window.partitionBy(*by)
-    r = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v")).withColumn("rank", F.row_number().over(w.orderBy("v")) - 1).withColumn("n", F.count("*").over(w))
-    mid = (F.col("rank") == F.floor((F.col("n") - 1) / 2)) | (F.col("rank") == F.ceil((F.col("n") - 1) / 2))
-    return r.groupBy(*by).agg(F.min("v").alias("least"), F.max("v").alias("most"), F.avg("v").alias("mean"), F.avg(F.when(mid, F.col("v"))).alias("median"), F.max(F.when(F.col("rank") == F.floor(0.95 * (F.col("n") - 1)), F.col("v"))).alias("p95"))
+    c = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    c = c.withColumn("upto", F.sum("c").over(w.orderBy("v"))).withColumn("n", F.sum("c").over(w))
+    holds = lambda rank: (rank >= F.col("upto") - F.col("c")) & (rank < F.col("upto"))
+    at = lambda rank: F.max(F.when(holds(rank), F.col("v")))
+    low, high = at(F.floor((F.col("n") - 1) / 2)), at(F.ceil((F.col("n") - 1) / 2))
+    return c.groupBy(*by).agg(F.min("v").alias("least"), F.max("v").alias("most"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), ((low + high) / 2).alias("median"), at(F.floor(0.95 * (F.col("n") - 1))).alias("p95"))
 
 
 def duplicate_rows(rows: DataFrame, key: Column, order: str) -> DataFrame:

@@ -86,7 +86,8 @@ PERFECTIVE = r"\b(?:finn|inn|in|pann|ti)\s+$"
 DETERMINER = r"\b(?:a|an|the|this|that|your|my|enn|sa)\s+$"
 # End of the fixed values.
 
-_EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
+#: A word edge that knows accented letters; only this sign takes the Unicode classes.
+_EDGE = r"(?U:\b)"
 
 
 def java(pattern: str) -> str:
@@ -135,25 +136,43 @@ def _suppressed(m: _Match, guards: str) -> Column:
     return out
 
 
-def _surviving(text: Column, pattern: str, guards: str) -> Column:
-    """The first match that no guard explains away, as (start, evidence), or null."""
-    found = F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(0))
+def _surviving(text: Column, pattern: str, guards: str, lang: str) -> Column:
+    """The first match that no guard explains away, as (lang, start, evidence), or null.
+
+    Only texts that match at all are taken apart. A running offset goes from
+    match to match, so many matches in one text cost their number.
+    """
+    regex = F.lit(java(pattern))
+    hit = lambda start, found: F.struct(F.lit(lang).alias("lang"), start.alias("start"), found.alias("evidence"))
     pieces = F.split(text, java(pattern), -1)
-    upto = lambda i: F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-    spans = F.transform(found, lambda x, i: F.struct(upto(i).alias("start"), x.alias("evidence")))
-    kept = F.filter(spans, lambda s: ~_suppressed(_Match(text, s["start"], s["evidence"]), guards)) if guards else spans
-    return F.when(F.rlike(text, F.lit(java(pattern))), F.get(kept, F.lit(0)))
+    if not guards:
+        return F.when(F.rlike(text, regex), hit(F.length(F.get(pieces, F.lit(0))), F.regexp_extract(text, java(pattern), 0)))
+    found = F.regexp_extract_all(text, regex, F.lit(0))
+    matches = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda gap, x: F.struct(gap.alias("gap"), x.alias("found")))
+
+    def step(state: Column, m: Column) -> Column:
+        start = state["at"] + F.length(m["gap"])
+        kept = F.when(~_suppressed(_Match(text, start, m["found"]), guards), hit(start, m["found"]))
+        return F.struct((start + F.length(m["found"])).alias("at"), F.coalesce(state["hit"], kept).alias("hit"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit(None).cast("struct<lang:string,start:int,evidence:string>").alias("hit"))
+    return F.when(F.rlike(text, regex), F.aggregate(matches, zero, step, lambda s: s["hit"]))
 
 
 def detect(messages: DataFrame) -> DataFrame:
     """One row per message and code found: msg_id, code, lang, start, evidence.
 
     Patterns run once per distinct text; copies of a message share the work.
+    Distinct texts are few bytes and much work, so they are dealt by number,
+    which adaptive execution leaves alone. The rules of a code stand in one
+    coalesce, which ends at the first that matches. Messages find their text's
+    hits by its 128-bit hash.
     """
-    texts = messages.select("text").distinct()
+    n = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = messages.select("text").distinct().repartition(n)
     t = F.col("text")
-    hits = [F.struct(F.lit(k).alias("rule"), F.lit(code).alias("code"), F.lit(lang).alias("lang"), _surviving(t, pattern, guards).alias("hit")) for k, (code, lang, guards, pattern) in enumerate(RULES)]
-    hits += [F.struct(F.lit(len(RULES)).alias("rule"), F.lit("SOC-07").alias("code"), F.lit("mixed").alias("lang"), _surviving(t, INJECTION, "").alias("hit")), F.struct(F.lit(len(RULES) + 1).alias("rule"), F.lit("ID-05").alias("code"), F.lit("mixed").alias("lang"), _surviving(t, TEMPLATE_MARK, "").alias("hit"))]
-    rows = texts.select("text", F.explode(F.filter(F.array(*hits), lambda x: x["hit"].isNotNull())).alias("x"))
-    first = rows.groupBy("text", "x.code").agg(F.min_by("x", "x.rule").alias("x"))
-    return messages.join(first, "text").select("msg_id", "code", "x.lang", F.col("x.hit.start").cast("long").alias("start"), F.col("x.hit.evidence").alias("evidence"))
+    rules = [*RULES, ("SOC-07", "mixed", "", INJECTION), ("ID-05", "mixed", "", TEMPLATE_MARK)]
+    hits = [F.struct(F.lit(code).alias("code"), F.coalesce(*[_surviving(t, pattern, guards, lang) for c, lang, guards, pattern in rules if c == code]).alias("hit")) for code in dict.fromkeys(c for c, *_ in rules)]
+    rows = texts.select(F.md5(t.cast("binary")).alias("key"), F.explode(F.array(*hits)).alias("x")).where("x.hit IS NOT NULL")
+    keyed = messages.select("msg_id", F.md5(t.cast("binary")).alias("key"))
+    return keyed.join(rows, "key").select("msg_id", "x.code", "x.hit.lang", F.col("x.hit.start").cast("long").alias("start"), "x.hit.evidence")
