@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import langid, lattice, media, mixing, pii, quality, simhash, substrings, token_ids, warc
+from tracewell.llm import collocations, exact, langid, lattice, media, mixing, negatives, pii, quality, simhash, substrings, token_ids, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": langid.op1_langid,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": substrings.op8_substrings,
     "op9_warc": warc.op9_warc,
     "op10_sentencepiece": lattice.op10_sentencepiece,
+    "op11_exact": exact.op11_exact,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_negatives": negatives.op13_negatives,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -58,4 +61,33 @@ WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS p
 m AS (SELECT payload_digest, min(page_id) AS least FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
 SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN least IS NOT NULL AND page_id IS DISTINCT FROM least THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM least THEN least END AS refers_to
 FROM p LEFT JOIN m ON p.payload_digest = m.payload_digest""",
+    "op11_exact": """
+WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
+FROM d WINDOW same AS (PARTITION BY text_sha256)""",
+    "op12_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+e AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS s FROM w),
+g AS (SELECT lang, s, w[s] AS w1, w[s + 1] AS w2, w[s + 2] AS w3 FROM e),
+f AS (SELECT lang, 1 AS k, w1 AS phrase, w1, NULL AS w2, NULL AS w3, count(*) AS n FROM g GROUP BY lang, w1
+      UNION ALL SELECT lang, 2, w1 || ' ' || w2, w1, w2, NULL, count(*) FROM g WHERE w2 IS NOT NULL GROUP BY lang, w1, w2
+      UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, w1, w2, w3, count(*) FROM g WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3),
+t AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND n >= 10),
+u AS (SELECT lang, phrase, n AS a, 1 AS cut, w1 AS left_part, concat_ws(' ', w2, w3) AS rest FROM c UNION ALL SELECT lang, phrase, n, 2, w1 || ' ' || w2, w3 FROM c WHERE k = 3),
+x AS (SELECT u.lang, u.phrase, a, cut, l.n AS l, r.n AS r, (1000000::HUGEINT * a * a // (l.n::HUGEINT * r.n))::BIGINT AS score FROM u JOIN f l ON l.lang = u.lang AND l.phrase = left_part JOIN f r ON r.lang = u.lang AND r.phrase = rest),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, phrase, max(n) AS longer FROM (SELECT lang, n, unnest([w1 || ' ' || w2, w2 || ' ' || w3]) AS phrase FROM c WHERE k = 3) GROUP BY lang, phrase)
+SELECT b.lang, row_number() OVER best AS rank, b.phrase, a, l, r, t.n, score
+FROM b JOIN t ON t.lang = b.lang LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 50 * a
+WINDOW best AS (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) QUALIFY rank <= 2000""",
+    "op13_negatives": """
+WITH q AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER best)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER best <= 3""",
 }
