@@ -13,6 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators import offsets, spelling
+from tracewell.sources.scratch import written
+
 # Which messages match depends on these patterns.
 _NOUN = r"(?:otp|one[- ]time (?:password|pin|code)|(?:verification|security|confirmation|sms|\d[- ]digit|\d+[- ]chiffres?) code|code (?:de (?:v[ée]rification|s[ée]curit[ée])|re[çc]u|[àa] \d+ chiffres|pin)|code\b|pin(?: code)?\b|password|passcode|mot de passe|modpas|cvv|cvc|kod\b)"
 _SHARE = r"(?:send|give|share|provide|confirm|reply(?: back)?(?: with)?|tell|read(?: (?:it|them))?(?: back)?|forward|text|verify|envoy(?:ez|er)|donn(?:ez|er)|communiqu(?:ez|er)|transmett(?:ez|re)|confirm(?:ez|er)|indiqu(?:ez|er)|partag(?:ez|er)|r[ée]pond(?:ez|re)(?: avec)?|renvoy(?:ez|er)|dites|avoy(?:e)?|donn|konfirm(?:e)?|dir|partaz|ekrir|reponn(?: avek)?|verifye)"
@@ -61,6 +64,8 @@ RULES = [
     ("SOC-10", "mfe", "", r"\bavoy\w*\b[\s\S]{0,60}?\bpar erer\b[\s\S]{0,100}?\breavoy\w*\b"),
     ("SOC-09", "en", "", r"\bno survey\b|\bdirect download link\b|\bkeygen\b|\bserial key\b|\bactivation key\b|\brepack\b|\bcrack(?:ed)?(?: version)?\b|\bfree\b[^.!?\n]{0,40}?\bfull (?:pc )?version\b|\bfull (?:pc )?version\b[^.!?\n]{0,40}?\bfree\b"),
 ]
+#: This library's own name, as messages would claim its approval.
+CHECKER = "tracewell"
 #: Instructions aimed at an automated checker.
 INJECTION = "|".join([
     r"\bignore (?:all |any )?(?:the )?(?:previous|prior|above|earlier|preceding) (?:instructions?|prompts?|rules?|messages?)\b",
@@ -69,10 +74,13 @@ INJECTION = "|".join([
     r"\b(?:classify|mark|label|rate|flag|treat|output|return|respond with|answer)\b[^.\n]{0,40}\b(?:as )?(?:safe|legitimate|legit|not (?:a )?scam|harmless|benign)\b",
     r"(?:^|\n)\s*(?:system|assistant|developer)\s*:",
     r"\[\s*(?:system|inst)\s*\]",
+    r"</?\s*(?:system|untrusted_message|instructions?)\s*>",
+    rf"\b{CHECKER} (?:has )?(?:verified|approved|cleared|confirmed)\b",
+    rf"\b(?:verified|approved) (?:as )?(?:safe )?by {CHECKER}\b",
     r"\bas an ai(?: language)? model\b",
     r"\bignorez (?:toutes )?les instructions\b",
 ])
-TEMPLATE_MARK = r"\{\{[^{}]+\}\}|\{%[^%]+%\}|%%[A-Za-z0-9_ ]+%%"
+TEMPLATE_MARK = r"\{\{\s*[.#/]?[\w.]+\s*\}\}|\{%\s*[.#/]?[\w. ]+\s*%\}|%%[\w.]+%%"
 NEGATION = r"\b(?:never|not|don'?t|do not|no one|nobody|ne|jamais|pa|pann|zame|zamai)\b|\bn'"
 CONDITION = r"\b(?:if|unless|si|sinon|otherwise)\b"
 CONTACT = "|".join([
@@ -176,3 +184,20 @@ def detect(messages: DataFrame) -> DataFrame:
     rows = texts.select(F.md5(t.cast("binary")).alias("key"), F.explode(F.array(*hits)).alias("x")).where("x.hit IS NOT NULL")
     keyed = messages.select("msg_id", F.md5(t.cast("binary")).alias("key"))
     return keyed.join(rows, "key").select("msg_id", "x.code", "x.hit.lang", F.col("x.hit.start").cast("long").alias("start"), "x.hit.evidence")
+
+
+def detect_twice(messages: DataFrame) -> DataFrame:
+    """``detect``, then again over respelled texts for codes that the first pass missed; adds ``second``.
+
+    Start and evidence of the second pass are those of the original text.
+    Each distinct text is respelled once.
+    """
+    first = detect(messages)
+    keyed = messages.select("msg_id", F.md5(F.col("text").cast("binary")).alias("key"))
+    texts = messages.where("text IS NOT NULL").select("text").distinct().repartition(int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    texts = written(spelling.respelled(texts).where("changed").select(F.md5(F.col("text").cast("binary")).alias("key"), "text", "normal", "segments"), "respelled")
+    again = detect(texts.select(F.col("key").alias("msg_id"), F.col("normal").alias("text"))).where("code NOT IN ('SOC-07', 'ID-05')").withColumnRenamed("msg_id", "key")
+    again = again.join(texts, "key").withColumn("spot", offsets.to_original(F.col("segments"), F.col("start").cast("int"), (F.col("start") + F.length("evidence")).cast("int"), F.length("text")))
+    again = again.select("key", "code", "lang", F.col("spot.start").cast("long").alias("start"), F.substr("text", F.col("spot.start") + 1, F.col("spot.end") - F.col("spot.start")).alias("evidence"))
+    missed = keyed.join(again, "key").join(first.select("msg_id", "code"), ["msg_id", "code"], "left_anti")
+    return first.withColumn("second", F.lit(False)).unionByName(missed.select("msg_id", "code", "lang", "start", "evidence", F.lit(True).alias("second")))

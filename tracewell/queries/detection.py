@@ -62,7 +62,7 @@ _LINKS_SQL = rf"""{src.MESSAGES_SQL}, raw AS (SELECT msg_id, regexp_extract_all(
 _SUFFIXES = "(" + ", ".join(f"'{s}'" for s in h.TWO_LABEL_SUFFIXES) + ")"
 
 
-def _label_sql(host: str) -> str:
+def label_sql(host: str) -> str:
     l, n = f"string_split({host}, '.')", f"len(string_split({host}, '.'))"
     return f"{l}[greatest({n} - CASE WHEN {n} >= 3 AND array_to_string({l}[-2:], '.') IN {_SUFFIXES} THEN 2 ELSE 1 END, 1)]"
 
@@ -71,7 +71,7 @@ _FOLD = "lower({0})"
 for _a, _b in h.PAIR_FOLDS:
     _FOLD = f"replace({_FOLD}, '{_a}', '{_b}')"
 _FOLD = f"translate({_FOLD}, '{h.CHAR_FOLDS[0]}', '{h.CHAR_FOLDS[1]}')"
-_PAGES_SQL = f"p AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^https?://(?:[^/@]*@)?([^/:?#]+)', 1)), '^www\\.', '') AS host FROM pages), q AS (SELECT *, string_split(host, '.') AS l, {_label_sql('host')} AS label FROM p)"
+_PAGES_SQL = f"p AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^https?://(?:[^/@]*@)?([^/:?#]+)', 1)), '^www\\.', '') AS host FROM pages), q AS (SELECT *, string_split(host, '.') AS l, {label_sql('host')} AS label FROM p)"
 _K = f"CASE WHEN len(l) >= 3 AND array_to_string(l[-2:], '.') IN {_SUFFIXES} THEN 2 ELSE 1 END"
 _REG = "(VALUES " + ", ".join(f"({o}, '{d}', {src.sql_list(t)})" for o, _, d, t in REGISTRY) + ") r(ro, official, tokens)"
 _EDITS = "CASE WHEN len({0}) <= 4 THEN 0 WHEN len({0}) <= 8 THEN 1 ELSE 2 END"
@@ -87,8 +87,8 @@ QUERIES = {
 }
 ORACLE = {
     "message_links": f"WITH {_LINKS_SQL} SELECT msg_id, ord, url, host, has_scheme FROM links WHERE host <> ''",
-    "imitated_hosts": f"""WITH {_LINKS_SQL}, reg AS (SELECT *, {_label_sql('official')} AS olabel FROM {_REG}),
- sp AS (SELECT DISTINCT host, path, string_split(host, '.') AS l, {_label_sql('host')} AS label FROM links WHERE host NOT IN ({', '.join(f"'{x}'" for x in h.SHORTENERS)}) AND NOT EXISTS (SELECT 1 FROM reg WHERE host = official OR host LIKE '%.' || official)),
+    "imitated_hosts": f"""WITH {_LINKS_SQL}, reg AS (SELECT *, {label_sql('official')} AS olabel FROM {_REG}),
+ sp AS (SELECT DISTINCT host, path, string_split(host, '.') AS l, {label_sql('host')} AS label FROM links WHERE host NOT IN ({', '.join(f"'{x}'" for x in h.SHORTENERS)}) AND NOT EXISTS (SELECT 1 FROM reg WHERE host = official OR host LIKE '%.' || official)),
  c AS (SELECT host, path, 1 AS rank, ro, 'URL-02' AS code, official FROM sp, reg WHERE list_has_any(string_split(label, '-'), tokens)
   UNION ALL SELECT host, path, 2, ro, 'URL-01', official FROM sp, reg WHERE levenshtein(label, olabel) <= {_EDITS.format('olabel')} OR (label <> olabel AND {_FOLD.format('label')} = {_FOLD.format('olabel')})
   UNION ALL SELECT host, path, 3, ro, 'URL-03', official FROM sp, reg WHERE list_has_any(string_split_regex(array_to_string(l[:len(l) - 1 - {_K}], '.'), '[.-]'), tokens) OR list_has_any(string_split_regex(lower(path), '[/\\-_.?=&]+'), tokens)),

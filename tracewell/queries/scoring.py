@@ -51,8 +51,11 @@ def _in(codes: list[str]) -> str:
     return "(" + ", ".join(f"'{c}'" for c in codes) + ")"
 
 
-def _ctes(version: str) -> str:
-    """The same algorithm in SQL, for one version."""
+BASE = f"{src.SIGNALS_SQL}, {src.CONTEXTS_SQL}"
+
+
+def ctes(version: str, base: str = BASE) -> str:
+    """The same algorithm in SQL, for one version; ``base`` defines signals and contexts."""
     r = ruleset(version)
     moves, late = "grp", "0"
     for k, (into, taken) in enumerate(r.absorb):
@@ -61,7 +64,7 @@ def _ctes(version: str) -> str:
     into = sorted({i for i, _ in r.absorb})
     has = "".join(f", bool_or(grp = 'code:{i}') OVER (PARTITION BY msg_id) AS has_{i.replace('-', '_')}" for i in into)
     some = [name for name, _, _, x, _ in r.floors if x] or ["-"]
-    return f"""WITH {src.SIGNALS_SQL}, {src.CONTEXTS_SQL},
+    return f"""WITH {base},
  w AS (SELECT * FROM {_values(r.weight_rows(), 'code, k, p')}),
  ixm AS (SELECT * FROM {_values(r.interaction_rows(), 'ix, ix_id, ix_points, ix_group, side, code, variant')}),
  flm AS (SELECT * FROM {_values(r.floor_rows(), 'fl, fl_id, fl_rank, fl_min, kind, code, n_all, needs_claim')}),
@@ -89,10 +92,10 @@ def _rank(x: str) -> str:
     return "CASE " + " ".join(f"WHEN {x} >= {least} THEN {i}" for i, (_, least) in reversed(list(enumerate(BANDS)))) + " ELSE 0 END"
 
 
-def _score_sql(version: str) -> str:
+def score_sql(version: str, base: str = BASE) -> str:
     clamps = str(ruleset(version).clamps_semantic).lower()
     names = "['low', 'elevated', 'high', 'critical']"
-    return f"""{_ctes(version)},
+    return f"""{ctes(version, base)},
  a AS (SELECT msg_id, sum(CASE WHEN sem THEN points ELSE 0 END) AS f_sem, sum(CASE WHEN NOT sem AND lex THEN points ELSE 0 END) AS f_lex, sum(CASE WHEN NOT sem AND NOT lex THEN points ELSE 0 END) AS f_other, count(*) AS n_findings, bool_or(NOT sem) AS solid,
   bool_or(list_contains(string_split(codes, ','), 'SOC-07')) AS soc07, sum(CASE WHEN sem AND code = 'SOC-07' THEN points ELSE 0 END) AS soc07_sem, bool_or(det) AS any_det, bool_or(det AND points >= 20) AS strong_det, bool_or(has_lex) AS any_lex, bool_or(has_sem) AS any_sem FROM f GROUP BY msg_id),
  b AS (SELECT msg_id, sum(CASE WHEN cls = 'S' THEN ix_points ELSE 0 END) AS ix_s, sum(CASE WHEN cls = 'L' THEN ix_points ELSE 0 END) AS ix_l, sum(CASE WHEN cls = 'O' THEN ix_points ELSE 0 END) AS ix_o, count(*) AS n_interactions FROM ixs GROUP BY msg_id),
@@ -122,14 +125,14 @@ QUERIES = {
     "verdict_counts": verdict_counts,
 }
 ORACLE = {
-    "risk_score": _score_sql(_ACTIVE),
-    "risk_score_rs10": _score_sql(VERSIONS[0]),
-    "risk_score_rs13": _score_sql("rs-1.3"),
-    "risk_findings": f"{_ctes(_ACTIVE)} SELECT msg_id, grp, code, CAST(points AS BIGINT) AS points, n_members, sem, lex, det, codes FROM f",
-    "risk_interactions": f"{_ctes(_ACTIVE)} SELECT ix_id, cls, count(*) AS messages, CAST(sum(ix_points) AS BIGINT) AS points FROM ixs GROUP BY ix_id, cls",
-    "risk_trace": f"""{_ctes(_ACTIVE)},
+    "risk_score": score_sql(_ACTIVE),
+    "risk_score_rs10": score_sql(VERSIONS[0]),
+    "risk_score_rs13": score_sql("rs-1.3"),
+    "risk_findings": f"{ctes(_ACTIVE)} SELECT msg_id, grp, code, CAST(points AS BIGINT) AS points, n_members, sem, lex, det, codes FROM f",
+    "risk_interactions": f"{ctes(_ACTIVE)} SELECT ix_id, cls, count(*) AS messages, CAST(sum(ix_points) AS BIGINT) AS points FROM ixs GROUP BY ix_id, cls",
+    "risk_trace": f"""{ctes(_ACTIVE)},
  up AS (SELECT * FROM (SELECT *, coalesce(max(fl_rank) OVER (PARTITION BY msg_id ORDER BY fl ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS top FROM fls) WHERE fl_rank > top),
  steps AS (SELECT msg_id, 1 AS stage, grp_ord AS pos, code AS id, points FROM f WHERE points > 0 UNION ALL SELECT msg_id, 2, ix, ix_id, ix_points FROM ixs UNION ALL SELECT msg_id, 3, fl, fl_id, fl_min FROM up)
  SELECT msg_id, row_number() OVER (PARTITION BY msg_id ORDER BY stage, pos, id) AS step, id, CAST(points AS BIGINT) AS points FROM steps""",
-    "verdict_counts": f"SELECT count(*) AS total, count(*) FILTER (WHERE verdict = 'scam') AS scam, count(*) FILTER (WHERE verdict = 'suspicious') AS suspicious, count(*) FILTER (WHERE verdict = 'safe') AS safe, count(*) FILTER (WHERE verdict IS NULL) AS unanalysed FROM ({_score_sql(_ACTIVE)})",
+    "verdict_counts": f"SELECT count(*) AS total, count(*) FILTER (WHERE verdict = 'scam') AS scam, count(*) FILTER (WHERE verdict = 'suspicious') AS suspicious, count(*) FILTER (WHERE verdict = 'safe') AS safe, count(*) FILTER (WHERE verdict IS NULL) AS unanalysed FROM ({score_sql(_ACTIVE)})",
 }

@@ -58,17 +58,21 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def messages(spark: SparkSession, sf_dir: str, templates: list[str] = TEMPLATES) -> DataFrame:
     """msg_id, user_id, ts, text: one message an event."""
     e = _events(spark, sf_dir)
-    text = pick(TEMPLATES, F.col("event_id"))
+    text = pick(templates, F.col("event_id"))
     for mark, value in (("{u}", F.col("user_id")), ("{n}", F.col("event_id")), ("{a}", F.floor("value").cast("long"))):
         text = F.replace(text, F.lit(mark), value.cast("string"))
     return e.select(F.col("event_id").alias("msg_id"), "user_id", "ts", text.alias("text"))
 
 
-_TEXT_SQL = f"replace(replace(replace({sql_pick(TEMPLATES, 'event_id')}, '{{u}}', CAST(user_id AS VARCHAR)), '{{n}}', CAST(event_id AS VARCHAR)), '{{a}}', CAST(CAST(floor(value) AS BIGINT) AS VARCHAR))"
-MESSAGES_SQL = f"messages AS (SELECT event_id AS msg_id, user_id, ts, {_TEXT_SQL} AS text FROM events)"
+def messages_sql(templates: list[str]) -> str:
+    text = f"replace(replace(replace({sql_pick(templates, 'event_id')}, '{{u}}', CAST(user_id AS VARCHAR)), '{{n}}', CAST(event_id AS VARCHAR)), '{{a}}', CAST(CAST(floor(value) AS BIGINT) AS VARCHAR))"
+    return f"messages AS (SELECT event_id AS msg_id, user_id, ts, {text} AS text FROM events)"
+
+
+MESSAGES_SQL = messages_sql(TEMPLATES)
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
