@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import mapped, small_side, table, written
 
 #: A shard's trie is written when it has seen so many words, or so many different ones.
-FLUSH_WORDS, FLUSH_VOCABULARY = 4_000_000, 1_000_000
+FLUSH_WORDS, FLUSH_VOCABULARY = 2_000_000, 500_000
 #: Paths of all shards that a range is meant for, and bytes of text that the ranges are sampled from.
 RANGE_PATHS, SAMPLE_BYTES = 1_500_000, 4_000_000
 MIN_COUNT, TOP = 10, 2000
@@ -288,8 +288,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP) ->
     c = c.where("longer IS NULL OR 2 * longer < a").withColumn("phrase", F.concat_ws(" ", "w1", "w2", "w3"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     c = c.select("lang", "phrase", "a", "l", "r", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    # The totals are one row a language; left to Spark, which knows their size.
-    return c.join(totals.withColumnRenamed("lang", "k_lang"), F.col("lang") == F.col("k_lang")).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
+    return c.join(small_side(written(totals.withColumnRenamed("lang", "k_lang"), "collocations-totals")), F.col("lang") == F.col("k_lang")).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
