@@ -508,3 +508,27 @@ def test_cuts_cross_no_piece():
         assert "".join(own) == ("▁" + t.replace(" ", "▁") if t else "")
         for a, b in itertools.pairwise(own):
             assert a[-1] + b[0] not in pieces.pairs
+
+
+def test_encoding_survives_other_file_splits(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    key, usual = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    read = lambda: spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    want = {r["doc_id"]: r["token_ids"] for r in lattice.encode(read(), path).collect()}
+    try:
+        spark.conf.set(key, 30_000)
+        coded = lattice.encode(read(), path)
+        spark.conf.set(key, usual)
+        got = {r["doc_id"]: r["token_ids"] for r in coded.collect()}
+    finally:
+        spark.conf.set(key, usual)
+    assert got == want
+
+
+def test_one_path_equals_the_relational_one(spark):
+    pieces = lattice.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    known = {p: (i, x) for p, i, x in pieces.rows}
+    rng = random.Random(12)
+    units = sorted({"".join(rng.choice("▁abehtn=.é日😀") for _ in range(rng.randint(1, 90))) for _ in range(150)} | {"=" * 70, "▁" * 40})
+    got = {r["unit"]: r["ids"] for r in lattice.best_paths(spark.createDataFrame([(u,) for u in units], "unit string"), pieces).collect()}
+    assert got == {u: lattice.one_path(u, known, pieces.longest, pieces.unknown, pieces.byte_base) for u in units}

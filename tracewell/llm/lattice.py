@@ -288,17 +288,53 @@ def _filed(docs: DataFrame) -> DataFrame:
 
 
 def _block_paths(folder: str, block: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Units of one block, where the ids of each begin (and the end), and all ids."""
+    """Units of one block, where the ids of each begin (and the end), and all ids; none of a block that the first scan didn't have."""
     store, root = pafs.FileSystem.from_uri(folder)
-    got = pads.dataset(f"{root}/block={hashlib.md5(block.encode()).hexdigest()}", filesystem=store, format="parquet").to_table(columns=["unit", "ids"]).combine_chunks()
+    at = f"{root}/block={hashlib.md5(block.encode()).hexdigest()}"
+    if store.get_file_info(at).type == pafs.FileType.NotFound:
+        return pa.array([], pa.large_string()), np.zeros(1, np.int64), np.zeros(0, "<u4")
+    got = pads.dataset(at, filesystem=store, format="parquet").to_table(columns=["unit", "ids"]).combine_chunks()
     ids = got.column("ids").combine_chunks()
     return got.column("unit").combine_chunks().cast(pa.large_string()), ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy().astype("<u4")
 
 
-def _encoder(pairs: frozenset[str], folder: str, at: int, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def one_path(unit: str, known: dict[str, tuple[int, float]], longest: int, unknown: float, base: int) -> list[int]:
+    """Ids of one unit's best path, as best_paths finds it, for units that no table of paths has."""
+    best: list[tuple[float, int, list[int]]] = [(0.0, 0, [])]
+    for e in range(1, len(unit) + 1):
+        top = (-float("inf"), 0, [])
+        for n in range(1, min(longest, e) + 1):
+            piece = unit[e - n : e]
+            found = known.get(piece)
+            if found is None and n > 1:
+                continue
+            ids, score = ([found[0]], found[1]) if found else ([base + b for b in piece.encode("utf-8", "surrogatepass")], unknown)
+            if best[e - n][0] + score >= top[0]:
+                top = (best[e - n][0] + score, n, ids)
+        best.append(top)
+    out, e = [], len(unit)
+    while e:
+        out.append(best[e][2])
+        e -= best[e][1]
+    return [i for ids in reversed(out) for i in ids]
+
+
+def _encoder(pieces: Pieces, folder: str, at: int, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Cutter(pairs)
-        held, paths = None, None
+        cut = Cutter(pieces.pairs)
+        held, paths, known = None, None, {}
+
+        def completed(asked: pa.Array, paths: tuple[pa.Array, np.ndarray, np.ndarray]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+            """``paths`` with those of units that it lacks: where files were split otherwise when their units were gathered."""
+            own, begin, flat = paths
+            lacking = asked.filter(pc.invert(pc.is_in(asked, value_set=own)))
+            if not len(lacking):
+                return paths
+            if not known:
+                known.update({p: (i, x) for p, i, x in pieces.rows})
+            lacking = pc.unique(lacking)
+            new = [np.array(one_path(u, known, pieces.longest, pieces.unknown, pieces.byte_base), "<u4") for u in lacking.to_pylist()]
+            return pa.concat_arrays([own, lacking]), np.concatenate([begin, begin[-1] + np.cumsum([len(x) for x in new])]), np.concatenate([flat, *new])
 
         def coded(block: str, texts: list[str | None]) -> list[bytes]:
             nonlocal held, paths
@@ -310,8 +346,10 @@ def _encoder(pairs: frozenset[str], folder: str, at: int, then: Callable[[pa.Rec
             if block != held:
                 paths = None
                 held, paths = block, _block_paths(folder, block)
+            asked = pa.concat_arrays([u.dictionary for u, _ in coded_units])
+            paths = completed(asked, paths)
             own, begin, flat = paths
-            where = pc.index_in(pa.concat_arrays([u.dictionary for u, _ in coded_units]), value_set=own).to_numpy(zero_copy_only=False).astype(np.int64)
+            where = pc.index_in(asked, value_set=own).to_numpy(zero_copy_only=False).astype(np.int64)
             out, at = [], 0
             for units, first in coded_units:
                 c = where[at : at + len(units.dictionary)][units.indices.to_numpy()]
@@ -345,8 +383,12 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", then: tuple[str,
 
     Each file block's distinct units go to the lattice once for all blocks
     that have them; their paths come back in one folder a block, which the
-    block's rows then look up. Null and empty texts have no ids; repeated rows
-    are encoded alike; a column named token_ids is replaced.
+    block's rows then look up. Should the files be split otherwise when they
+    are read again, as other executors or settings may have it, the units that
+    a block's folder lacks are folded where they are needed. Null and empty
+    texts have no ids; repeated rows are encoded alike; a column named
+    token_ids is replaced; an empty table stays empty; a very long text is
+    cut in windows.
     """
     spark = docs.sparkSession
     pieces = Pieces.load(path)
@@ -363,7 +405,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", then: tuple[str,
     kept = docs.select(F.expr(_BLOCK).alias("__block"), *docs.columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     out, finish = then or (f"{schema}, token_ids binary", None)
-    return kept.transform(mapped, _encoder(pieces.pairs, folder, 1 + docs.columns.index(text_col), finish), out)
+    return kept.transform(mapped, _encoder(pieces, folder, 1 + docs.columns.index(text_col), finish), out)
 
 
 def decode_ids(ids: bytes, pieces: Pieces) -> str:
