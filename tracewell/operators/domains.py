@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import hosts as h
 from tracewell.operators import edits
+from tracewell.operators.offsets import computed
+from tracewell.sources.scratch import written
 
 #: Relations of a host to a trusted domain, the first that holds counts. Fixed values.
 RELATIONS = ["same", "sibling", "homoglyph", "label_split", "subdomain_abuse", "tld_swap", "confusable", "typo", "brand_embedded"]
@@ -74,7 +76,7 @@ def substrings(text: Column, least: int) -> Column:
 
 def _candidate_keys(hosts: DataFrame) -> DataFrame:
     a = F.col("unicode")
-    c = hosts.withColumn("label", h.registrable_label(a)).withColumn("registrable", h.registrable_domain(a)).withColumn("subs", h.subdomains(a))
+    c = computed(hosts, label=h.registrable_label(a), registrable=h.registrable_domain(a), subs=h.subdomains(a))
     joined = F.array_join(F.concat("subs", F.array("label")), "")
     odd = F.rlike(a, F.lit(r"[^\x00-\x7f]"))
     keys = F.flatten(F.array(
@@ -94,7 +96,7 @@ def _candidate_keys(hosts: DataFrame) -> DataFrame:
 
 
 def _trusted_keys(trusted: DataFrame) -> DataFrame:
-    t = trusted.withColumn("brand", h.registrable_label(F.col("unicode")))
+    t = computed(trusted, brand=h.registrable_label(F.col("unicode")))
     brand, long = F.col("brand"), F.length("brand") >= LEAST_BRAND
     fold = h.visual_fold(brand)
     keys = F.flatten(F.array(
@@ -121,8 +123,8 @@ def relations(hosts: DataFrame, trusted: DataFrame) -> DataFrame:
     Of several relations the first of RELATIONS counts. A label of n
     characters emits about n*n/2 keys, and labels end at 63.
     """
-    known = host_forms(trusted.select(F.col("domain").alias("host"))).withColumnRenamed("host", "trusted")
-    pairs = _candidate_keys(host_forms(hosts)).join(_trusted_keys(known), ["kind", "key"])
+    known = written(host_forms(trusted.select(F.col("domain").alias("host"))).withColumnRenamed("host", "trusted"), "trusted")
+    pairs = _candidate_keys(written(host_forms(hosts), "hosts")).join(_trusted_keys(known), ["kind", "key"])
     far = (F.col("kind") == "typo") & (F.levenshtein("label", "brand") > h.max_edits(F.length("brand")))
     unsplit = (F.col("kind") == "label_split") & F.startswith("key", F.lit("-")) & (F.col("label") == F.col("brand"))
     rank = F.array_position(F.array(*[F.lit(x) for x in RELATIONS]), F.col("kind"))
@@ -162,7 +164,8 @@ def brand_imitations(hosts: DataFrame, brands: DataFrame, exempt: DataFrame) ->
     brand in order counts.
     """
     d = hosts.select(h.normal_host(F.col("host")).alias("host")).distinct()
-    d = d.join(below(d, brands).select("host"), "host", "left_anti").join(exempt.select("host").distinct(), "host", "left_anti").withColumn("label", h.registrable_label(F.col("host")))
+    d = d.join(below(d, brands).select("host"), "host", "left_anti").join(exempt.select("host").distinct(), "host", "left_anti")
+    d = computed(d, label=h.registrable_label(F.col("host")))
     parts = F.split("label", "-")
     keys = F.flatten(F.array(
         _keyed("part", F.when(F.size(parts) > 1, F.transform(parts, h.visual_fold)).otherwise(F.array().cast("array<string>"))),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import hosts as h
 from tracewell.operators import domains, edits
+from tracewell.sources.scratch import written
 
 #: A link with a scheme, or a bare domain that nothing precedes which would make it part of a word or address.
 _SCHEME, _BARE = r"https?://[^\s<>\"'()]+", r"(?:www\.)?(?:[a-z0-9-]+\.)+[a-z]{2,10}(?:/[^\s<>\"'()]*)?"
@@ -35,7 +36,7 @@ def typos(labels: DataFrame, official: DataFrame) -> DataFrame:
     """Labels within the allowed edits of an official one, by a deletion neighbourhood: label, official_label. Both tables have ``label``."""
     ours = labels.select("label").distinct().withColumn("key", F.explode(edits.all_keys(F.col("label"), h.EDIT_LENGTHS)))
     theirs = official.select(F.col("label").alias("official_label")).distinct().withColumn("key", F.explode(edits.keys(F.col("official_label"), h.max_edits(F.length("official_label")), 2)))
-    pairs = ours.join(theirs, "key").select("label", "official_label").distinct()
+    pairs = written(ours.join(theirs, "key").select("label", "official_label").distinct(), "typos")
     return pairs.where(F.levenshtein("label", "official_label") <= h.max_edits(F.length("official_label")))
 
 
@@ -55,7 +56,8 @@ def imitations(links: DataFrame, registry: DataFrame, brands: DataFrame | None =
     known = registry.select(F.col("official").alias("suffix"))
     parents = spots.select("host", F.explode(h.host_suffixes(F.col("host"))).alias("suffix")).join(known, "suffix").select("host").distinct()
     spots = spots.join(parents, "host", "left_anti").where(~F.col("host").isin(h.SHORTENERS))
-    spots = spots.withColumn("label", h.registrable_label(F.col("host"))).withColumn("subs", h.subdomains(F.col("host")))
+    # Seven branches read this.
+    spots = written(spots.withColumn("label", h.registrable_label(F.col("host"))).withColumn("subs", h.subdomains(F.col("host"))), "spots")
     tokens = registry.select(F.col("ord").alias("reg_ord"), "official", F.explode("tokens").alias("part"))
     hit = lambda df, rank, code: df.select("host", "path", F.lit(rank).alias("rank"), "reg_ord", F.lit(code).alias("code"), "official")
     in_label = hit(spots.select("host", "path", F.explode(F.split("label", "-")).alias("part")).join(tokens, "part"), 1, "URL-02")
@@ -68,7 +70,7 @@ def imitations(links: DataFrame, registry: DataFrame, brands: DataFrame | None =
     found = in_label.unionAll(near).unionAll(folded).unionAll(elsewhere)
     if brands is not None:
         none = spots.select("host").where("false")
-        copies = domains.brand_imitations(spots.select("host"), brands, none if trusted is None else trusted)
+        copies = written(domains.brand_imitations(spots.select("host"), brands, none if trusted is None else trusted), "brands")
         found = found.unionAll(spots.select("host", "path").join(copies, "host").select("host", "path", F.lit(3), F.lit(0), "code", "official"))
     first = Window.partitionBy("host", "path").orderBy("rank", "reg_ord")
     best = found.withColumn("turn", F.row_number().over(first)).where("turn = 1").select("host", "path", "code", "official")

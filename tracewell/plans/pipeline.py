@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewell.plans import scoring
 from tracewell.plans.ruleset import Ruleset, ruleset
+from tracewell.sources.scratch import written
 
 # Results depend on them.
 #: Detectors in the order in which their signals arrive.
@@ -60,6 +61,11 @@ def union(parts: dict[str, DataFrame | tuple[DataFrame, str | Column]]) -> DataF
     return out
 
 
+def gathered(parts: dict[str, DataFrame | tuple[DataFrame, str | Column]], name: str) -> DataFrame:
+    """``union``, with each detector's rows written by a job of its own, so that no plan holds all detectors, and read back together."""
+    return union({k: ((written(p[0], f"{name}-{k}"), p[1]) if isinstance(p, tuple) else written(p, f"{name}-{k}")) for k, p in parts.items()})
+
+
 def codes(rules: Ruleset) -> list[str]:
     return sorted({code for code, *_ in rules.weight_rows()} | set(UNSCORED))
 
@@ -127,8 +133,7 @@ def assess(signals: DataFrame, contexts: DataFrame, version: str | None = None)
     """One row per context: what scoring.score says, and stage and codes of all members.
 
     ``contexts`` has msg_id, claimed (an institution is named) and
-    semantic_ok. ``signals`` should be written before, as scoring reads
-    them several times.
+    semantic_ok.
     """
     rules = ruleset(version) if version else ruleset()
     s = checked(signals, rules)

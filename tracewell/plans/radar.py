@@ -52,14 +52,19 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.floor(part * 100.0 / whole + 0.5)).otherwise(F.lit(0)).cast("long")
 
 
+def flagged(observations: DataFrame) -> DataFrame:
+    """Checks whose verdict isn't safe; reports count these."""
+    return observations.where("verdict <> 'safe'")
+
+
 def daily_counters(observations: DataFrame) -> DataFrame:
-    """Checks per day, verdict, scam_type, claimed_identity and channel."""
-    return observations.groupBy("day", "verdict", "scam_type", "claimed_identity", "channel").agg(F.count("*").alias("n"))
+    """Flagged checks per day, verdict, scam_type, claimed_identity and channel."""
+    return flagged(observations).groupBy("day", "verdict", "scam_type", "claimed_identity", "channel").agg(F.count("*").alias("n"))
 
 
 def domain_counters(observations: DataFrame) -> DataFrame:
-    """Checks per day and imitating domain."""
-    return observations.where("domain IS NOT NULL").groupBy("day", "domain", "imitates").agg(F.count("*").alias("n"))
+    """Flagged checks per day and imitating domain."""
+    return flagged(observations).where("domain IS NOT NULL").groupBy("day", "domain", "imitates").agg(F.count("*").alias("n"))
 
 
 def totals(daily: DataFrame, r: Range) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.plans.ruleset import BANDS, CAP_LEXICON, CAP_SEMANTIC, IMPERSONATION, Ruleset, ruleset
+from tracewell.sources.scratch import written
 
 LEVELS = [level for level, _ in BANDS]
 
@@ -124,8 +125,9 @@ def score(signals: DataFrame, contexts: DataFrame, version: str | None = None) -
     floors, in this order. Messages without a signal score 0.
     """
     rules = ruleset(version) if version else ruleset()
-    m = members(signals, rules)
-    f = findings(m)
+    # Both are read several times below.
+    m = written(members(signals, rules), "members")
+    f = written(findings(m), "findings")
     ix = interactions(m, f, rules)
     fl = floors(m, f, contexts, rules).groupBy("msg_id").agg(F.max("fl_rank").alias("floor_rank"), F.max("fl_min").alias("floor_min"), F.count("*").alias("n_floors"))
     points = F.col("points")
@@ -175,8 +177,8 @@ def trace(signals: DataFrame, contexts: DataFrame, version: str | None = None) -
     A floor is listed if its level exceeds that of every floor before it.
     """
     rules = ruleset(version) if version else ruleset()
-    m = members(signals, rules)
-    f = findings(m)
+    m = written(members(signals, rules), "members")
+    f = written(findings(m), "findings")
     steps = f.where("points > 0").select("msg_id", F.lit(1).alias("stage"), F.col("grp_ord").cast("long").alias("at"), F.col("code").alias("id"), "points")
     steps = steps.unionAll(interactions(m, f, rules).select("msg_id", F.lit(2), F.col("ix").cast("long"), "ix_id", "ix_points"))
     fl = floors(m, f, contexts, rules)

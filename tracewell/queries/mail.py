@@ -38,7 +38,7 @@ def mail_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mail_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Emails to verdicts."""
-    s = written(pipeline.union({"email": _mail_signals(spark, sf_dir)}), "mail-signals")
+    s = pipeline.gathered({"email": _mail_signals(spark, sf_dir)}, "mail-signals")
     contexts = src.emails(spark, sf_dir).select("msg_id", F.lit(False).alias("claimed"), F.lit(False).alias("semantic_ok"))
     return pipeline.assess(s, contexts)
 

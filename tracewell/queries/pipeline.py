@@ -96,7 +96,7 @@ def message_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
 
 def _signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     m, parts = message_parts(spark, sf_dir)
-    return m.select("msg_id", F.col("claim").isNotNull().alias("claimed"), F.lit(False).alias("semantic_ok")), written(pipeline.union(parts), "signals")
+    return m.select("msg_id", F.col("claim").isNotNull().alias("claimed"), F.lit(False).alias("semantic_ok")), pipeline.gathered(parts, "signals")
 
 
 def message_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +136,7 @@ def full_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrases = written(lexicon.detect_twice(m).select("msg_id", F.col("start").alias("place"), "code", "evidence", "start"), "phrases")
     parts["lexicon"] = (phrases.where("code NOT IN ('SOC-07', 'ID-05')"), "lexicon")
     parts["injection"], parts["template"] = phrases.where("code = 'SOC-07'"), phrases.where("code = 'ID-05'")
-    s = written(pipeline.union(parts), "signals")
+    s = pipeline.gathered(parts, "signals")
     return pipeline.assess(s, m.select("msg_id", F.col("claim").isNotNull().alias("claimed"), F.lit(False).alias("semantic_ok")))
 
 

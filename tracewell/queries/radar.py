@@ -20,13 +20,13 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scam_type_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Campaigns (type and identity) per type and their messages."""
-    c = src.observations(spark, sf_dir).groupBy("scam_type", "claimed_identity").agg(F.count("*").alias("messages"))
+    c = radar.flagged(src.observations(spark, sf_dir)).groupBy("scam_type", "claimed_identity").agg(F.count("*").alias("messages"))
     return c.groupBy("scam_type").agg(F.count("*").alias("campaigns"), F.sum("messages").alias("messages"))
 
 
 def trend_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four totals in one row."""
-    o = src.observations(spark, sf_dir)
+    o = radar.flagged(src.observations(spark, sf_dir))
     return o.agg(F.count("*").alias("checks"), F.coalesce(F.count_if(F.col("verdict") == "scam"), F.lit(0)).alias("scams"), F.countDistinct("scam_type", "claimed_identity").alias("campaigns"), F.countDistinct("domain").alias("domains"))
 
 

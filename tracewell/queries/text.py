@@ -46,12 +46,19 @@ def redacted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redaction.redact(m)
 
 
+def redacted_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers of every document with their placeholders, and whether putting them back gives the text."""
+    d = redaction.redact_all(_docs(spark, sf_dir).select("doc_id", "text"))
+    back = redaction.restored(F.col("redacted"), F.col("redactions")) == F.coalesce("text", F.lit(""))
+    return d.select("doc_id", F.length("redacted").cast("long").alias("redacted_length"), back.alias("restores"), F.size("redactions").cast("long").alias("n"), F.array_join(F.transform("redactions", lambda r: r["placeholder"]), ",").alias("placeholders"))
+
+
 def language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redaction.language_mix(src.messages(spark, sf_dir))
 
 
 def cut_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = tx.cut(F.col("text"), 500)
+    c = tx.cut(F.col("text"), 5000)
     return _docs(spark, sf_dir).select("doc_id", F.length(c).cast("long").alias("n"), F.md5(c.cast("binary")).alias("h"))
 
 
@@ -90,8 +97,8 @@ _REDACT = "text || ' mail u' || user_id || '@mail.example.com or +230 5' || lpad
 for _re, _to in ((redaction.EMAIL, "[email]"), (redaction.PHONE, "[phone]"), (r"\b[0-9]{5,}([0-9]{4})\b", r"[account ending \1]")):
     _REDACT = f"regexp_replace({_REDACT}, '{_re}', '{_to}', 'g')"
 _T = "(SELECT doc_id AS msg_id, text AS t0, regexp_replace(text, '{e}', ' ', 'g') AS t1, regexp_replace(regexp_replace(text, '{e}', ' ', 'g'), '{p}', ' ', 'g') AS t2 FROM documents)".format(e=redaction.EMAIL, p=redaction.PHONE)
-_CUT = """CASE WHEN length(text) <= 500 THEN text WHEN instr(head, chr(10)) > 0 AND 500 - instr(reverse(head), chr(10)) >= 400 THEN rtrim(left(head, 500 - instr(reverse(head), chr(10))))
- WHEN instr(head, ' ') > 0 AND 500 - instr(reverse(head), ' ') >= 400 THEN rtrim(left(head, 500 - instr(reverse(head), ' '))) ELSE head END"""
+_CUT = """CASE WHEN length(text) <= 5000 THEN text WHEN instr(head, chr(10)) > 0 AND 5000 - instr(reverse(head), chr(10)) >= 4000 THEN rtrim(left(head, 5000 - instr(reverse(head), chr(10))))
+ WHEN instr(head, ' ') > 0 AND 5000 - instr(reverse(head), ' ') >= 4000 THEN rtrim(left(head, 5000 - instr(reverse(head), ' '))) ELSE head END"""
 _NEG, _FUN = (", ".join(f"'{w}'" for w in ws) for ws in (similarity.NEGATIONS, similarity.FUNCTION_WORDS))
 _WEIGHT = f"CASE WHEN t IN ({_NEG}) THEN 2.0::DOUBLE WHEN t IN ({_FUN}) THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END"
 _RETRIEVE = f"""WITH q0 AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(lower(text), '[a-z]{{2,}}') AS w FROM conversations), c0 AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[a-z]{{2,}}') AS w FROM benchmark),
@@ -108,7 +115,7 @@ _CHRF = """WITH p AS (SELECT n_nationkey AS id, regexp_replace(n_name, '\\s', ''
 _CENTROIDS = """WITH d AS (SELECT vec_id, label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT label AS nearest, i, avg(v) AS m FROM d GROUP BY 1, 2),
  c AS (SELECT vec_id, label, nearest, round(sum(v * m) / (sqrt(sum(v * v)) * sqrt(sum(m * m))), 6) AS cosine FROM d JOIN m USING (i) GROUP BY 1, 2, 3)
  SELECT vec_id, label, nearest, cosine FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, nearest) AS t FROM c) WHERE t = 1"""
-QUERIES = {f.__name__: f for f in (input_hashes, sender_keys, account_checks, redaction_counts, redacted_messages, language_mix, cut_texts, retrieved_examples, region_chrf, nearest_centroids)}
+QUERIES = {f.__name__: f for f in (redacted_identifiers, input_hashes, sender_keys, account_checks, redaction_counts, redacted_messages, language_mix, cut_texts, retrieved_examples, region_chrf, nearest_centroids)}
 ORACLE = {
     "input_hashes": f"SELECT doc_id, sha256(text) AS input_hash, length({_FOLD}) AS folded_length FROM documents",
     "sender_keys": f"""WITH s AS (SELECT *, {_SENDER} AS s FROM customer), g AS (SELECT *, regexp_replace(s, '[^0-9]', '', 'g') AS dg FROM s)
@@ -119,7 +126,7 @@ ORACLE = {
  SELECT kind, CAST(sum(n) AS BIGINT) AS identifiers, count(*) AS documents, max(n) AS most FROM (SELECT kind, msg_id, count(*) AS n FROM f GROUP BY 1, 2) GROUP BY 1""",
     "redacted_messages": f"WITH {src.MESSAGES_SQL} SELECT msg_id, {_REDACT} AS redacted FROM messages",
     "language_mix": _mix_sql(),
-    "cut_texts": f"WITH h AS (SELECT doc_id, text, left(text, 500) AS head FROM documents), c AS (SELECT doc_id, {_CUT} AS c FROM h) SELECT doc_id, length(c) AS n, md5(c) AS h FROM c",
+    "cut_texts": f"WITH h AS (SELECT doc_id, text, left(text, 5000) AS head FROM documents), c AS (SELECT doc_id, {_CUT} AS c FROM h) SELECT doc_id, length(c) AS n, md5(c) AS h FROM c",
     "retrieved_examples": _RETRIEVE,
     "region_chrf": _CHRF,
     "nearest_centroids": _CENTROIDS,

@@ -105,11 +105,11 @@ CONTEXTS_SQL = "contexts AS (SELECT DISTINCT CAST(floor(event_id / 6) AS BIGINT)
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagged checks for the trend reports: day (UTC+4), verdict, scam_type, claimed_identity, channel, domain, imitates."""
+    """Checks for the trend reports, safe ones too: day (UTC+4), verdict, scam_type, claimed_identity, channel, domain, imitates."""
     e, u = _events(spark, sf_dir), F.col("user_id")
-    return e.where("event_type <> 'view'").select(
+    return e.select(
         F.to_date(F.col("ts") + F.expr("INTERVAL 4 HOURS")).alias("day"),
-        F.when(F.col("event_type").isin("error", "purchase", "signup"), "scam").otherwise("suspicious").alias("verdict"),
+        F.when(F.col("event_type") == "view", "safe").when(F.col("event_type").isin("error", "purchase", "signup"), "scam").otherwise("suspicious").alias("verdict"),
         pick(REPORT_TYPES, u + F.floor(F.col("value")).cast("long")).alias("scam_type"),
         pick(IDENTITIES, u).alias("claimed_identity"),
         pick(CHANNELS, F.col("event_id")).alias("channel"),
@@ -118,11 +118,11 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OBSERVATIONS_SQL = f"""observations AS (SELECT CAST(ts + INTERVAL 4 HOUR AS DATE) AS day,
- CASE WHEN event_type IN ('error', 'purchase', 'signup') THEN 'scam' ELSE 'suspicious' END AS verdict,
+OBSERVATIONS_SQL = f"""checks AS (SELECT CAST(ts + INTERVAL 4 HOUR AS DATE) AS day,
+ CASE WHEN event_type = 'view' THEN 'safe' WHEN event_type IN ('error', 'purchase', 'signup') THEN 'scam' ELSE 'suspicious' END AS verdict,
  {sql_pick(REPORT_TYPES, 'user_id + CAST(floor(value) AS BIGINT)')} AS scam_type, {sql_pick(IDENTITIES, 'user_id')} AS claimed_identity,
  {sql_pick(CHANNELS, 'event_id')} AS channel, CASE WHEN user_id % 3 = 0 THEN {sql_pick(FAKE_DOMAINS, 'event_id')} END AS domain,
- {sql_pick(IDENTITIES, 'event_id')} AS imitates FROM events WHERE event_type <> 'view')"""
+ {sql_pick(IDENTITIES, 'event_id')} AS imitates FROM events), observations AS (SELECT * FROM checks WHERE verdict <> 'safe')"""
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
