@@ -155,3 +155,18 @@ def test_batches_see_only_earlier_ones(spark, tmp_path):
     run(spark.createDataFrame([(1,), (2,)], "k int"), 1)  # a batch that runs again
     got = {n: sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/sink/batch={n}").collect()) for n in range(3)}
     assert got == {0: [(1, 0), (1, 0)], 1: [(1, 2), (2, 0)], 2: [(1, 3)]}
+
+
+def test_running_sums_equal_brute_force(spark):
+    import random
+
+    from tracewell.operators.ranking import numbered, running
+
+    rng = random.Random(11)
+    rows = [(i, "hot" if i % 3 else rng.choice(["a", None]), rng.randint(0, 5), rng.randint(-3, 9)) for i in range(400)]
+    d = spark.createDataFrame(rows, "id long, k string, t int, v long").repartition(5)
+    got = {r["id"]: r["s"] for r in running(d, ["k"], ["t", "id"], F.col("v"), "s").collect()}
+    assert got == {i: sum(x[3] for x in rows if x[1] == k and (x[2], x[0]) <= (t, i)) for i, k, t, _ in rows}
+    got = {r["id"]: r["n"] for r in numbered(d, ["k"], ["t", "id"], "n").collect()}
+    assert got == {i: sum(x[1] == k and (x[2], x[0]) <= (t, i) for x in rows) for i, k, t, _ in rows}
+    assert numbered(d.where("false"), ["k"], ["id"], "n").count() == 0

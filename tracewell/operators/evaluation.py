@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.ranking import numbered
+
 
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole rounded to four decimals, null of nothing."""
@@ -47,10 +49,10 @@ def distribution(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     return c.groupBy(*by).agg(F.min("v").alias("least"), F.max("v").alias("most"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), ((low + high) / 2).alias("median"), at(F.floor(0.95 * (F.col("n") - 1))).alias("p95"))
 
 
-def duplicate_rows(rows: DataFrame, key: Column, order: str) -> DataFrame:
-    """Numbers rows of equal key: the first stays, later ones name it. Adds ``copy`` (1 for the first) and ``first_row``."""
-    w = Window.partitionBy(key).orderBy(order)
-    return rows.withColumn("copy", F.row_number().over(w).cast("long")).withColumn("first_row", F.first(order).over(w))
+def duplicate_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Numbers rows of equal ``key``: the first by ``order`` stays, later ones name it. Adds ``copy`` (1 for the first) and ``first_row``."""
+    first = rows.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("first_row"))
+    return numbered(rows, [key], [order], "copy").join(first, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def streaks(days: DataFrame, who: str) -> DataFrame:
@@ -64,5 +66,4 @@ def streaks(days: DataFrame, who: str) -> DataFrame:
 
 def round_robin(rows: DataFrame, kind: str, order: list[str]) -> DataFrame:
     """Interleaves kinds: all firsts, then all seconds. Adds ``place``."""
-    w = Window.partitionBy(kind).orderBy(*order)
-    return rows.withColumn("place", F.row_number().over(w).cast("long"))
+    return numbered(rows, [kind], order, "place")

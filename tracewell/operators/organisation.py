@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.ranking import numbered
+
 # Fixed values of the campaign rules.
 WINDOW_DAYS = 14
 MIN_MESSAGES = 3
@@ -81,7 +83,6 @@ def confirmed_fraud(emails: DataFrame, indicators: DataFrame, labels: DataFrame)
 
 def first_contact(emails: DataFrame, days: int = 7) -> DataFrame:
     """Per email whether its sender was first seen with it or within ``days`` before: input_hash, first_contact, earlier."""
-    w = Window.partitionBy("sender")
-    seen = F.min("created_at").over(w)
-    earlier = F.count("*").over(Window.partitionBy("sender").orderBy("created_at", "input_hash")) - 1
-    return emails.select("input_hash", (F.col("created_at") - F.make_interval(days=F.lit(days)) <= seen).alias("first_contact"), earlier.alias("earlier"))
+    seen = emails.groupBy(F.col("sender").alias("_sender")).agg(F.min("created_at").alias("seen"))
+    e = numbered(emails.select("input_hash", "sender", "created_at"), ["sender"], ["created_at", "input_hash"], "place").join(seen, F.col("sender").eqNullSafe(F.col("_sender")))
+    return e.select("input_hash", (F.col("created_at") - F.make_interval(days=F.lit(days)) <= F.col("seen")).alias("first_contact"), (F.col("place") - 1).alias("earlier"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.operators import asof
 from tracewell.operators import community as ops
+from tracewell.operators.ranking import running
 from tracewell.sources import messages as src
+from tracewell.sources.scratch import written
 
 NOW = "2024-01-28 18:00:00"
 
@@ -25,10 +28,13 @@ def wave_by_sender(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trailing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each report, how many of its template came in the 24 hours and 7 days before it, itself not counted."""
-    r = src.reports(spark, sf_dir).withColumn("at", F.unix_micros(F.col("created_at").cast("timestamp")))
-    w = Window.partitionBy("template").orderBy("at")
-    back = lambda s: F.count("*").over(w.rangeBetween(-s * 1_000_000, -1))
-    return r.select("id", back(86400).alias("n_24h"), back(7 * 86400).alias("n_7d"))
+    r = src.reports(spark, sf_dir).select("id", "template", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"))
+    # Reports of a template up to each moment; counts before two moments give those between.
+    upto = written(running(r.groupBy("template", "at").agg(F.count("*").alias("n")), ["template"], ["at"], F.col("n"), "upto"), "upto")
+    for name, seconds in (("before", 0), ("day", 86400), ("week", 7 * 86400)):
+        r = asof.last_before(r.withColumn("at", F.col("at") - seconds * 1_000_000), upto, "template", "at", F.col("upto"), name).withColumn("at", F.col("at") + seconds * 1_000_000)
+    n = lambda c: (F.coalesce("before", F.lit(0)) - F.coalesce(c, F.lit(0))).cast("long")
+    return r.select("id", n("day").alias("n_24h"), n("week").alias("n_7d"))
 
 
 FILLERS = ["please", "today", "soon", "kindly", "again", "friend", "madam", "now then", "ok", "thanks", "quickly", "sir"]
@@ -54,6 +60,8 @@ def campaign_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = src.reports(spark, sf_dir)
     prints = ops.fingerprints(_worded(spark, sf_dir), "msg_id", "text").withColumnRenamed("msg_id", "id")
     rows = r.join(prints, "id").select("id", "template", "created_at", "template_hash", "simhash", "token_count", F.when(F.col("host").isNotNull(), F.array("host")).otherwise(F.array().cast("array<string>")).alias("hosts"), "sender_key")
+    # Each reason reads the rows again; prints are costly.
+    rows = written(rows, "prints")
     first = rows.groupBy("template").agg(F.min("id").alias("id"))
     hits = ops.match_reasons(rows.join(first, ["template", "id"]), rows)
     return hits.select("cand_id", F.explode("reasons").alias("reason")).groupBy("cand_id", "reason").agg(F.count("*").alias("events"))

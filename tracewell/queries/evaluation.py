@@ -29,7 +29,7 @@ def length_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def duplicate_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
-    return ops.duplicate_rows(d, F.col("h"), "doc_id").select("doc_id", "copy", "first_row")
+    return ops.duplicate_rows(d, "h", "doc_id").select("doc_id", "copy", "first_row")
 
 
 def activity_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
