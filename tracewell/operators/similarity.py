@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import tokens
-
 # Fixed values of the retrieval score.
 UNIGRAM_SHARE = 0.7
 BIGRAM_SHARE = 0.3
@@ -75,18 +73,20 @@ def chrf(pairs: DataFrame, order: int = 6, beta: float = 2.0) -> DataFrame:
 def nearest_centroids(vectors: DataFrame) -> DataFrame:
     """Per vector the label whose mean vector has the largest cosine: vec_id, label, nearest, cosine.
 
-    Means are one row a label, so they are broadcast behind a check of their number.
+    Means are one row a label; their number is checked.
     """
     dims = vectors.select("vec_id", "label", F.posexplode("embedding").alias("i", "v"))
     means = dims.groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("mean"))
     if means.count() > 10_000:
         raise ValueError("too many labels to compare with each vector")
-    v = vectors.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     size = lambda a: F.sqrt(dot(a, a))
-    t = v.join(F.broadcast(means.select(F.col("label").alias("nearest"), "mean")))
-    t = t.withColumn("cosine", F.round(dot(F.col("e"), F.col("mean")) / (size(F.col("e")) * size(F.col("mean"))), 6))
-    return t.groupBy("vec_id", "label").agg(F.min_by(F.struct("nearest", "cosine"), F.struct(-F.col("cosine"), "nearest")).alias("x")).select("vec_id", "label", "x.nearest", "x.cosine")
+    # One value, all means, that each vector folds over: no pairs, no regrouping.
+    every = means.agg(F.collect_list(F.struct(F.col("label").alias("nearest"), "mean", size(F.col("mean")).alias("size")))).scalar()
+    v = vectors.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    v = v.select("vec_id", "label", "e", size(F.col("e")).alias("length"), every.alias("every"))
+    rows = F.transform("every", lambda m: F.struct((-F.round(dot(F.col("e"), m["mean"]) / (F.col("length") * m["size"]), 6)).alias("c"), m["nearest"].alias("nearest")))
+    return v.select("vec_id", "label", F.array_min(rows).alias("x")).select("vec_id", "label", "x.nearest", (-F.col("x.c")).alias("cosine"))
 
 
-__all__ = ["retrieve", "chrf", "nearest_centroids", "tokens"]
+__all__ = ["retrieve", "chrf", "nearest_centroids"]
