@@ -305,3 +305,19 @@ def test_redaction_equals_brute_force(spark):
     for r in d.withColumn("back", redaction.restored(F.col("redacted"), F.col("redactions"))).collect():
         assert r["redacted"] == brute_redact(r["text"] or ""), r["text"]
         assert r["back"] == (r["text"] or "")
+
+
+def test_certificates_ages_and_forms(spark):
+    from tracewell.operators import urls
+
+    d = spark.createDataFrame([(1, 9, False, True, True, None), (1, 4, False, True, True, None), (6, 9, False, True, True, None), (1, 9, True, True, False, "X"), (1, 9, False, False, True, None), (1, 9, False, True, False, "X"), (1, 9, False, True, False, "UNABLE_TO_GET_ISSUER_CERT"), (1, 9, False, True, None, None)], "a int, b int, s boolean, c boolean, z boolean, e string")
+    got = [r[0] for r in d.select(urls.certificate_problem(*map(F.col, "abscze"), F.lit(5))).collect()]
+    assert got == [None, "expired", "not_yet_valid", "self_signed", "wrong_host", "untrusted", None, "untrusted"]
+    d = spark.createDataFrame([(3, None), (10, 1), (40, 1), (None, 1), (None, 40), (None, None)], "d int, c int")
+    assert [r[0] for r in d.select(urls.age_signal(F.col("d"), F.col("c"))).collect()] == ["high", "medium", None, "medium", None, None]
+    d = spark.createDataFrame([(["1.2"], None), ([], "Org"), ([], ""), (None, None)], "p array<string>, o string")
+    assert [r[0] for r in d.select(urls.certificate_kind(F.col("p"), F.col("o"), ["1.2"])).collect()] == ["EV", "OV", "DV", "DV"]
+    rows = [(1, "bank.evil.top", 0, "steal.net", True, False), (1, "bank.evil.top", 0, "steal.net", False, True), (1, "bank.evil.top", 0, None, True, False), (1, "bank.evil.top", 0, "a.northbank.com", True, False), (2, "www.northbank.com", 0, "steal.net", True, False), (3, "x.org", None, "y.org", True, True), (4, "x.org", 0, "ok.example.org", True, False), (5, "x.org", 0, "y.org", False, False)]
+    forms = spark.createDataFrame(rows, "page_id long, page_host string, claim int, action_host string, has_password boolean, has_card boolean")
+    got = urls.form_signals(forms, REGISTRY, spark.createDataFrame([("ok.example.org",)], "host string")).collect()
+    assert [tuple(r) for r in got] == [(1, "URL-10", "steal.net", "card,password")]

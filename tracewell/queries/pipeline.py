@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import hosts as h
-from tracewell.operators import domains, identity, lexicon, links, workflows
+from tracewell.operators import domains, identity, lexicon, links, urls, workflows
 from tracewell.plans import pipeline, scoring
 from tracewell.plans.ruleset import VERSIONS, ruleset
 from tracewell.queries.detection import label_sql
@@ -140,6 +140,20 @@ def full_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.assess(s, m.select("msg_id", F.col("claim").isNotNull().alias("claimed"), F.lit(False).alias("semantic_ok")))
 
 
+def url_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link of every message by itself; ages and certificates follow from the host's length."""
+    found = links.extract_links(src.messages(spark, sf_dir, TEMPLATES))
+    found = written(found.select((F.col("msg_id") * 10 + F.col("ord")).alias("url_id"), "url", "host"), "urls")
+    hosts, n = found.select("host").distinct(), F.length("host")
+    ages = hosts.select(urls.dated_domain(F.col("host")).alias("domain")).where("domain IS NOT NULL").distinct()
+    ages = ages.select("domain", F.when(F.length("domain") % 4 > 0, F.length("domain") * 3 % 60).alias("days"), (F.length("domain") * 7 % 50).alias("certificate_days"))
+    problem = F.when(n % 9 == 0, "expired").when(n % 5 == 0, "self_signed")
+    _, official = identity.registry_frames(spark, REGISTRY)
+    trusted = domains.trusted_hosts(hosts, _domains(spark, TRUSTED), _domains(spark, USER_CONTENT)).select("host")
+    shared = domains.shared_hosts(spark.createDataFrame([(x,) for x, _ in LISTED], "host string"), _domains(spark, TRUSTED), _domains(spark, USER_CONTENT), _domains(spark, SHARED))
+    return urls.assess(found.select("url_id", "url"), REGISTRY, spark.createDataFrame(list(enumerate(BRANDS)), "ord int, domain string"), trusted, spark.createDataFrame(LISTED, "host string, path string"), shared, ages, hosts.select("host", problem.alias("problem"), (n % 12).alias("issued_days")), found.where("url_id % 3 = 0").select("host"))
+
+
 def _list(names: list[str]) -> str:
     return "(" + ", ".join(f"'{x}'" for x in names) + ")"
 
@@ -221,6 +235,15 @@ BASE = rf"""{src.messages_sql(TEMPLATES)}, raw AS (SELECT msg_id, regexp_extract
  signals AS ({' UNION ALL '.join(_PARTS)}),
  contexts AS (SELECT msg_id, claim IS NOT NULL AS claimed, false AS semantic_ok FROM claims)"""
 _ACTIVE = VERSIONS[-1]
+_SITE = f"array_to_string(string_split(host, '.')[-CASE WHEN len(string_split(host, '.')) >= 3 AND array_to_string(string_split(host, '.')[-2:], '.') IN {_SUFFIXES} THEN 3 ELSE least(2, len(string_split(host, '.'))) END:], '.')"
+_URLS = rf"""u AS (SELECT msg_id * 10 + ord AS url_id, url, host, path, user_info, starts_with(url, 'https:') AS secure FROM links),
+ st AS (SELECT url_id, best.code, NULL AS severity, u.host FROM u JOIN best ON u.host = best.host AND u.path = best.path UNION ALL SELECT url_id, 'URL-05', NULL, host FROM u WHERE host IN {_list(h.SHORTENERS)} UNION ALL SELECT url_id, 'URL-07', NULL, host FROM u WHERE user_info <> ''
+  UNION ALL SELECT url_id, 'URL-06', NULL, host FROM u WHERE regexp_matches(host, '^[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}$') UNION ALL SELECT DISTINCT url_id, 'REP-05', NULL, host FROM u JOIN listed ON host = lh AND (NOT many OR path = lp OR starts_with(path, lp || '/'))),
+ op AS (SELECT DISTINCT host, {_SITE} AS site FROM u WHERE NOT {below_sql('host', _OFFICIAL)} AND NOT {_TRUST}),
+ ag AS (SELECT host, CASE WHEN len(site) % 4 > 0 THEN CASE WHEN len(site) * 3 % 60 < 7 THEN 'high' WHEN len(site) * 3 % 60 < 30 THEN 'medium' END WHEN len(site) * 7 % 50 < 30 THEN 'medium' END AS severity FROM op WHERE NOT regexp_matches(host, '^[0-9.]+$')),
+ rp AS (SELECT host FROM u WHERE url_id % 3 = 0 AND host IN (SELECT host FROM op) GROUP BY host HAVING count(*) >= {urls.MIN_REPORTS}),
+ ct AS (SELECT url_id, CASE WHEN len(host) % 9 = 0 OR len(host) % 5 = 0 THEN 'CERT-01' WHEN url_id IN (SELECT url_id FROM st WHERE code IN {_list(urls.LOOKALIKE)}) AND len(host) % 12 < {urls.NEW_CERTIFICATE_DAYS} THEN 'CERT-02' END AS code, host FROM u WHERE secure)
+SELECT * FROM st UNION ALL SELECT url_id, 'URL-09', severity, u.host FROM u JOIN ag USING (host) WHERE severity IS NOT NULL UNION ALL SELECT url_id, 'REP-03', 'medium', host FROM u WHERE host IN (SELECT host FROM rp) UNION ALL SELECT url_id, code, CASE code WHEN 'CERT-01' THEN 'high' ELSE 'medium' END, host FROM ct WHERE code IS NOT NULL"""
 
 
 def verdicts_sql(base: str) -> str:
@@ -256,8 +279,10 @@ QUERIES = {
     "verification_plan": verification_plan,
     "batch_totals": batch_totals,
     "full_verdicts": full_verdicts,
+    "url_signals": url_signals,
 }
 ORACLE = {
+    "url_signals": f"WITH {BASE}, {_URLS}",
     "message_signals": f"WITH {BASE} SELECT msg_id, ord, code, source_type, variant, host FROM signals",
     "message_verdicts": verdicts_sql(BASE),
     "message_marks": f"{ctes(_ACTIVE, BASE)} SELECT m.msg_id, m.ord, m.code, m.grp, m.place = 1 AS scored, CASE WHEN m.place > 1 THEN p.code END AS merged_into FROM mem m JOIN (SELECT msg_id, grp, code FROM mem WHERE place = 1) p USING (msg_id, grp)",
