@@ -209,7 +209,10 @@ def identify(docs: DataFrame, keep: list[Column], max_rows: int = 3000) -> DataF
 
     Null texts and texts without a letter give 'und' with score 0, very long
     texts go in blocks, repeated rows are rows like any other; without a
-    labelled row everything is 'und'.
+    labelled row everything is 'und', and an empty table stays empty. Of equal
+    scores the label first in code point order counts. The columns of
+    ``keep`` come first and may have any names but lang_pred and score; other
+    columns are not read.
     """
     return predict(docs, fit(docs.where(~held_out(F.col("doc_id"))), max_rows), keep)
 

@@ -169,7 +169,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns ``id``, ``n_bytes``, ``media``: each text as one PNG. A null text is stored as an empty one."""
+    """Columns ``id``, ``n_bytes``, ``media``: each text as one PNG.
+
+    A null text is stored as an empty one, 192 blanks; a very long one is one
+    tall image; repeated rows and ids give a row each, equal texts equal
+    bytes; an empty table stays empty; other columns are not read.
+    """
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).transform(mapped, _encode, "id long, n_bytes long, media binary")
 
 

@@ -165,8 +165,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Statistics of every row with ``base_failed``, ``rule`` and ``kept``.
 
     base_failed: fewer than 20 words, or more than 30 % of them in repeated
-    windows. ``rule`` is the learned rule that rejects (0: none). Rows with
-    repeated or null ids are judged one by one like any other.
+    windows. ``rule`` is the learned rule that rejects (0: none); of rules
+    that fit one row the first in their order counts. Rows with repeated or
+    null ids are judged one by one like any other; null texts have no words;
+    texts are read whole, however long; an empty table gives no row; columns
+    other than id and text are not read, so their names don't matter.
     """
     stats = written(statistics(docs, id_col, text_col), "quality-stats")
     rules = learn_rules(labelled_statistics(stats, labels, max_rows))

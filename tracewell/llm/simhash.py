@@ -157,7 +157,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal texts are ordinary rows; a null id stays null and takes part in
     linking; ``part``, the component's least fingerprint, names components
     even then; ``first`` is the row_key of the component's first row; an empty
-    table gives no rows; other columns are not read.
+    table gives no rows; other columns are not read. Very long texts are
+    hashed whole, shingle by shingle.
     """
     rows = written(docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("k"), simhash(F.col(text_col)).alias("fp")), "simhash-fp")
     nodes = written(rows.select("fp").distinct(), "simhash-nodes")

@@ -246,7 +246,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END
     ``shard``, then within its file): control and data bytes of its ranks,
     ``end_id`` last. Shards are ranges of ids of about equal counts. Null
     texts have the end id only; null ids come first; rows of equal id are
-    ordered by their text's hash.
+    ordered by their text's hash. Texts are encoded whole, however long; an
+    empty table gives empty files; other columns are not read.
     """
     spark = docs.sparkSession
     t = tokenizer(path)
