@@ -78,8 +78,7 @@ def _wave_sql(key: str, where: str = "true") -> str:
  SELECT *, CASE WHEN distinct_reporters >= 3 AND human_reports >= 1 AND decayed_weight >= 2 THEN CASE WHEN distinct_reporters_24h >= 5 AND burst_ratio >= 3 THEN 'wave' ELSE 'cluster' END END AS tier FROM t"""
 
 
-_TEMPLATE = "lower(text)"
-for _re, _to in (
+_STEPS = [
     (r"\[(?:phone|email|account)[^\]]*\](?:@[^\s]+)?", " ph "),
     (r"(?:https?://)?(?:www\.)?((?:[a-z0-9-]+\.)+[a-z]{2,10})(?:/[^\s]*)?", r" \1 "),
     (r"[0-9]+(?:[.,\s][0-9]+)*", " # "),
@@ -87,8 +86,17 @@ for _re, _to in (
     (r"(^|[^\p{L}])[.-]+", r"\1 "),
     (r"[.-]+([^\p{L}]|$)", r" \1"),
     (r"\s+", " "),
-):
-    _TEMPLATE = f"regexp_replace({_TEMPLATE}, '{_re}', '{_to}', 'g')"
+]
+
+
+def template_sql(text: str) -> str:
+    """What stays of a lower-case message when its particulars go, before trimming."""
+    for pattern, to in _STEPS:
+        text = f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
+    return text
+
+
+_TEMPLATE = template_sql("lower(text)")
 _PRINTS = f"""{src.MESSAGES_SQL}, worded AS (SELECT msg_id, text || ' ' || {src.sql_pick(FILLERS, 'user_id')} AS text FROM messages), tp AS (SELECT msg_id, trim({_TEMPLATE}) AS tpl FROM worded), d AS (SELECT DISTINCT tpl FROM tp),
  tok AS (SELECT tpl, ('0x' || substr(sha1(w), 1, 16))::UBIGINT AS h FROM (SELECT tpl, unnest(string_split(tpl, ' ')) AS w FROM d) WHERE w <> ''),
  bits AS (SELECT tpl, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM tok, (SELECT unnest(range(64))::UBIGINT AS b) GROUP BY tpl, b),

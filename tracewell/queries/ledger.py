@@ -109,7 +109,7 @@ def _blob(data: bytes) -> str:
     return "'" + "".join(f"\\x{b:02X}" for b in data) + "'::BLOB"
 
 
-def _hmac_sql(secret: str, message: str) -> str:
+def hmac_sql(secret: str, message: str) -> str:
     import hashlib
 
     k = secret.encode()
@@ -121,7 +121,7 @@ _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 QUERIES = {"header_findings": header_findings, "customer_pseudonyms": customer_pseudonyms, "marked_parts": marked_parts, "merged_counters": merged_counters, "campaign_growth": campaign_growth}
 ORACLE = {
     "header_findings": f"WITH {_HEAD} " + " UNION ALL ".join([f"SELECT id, '{c}' AS category, {k} AS kind, {s} AS severity FROM q WHERE {w}" for c, k, s, w in _RULES] + [f"SELECT id, 'cookies', {k}, {s} FROM k WHERE {w}" for k, s, w in _COOKIE_RULES]),
-    "customer_pseudonyms": f"SELECT c_custkey, left({_hmac_sql(SECRET, 'c_nationkey || chr(0) || lower(c_name)')}, 32) AS pseudonym, CASE c_mktsegment " + " ".join(f"WHEN '{s}' THEN {_hmac_sql(s, 'c_name')}" for s in _SEGMENTS) + " END AS mac FROM customer",
+    "customer_pseudonyms": f"SELECT c_custkey, left({hmac_sql(SECRET, 'c_nationkey || chr(0) || lower(c_name)')}, 32) AS pseudonym, CASE c_mktsegment " + " ".join(f"WHEN '{s}' THEN {hmac_sql(s, 'c_name')}" for s in _SEGMENTS) + " END AS mac FROM customer",
     "merged_counters": "SELECT user_id, event_type, count(*) AS n, (max(struct_pack(t := ts, v := value))).v AS last_value, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY user_id, event_type",
     "campaign_growth": f"""WITH e AS (SELECT *, {src.sql_pick(src.IDENTITIES, 'user_id')} AS identity, {src.sql_pick(['bank', 'parcel'], 'user_id')} AS scam_type FROM events WHERE event_type <> 'view' AND event_id % 7 <> 0),
 f AS (SELECT *, CASE WHEN identity <> '' THEN lower(replace(identity, ' ', '-')) ELSE scam_type || '-unknown' END AS campaign FROM e)

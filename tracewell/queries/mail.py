@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import hosts as h
-from tracewell.operators import asof, containment, domains, mail
+from tracewell.operators import asof, containment, domains, indicators, mail
 from tracewell.plans import pipeline
+from tracewell.queries.community import template_sql
 from tracewell.queries.detection import label_sql
+from tracewell.queries.ledger import SECRET, hmac_sql
 from tracewell.queries.pipeline import REGISTRY, below_sql, claim_sql, fold_sql, verdicts_sql
 from tracewell.sources import mail as src
 from tracewell.sources.messages import sql_list
@@ -62,6 +64,10 @@ def accounts_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.last_before(e, told, "sender", "ts", F.struct("msg_id", "account"), "last", 86400.0).select("msg_id", "account", F.col("last.account").alias("before"), F.col("last.msg_id").alias("before_id"))
 
 
+def mail_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.indicators(src.emails(spark, sf_dir), src.suppliers(spark, sf_dir), ORG, REGISTRY, SECRET).drop("place")
+
+
 _SUFFIXES = "(" + ", ".join(f"'{s}'" for s in h.TWO_LABEL_SUFFIXES) + ")"
 _EDITS = "CASE WHEN len({0}) <= 4 THEN 0 WHEN len({0}) <= 8 THEN 1 ELSE 2 END"
 
@@ -134,8 +140,20 @@ _PROFILE = f"""{src.EMAILS_SQL}, hosts AS (SELECT DISTINCT domain AS host FROM e
   UNION ALL SELECT msg_id, 21, 'ORG-03', coalesce(by_name, by_local), domain FROM q WHERE NOT internal AND coalesce(by_name, by_local) IS NOT NULL AND NOT owned AND (claims OR imitation OR {_free('domain')} OR (by_name IS NOT NULL AND by_local IS NOT NULL))
   UNION ALL SELECT msg_id, 22, 'ORG-04', '', NULL FROM q JOIN (SELECT address, recipient, min(ts) AS first_ts FROM emails GROUP BY address, recipient) USING (address, recipient) WHERE NOT internal AND ts - first_ts < {mail.FIRST_CONTACT_SECONDS})"""
 _BASE = f"{_PROFILE}, signals AS (SELECT msg_id, ({pipeline.DETECTORS.index('email') << 40} + place)::BIGINT AS ord, code, 'rule' AS source_type, variant, host FROM mail), contexts AS (SELECT msg_id, false AS claimed, false AS semantic_ok FROM emails)"
-QUERIES = {"domain_relations": domain_relations, "mail_signals": mail_signals, "mail_verdicts": mail_verdicts, "thread_changes": thread_changes, "supplier_mentions": supplier_mentions, "accounts_before": accounts_before}
+_TEMPLATE = template_sql("lower(coalesce(body, ''))")
+_INDICATORS = f"""{_PROFILE}, gen AS (SELECT host FROM org WHERE same UNION SELECT host FROM rel WHERE relation IN ('same', 'sibling')),
+ b0 AS (SELECT msg_id, 1 AS rank, 'sender' AS kind, address, domain AS host FROM emails UNION ALL SELECT msg_id, 2, 'reply', CASE WHEN i % 6 = 0 THEN 'desk@' ELSE 'x@' END || reply_domain, reply_domain FROM emails WHERE reply_domain IS NOT NULL AND {site_sql('reply_domain')} <> {site_sql('domain')}),
+ b1 AS (SELECT *, {_free('host')} AS personal FROM b0 WHERE host NOT IN (SELECT host FROM gen)),
+ kn AS (SELECT DISTINCT account FROM suppliers WHERE account IS NOT NULL), kw AS (SELECT word AS w FROM suppliers UNION SELECT 'house'),
+ a AS (SELECT DISTINCT msg_id, unnest(list_concat(ends, CASE WHEN pay_last4 IS NOT NULL THEN [pay_last4] ELSE [] END)) AS v FROM q),
+ pay AS (SELECT msg_id, coalesce(pay_recipient, payee) AS v, {_TOKENS.format('coalesce(pay_recipient, payee)')} AS t FROM q WHERE coalesce(pay_recipient, payee) IS NOT NULL),
+ tp AS (SELECT msg_id, trim({_TEMPLATE}) AS t FROM emails),
+ x AS (SELECT msg_id, rank, CASE WHEN personal THEN kind || '_address' ELSE kind || '_domain' END AS type, CASE WHEN personal THEN left({hmac_sql(SECRET, "'aspen.mu' || chr(0) || address")}, 32) ELSE {site_sql('host')} END AS value, CASE WHEN personal THEN left(address, 1) || '***@' || host ELSE {site_sql('host')} END AS display FROM b1
+  UNION ALL SELECT msg_id, 4, 'account', v, '****' || v FROM a WHERE v NOT IN (SELECT account FROM kn) UNION ALL SELECT msg_id, 5, 'payee', trim({_KEY.format('v')}), v FROM pay WHERE len(t) > 0 AND NOT EXISTS (SELECT 1 FROM kw WHERE list_contains(t, kw.w))
+  UNION ALL SELECT msg_id, 6, 'attachment', regexp_replace(lower(f.name), '\d+', '#', 'g'), regexp_replace(lower(f.name), '\d+', '#', 'g') FROM q WHERE f IS NOT NULL AND {_RISK} IS NOT NULL UNION ALL SELECT msg_id, 7, 'template', left(sha256(t), 16), 'matching message template' FROM tp WHERE len(list_filter(string_split(t, ' '), lambda w: w <> '')) >= 5)"""
+QUERIES = {"domain_relations": domain_relations, "mail_signals": mail_signals, "mail_verdicts": mail_verdicts, "thread_changes": thread_changes, "supplier_mentions": supplier_mentions, "accounts_before": accounts_before, "mail_indicators": mail_indicators}
 ORACLE = {
+    "mail_indicators": f"WITH {_INDICATORS} SELECT msg_id, type, value, display FROM x",
     "domain_relations": f"WITH {src.EMAILS_SQL}, r AS (SELECT DISTINCT domain AS host, sdomain AS trusted FROM (SELECT DISTINCT domain FROM emails), (SELECT sdomain FROM suppliers)) SELECT * FROM (SELECT host, trusted, {relation_sql('host', 'trusted')} AS relation FROM r) WHERE relation IS NOT NULL",
     "mail_signals": f"WITH {_BASE} SELECT msg_id, code, variant, host FROM mail",
     "mail_verdicts": verdicts_sql(_BASE),
