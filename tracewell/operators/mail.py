@@ -112,7 +112,7 @@ def thread_changes(emails: DataFrame) -> DataFrame:
     new = e.join(first("address"), ["thread", "address"]).where("at = since").drop("since")
     new = new.join(first("site"), ["thread", "site"]).where("at = since").drop("since")
     alike = domains.relations(e.select(F.col("domain").alias("host")), e.select("domain"))
-    alike = alike.where(domains.compared(F.col("relation")) == "lookalike").select(F.col("host").alias("domain"), F.col("trusted").alias("previous"))
+    alike = written(alike.where(domains.compared(F.col("relation")) == "lookalike").select(F.col("host").alias("domain"), F.col("trusted").alias("previous")), "alike")
     imitated = new.join(alike, "domain").join(first("domain").withColumnRenamed("domain", "previous"), ["thread", "previous"]).where("since < at").groupBy("msg_id").agg(F.min_by("previous", "since").alias("imitated"))
     named = e.where("name IS NOT NULL").groupBy("thread", "name").agg(F.min("at").alias("since"), F.min_by("domain", "at").alias("same_name"))
     sites = first("site").groupBy("thread").agg(F.min("since").alias("one_since"), F.min_by("site", "since").alias("one"))
@@ -166,16 +166,17 @@ def prepared(emails: DataFrame, suppliers: DataFrame, org: Organisation) -> Data
     imitates one; else it is the sender's own.
     """
     e = emails.withColumn("domain", domain_of(F.col("from_address")))
-    hosts = e.select(F.col("domain").alias("host")).where("host IS NOT NULL").distinct()
-    org_rel = organisation_relations(hosts, org).select(F.col("host").alias("domain"), F.col("relation").alias("org_relation"), "technique")
+    # Small tables by host or email, written so that no plan holds all of their making.
+    hosts = written(e.select(F.col("domain").alias("host")).where("host IS NOT NULL").distinct(), "mail-hosts")
+    org_rel = written(organisation_relations(hosts, org).select(F.col("host").alias("domain"), F.col("relation").alias("org_relation"), "technique"), "mail-org")
     e = e.join(org_rel, "domain", "left").withColumn("internal", F.coalesce(F.col("org_relation") == "same", F.lit(False))).withColumn("claims", mentions(F.col("from_name"), org))
     owned = suppliers.select("supplier_id", F.explode("domains").alias("domain"))
     pairs = domains.relations(hosts, owned.select("domain")).join(owned.select("supplier_id", F.col("domain").alias("trusted")), "trusted")
     pairs = pairs.select(F.col("host").alias("domain"), "supplier_id", "relation", domains.compared(F.col("relation")).alias("compared"))
-    best = pairs.groupBy("domain", "supplier_id").agg(F.bool_or(F.col("compared").isin("same", "sibling")).alias("owns"), F.bool_or(F.col("compared") == "lookalike").alias("imitates"), F.bool_or(F.col("relation") == "brand_embedded").alias("embeds"))
+    best = written(pairs.groupBy("domain", "supplier_id").agg(F.bool_or(F.col("compared").isin("same", "sibling")).alias("owns"), F.bool_or(F.col("compared") == "lookalike").alias("imitates"), F.bool_or(F.col("relation") == "brand_embedded").alias("embeds")), "mail-suppliers")
     sender = best.groupBy("domain").agg(F.min(F.when(F.col("owns"), F.col("supplier_id"))).alias("own_id"), F.min(F.when(F.col("imitates"), F.col("supplier_id"))).alias("like_id"))
     names = suppliers.select(F.col("supplier_id").alias("name_id"), "name")
-    named = lambda column, out: containment.names_in(e.select(F.col("msg_id").alias("text_id"), F.col(column).alias("text")), names).groupBy(F.col("text_id").alias("msg_id")).agg(F.min("name_id").alias(out))
+    named = lambda column, out: written(containment.names_in(e.select(F.col("msg_id").alias("text_id"), F.col(column).alias("text")), names).groupBy(F.col("text_id").alias("msg_id")).agg(F.min("name_id").alias(out)), out)
     e = e.join(sender, "domain", "left").join(named("from_name", "name_id"), "msg_id", "left").join(named("subject", "subject_id"), "msg_id", "left")
     said = F.coalesce("name_id", F.when(~F.col("internal"), F.col("subject_id")), F.when(F.col("own_id").isNull(), F.col("like_id")))
     e = e.withColumn("claimed_supplier", said).withColumn("supplier_id", F.coalesce("claimed_supplier", "own_id")).drop("own_id", "like_id", "name_id", "subject_id")
@@ -240,8 +241,9 @@ def signals(emails: DataFrame, suppliers: DataFrame, org: Organisation, registry
         row(20, "ORG-01", imitation, F.col("technique"), domain, address),
         row(21, "ORG-03", role, F.coalesce(by_name, by_local), domain, address),
     ))))
-    four = thread_changes(e).select("msg_id", F.lit(4).alias("place"), F.lit("EMAIL-04").alias("code"), "variant", "host", F.col("previous").alias("evidence"))
-    return ladder.unionAll(four).unionAll(reply_changes(e, org)).unionAll(first_contacts(e))
+    four = written(thread_changes(e), "threads")
+    four = four.select("msg_id", F.lit(4).alias("place"), F.lit("EMAIL-04").alias("code"), "variant", "host", F.col("previous").alias("evidence"))
+    return written(ladder, "mail-ladder").unionAll(four).unionAll(written(reply_changes(e, org), "replies")).unionAll(first_contacts(e))
 
 
 def key_of(name: str) -> str:

@@ -61,7 +61,7 @@ def accounts_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The account that a sender last asked to be paid into before each email, where one stands in it."""
     e = src.emails(spark, sf_dir).select("msg_id", "ts", F.substring_index("from_address", "@", 1).alias("sender"), F.get(mail.account_ends(F.col("text")), F.lit(0)).alias("account"))
     told = e.where("account IS NOT NULL")
-    return asof.last_before(e, told, "sender", "ts", F.struct("msg_id", "account"), "last", 86400.0).select("msg_id", "account", F.col("last.account").alias("before"), F.col("last.msg_id").alias("before_id"))
+    return asof.last_before(e, told, "sender", "ts", F.struct("msg_id", "account"), "last", 86400.0).select("msg_id", "account", F.col("last.account").alias("before"), F.coalesce("last.msg_id", F.lit(-1)).alias("before_id"))
 
 
 def mail_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +150,7 @@ _INDICATORS = f"""{_PROFILE}, gen AS (SELECT host FROM org WHERE same UNION SELE
  tp AS (SELECT msg_id, trim({_TEMPLATE}) AS t FROM emails),
  x AS (SELECT msg_id, rank, CASE WHEN personal THEN kind || '_address' ELSE kind || '_domain' END AS type, CASE WHEN personal THEN left({hmac_sql(SECRET, "'aspen.mu' || chr(0) || address")}, 32) ELSE {site_sql('host')} END AS value, CASE WHEN personal THEN left(address, 1) || '***@' || host ELSE {site_sql('host')} END AS display FROM b1
   UNION ALL SELECT msg_id, 4, 'account', v, '****' || v FROM a WHERE v NOT IN (SELECT account FROM kn) UNION ALL SELECT msg_id, 5, 'payee', trim({_KEY.format('v')}), v FROM pay WHERE len(t) > 0 AND NOT EXISTS (SELECT 1 FROM kw WHERE list_contains(t, kw.w))
-  UNION ALL SELECT msg_id, 6, 'attachment', regexp_replace(lower(f.name), '\d+', '#', 'g'), regexp_replace(lower(f.name), '\d+', '#', 'g') FROM q WHERE f IS NOT NULL AND {_RISK} IS NOT NULL UNION ALL SELECT msg_id, 7, 'template', left(sha256(t), 16), 'matching message template' FROM tp WHERE len(list_filter(string_split(t, ' '), lambda w: w <> '')) >= 5)"""
+  UNION ALL SELECT msg_id, 6, 'attachment', regexp_replace(lower(f.name), '[0-9]+', '#', 'g'), regexp_replace(lower(f.name), '[0-9]+', '#', 'g') FROM q WHERE f IS NOT NULL AND {_RISK} IS NOT NULL UNION ALL SELECT msg_id, 7, 'template', left(sha256(t), 16), 'matching message template' FROM tp WHERE len(list_filter(string_split(t, ' '), lambda w: w <> '')) >= 5)"""
 QUERIES = {"domain_relations": domain_relations, "mail_signals": mail_signals, "mail_verdicts": mail_verdicts, "thread_changes": thread_changes, "supplier_mentions": supplier_mentions, "accounts_before": accounts_before, "mail_indicators": mail_indicators}
 ORACLE = {
     "mail_indicators": f"WITH {_INDICATORS} SELECT msg_id, type, value, display FROM x",
@@ -159,5 +159,5 @@ ORACLE = {
     "mail_verdicts": verdicts_sql(_BASE),
     "thread_changes": f"WITH {src.EMAILS_SQL}, {_CHANGES} SELECT * FROM changes",
     "supplier_mentions": f"WITH {src.EMAILS_SQL}, x AS (SELECT msg_id, ' ' || {_KEY.format("subject || ' ' || body")} || ' ' AS k FROM emails) SELECT msg_id AS text_id, supplier_id AS name_id, ((len(k) - len(replace(k, ' house ' || word || ' ', '  '))) // (len(word) + 6))::BIGINT AS times FROM x, suppliers WHERE contains(k, ' house ' || word || ' ')",
-    "accounts_before": f"WITH {src.EMAILS_SQL}, a AS (SELECT msg_id, ts, local, {_ENDS}[1] AS account FROM emails), l AS (SELECT a.msg_id, a.account, max(struct_pack(t := b.ts, m := b.msg_id, account := b.account)) AS last FROM a LEFT JOIN a b ON b.local = a.local AND b.ts < a.ts AND b.account IS NOT NULL GROUP BY a.msg_id, a.account) SELECT msg_id, account, last.account AS before, last.m AS before_id FROM l",
+    "accounts_before": f"WITH {src.EMAILS_SQL}, a AS (SELECT msg_id, ts, local, {_ENDS}[1] AS account FROM emails), l AS (SELECT a.msg_id, a.account, max(struct_pack(t := b.ts, m := b.msg_id, account := b.account)) AS last FROM a LEFT JOIN a b ON b.local = a.local AND b.ts < a.ts AND b.account IS NOT NULL GROUP BY a.msg_id, a.account) SELECT msg_id, account, last.account AS before, coalesce(last.m, -1) AS before_id FROM l",
 }
