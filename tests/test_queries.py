@@ -12,7 +12,7 @@ import pytest
 from tracewell.queries import community, detection, evaluation, ledger, mail, organisation, pipeline, radar, scoring, site, text
 
 SF = "/root/testdata/sf0.001"
-FAMILIES = (scoring, radar, community, detection, organisation, evaluation, text, site, pipeline, mail)
+FAMILIES = (scoring, radar, community, detection, organisation, evaluation, text, site, pipeline, mail, ledger)
 
 
 @pytest.fixture(scope="module")
