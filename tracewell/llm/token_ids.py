@@ -19,8 +19,8 @@ CACHE = 1_200_000
 END_ID = 2
 #: A shard holds about so many ids at most.
 SHARD_IDS = 1 << 27
-#: Documents encoded together.
-_ROWS = 5000
+#: Bytes of texts encoded together, about: more find more equal pieces, and hold more memory.
+_BYTES = 12 << 20
 
 _COUNTS = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 FILE = "shard int, doc_id long, tie long, n_tokens long, control binary, data binary"
@@ -35,6 +35,8 @@ _FIRST, _CUT = "\x01", "\x02"
 #: The public byte-level pattern, in terms that re knows, for pieces of plain characters only.
 _PRETOKENS = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 _PLAIN = re.compile(r"[\x00-\x7f\xc0-\u017f]*")
+#: Pieces that are one pre-token: letters, with or without a blank before them. For Arrow.
+_SINGLE = r"^ ?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17f}]+\z"
 
 
 def _byte_letters() -> dict[int, int]:
@@ -73,9 +75,15 @@ class PieceTokenizer:
     def _whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str], single: list[bool]) -> None:
+        """Encode pieces; ``single`` says which are one pre-token as they stand."""
         plain, parts, counts = [], [], []
-        for c in pieces:
+        for c, one in zip(pieces, single, strict=True):
+            if one:
+                plain.append(c)
+                counts.append(1)
+                parts.append(c)
+                continue
             text = c[1:] if c.startswith(_FIRST) else c
             if _PLAIN.fullmatch(text):
                 got = _PRETOKENS.findall(text)
@@ -94,21 +102,28 @@ class PieceTokenizer:
                 self.new[c] = raw[at * width : e * width]
                 at = e
 
-    def _of(self, pieces: list[str]) -> list[bytes]:
+    def _of(self, distinct: pa.Array) -> list[bytes]:
         """The ids of each distinct piece. What hasn't been seen for CACHE / 2 new pieces is forgotten."""
         if len(self.new) > CACHE // 2:
             self.new, self.old = {}, self.new
         new, old = self.new, self.old
+        # By way of numpy, as to_pylist makes a scalar of each value first.
+        pieces = distinct.to_numpy(zero_copy_only=False).tolist()
+        got = list(map(new.get, pieces))
         missing = []
-        for c in pieces:
-            if c not in new:
-                if c in old:
-                    new[c] = old[c]
-                else:
-                    missing.append(c)
-        for k in range(0, len(missing), 50_000):
-            self._learn(missing[k : k + 50_000])
-        return [new[c] for c in pieces]
+        for i in [i for i, x in enumerate(got) if x is None]:
+            c = pieces[i]
+            if (x := old.get(c)) is None:
+                missing.append(i)
+            else:
+                got[i] = new[c] = x
+        if missing:
+            single = pc.match_substring_regex(distinct.take(pa.array(missing)), _SINGLE).to_pylist()
+            for k in range(0, len(missing), 50_000):
+                self._learn([pieces[i] for i in missing[k : k + 50_000]], single[k : k + 50_000])
+            for i in missing:
+                got[i] = new[pieces[i]]
+        return got
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text (null: none), as little-endian bytes."""
@@ -131,7 +146,7 @@ class PieceTokenizer:
         first = lists.offsets.to_numpy()
         distinct = lists.flatten().dictionary_encode()
         code = distinct.indices.to_numpy()
-        got = self._of(distinct.dictionary.to_pylist())
+        got = self._of(distinct.dictionary)
         width = self.dtype.itemsize
         size = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // width
         start = np.cumsum(size) - size
@@ -173,6 +188,10 @@ def pack(numbers: np.ndarray) -> tuple[bytes, bytes]:
     four = np.zeros(-(-len(r) // 4) * 4, dtype=np.uint8)
     four[: len(r)] = code
     control = four[0::4] | four[1::4] << 2 | four[2::4] << 4 | four[3::4] << 6
+    if code.max(initial=0) <= 1:  # at most two bytes each, so half as many need be looked at
+        keep = np.ones((len(r), 2), dtype=bool)
+        keep[:, 1] = code
+        return control.tobytes(), r.astype("<u2").view(np.uint8)[keep.ravel()].tobytes()
     return control.tobytes(), r.view(np.uint8).reshape(-1, 4)[_KEEP[code]].tobytes()
 
 
@@ -198,15 +217,28 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+def _together(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes, where they came in smaller ones."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _tokenizer(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         end = np.array([end_id], dtype=t.dtype).tobytes()
-        for batch in batches:
-            for k in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(k, _ROWS)
-                got = t.encode(part.column(2))
-                yield _rows([(i, tie, len(x) // t.dtype.itemsize + 1, x + end) for i, tie, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), got, strict=True)], _RAW)
+        for batch in _together(batches, _BYTES):
+            if batch.num_rows:
+                ids = [x + end for x in t.encode(batch.column(2))]
+                n = [len(x) // t.dtype.itemsize for x in ids]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, type=pa.int64()), pa.array(ids, type=pa.binary())], schema=_RAW)
 
     return run
 
@@ -215,8 +247,9 @@ def _counter(dtype: np.dtype, size: int) -> Callable[[Iterator[pa.RecordBatch]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), dtype=dtype), minlength=size)
+            if batch.num_rows:
+                flat = b"".join(batch.column(0).to_pylist())
+                total += np.bincount(np.frombuffer(flat, dtype=dtype), minlength=size)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], schema=_COUNTS)
 
