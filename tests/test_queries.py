@@ -9,10 +9,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tracewell.queries import community, detection, evaluation, ledger, mail, organisation, pipeline, radar, scoring, site, text
+from tracewell.queries import community, detection, evaluation, ledger, mail, organisation, parallel, pipeline, radar, scoring, site, text
 
 SF = "/root/testdata/sf0.001"
-FAMILIES = (scoring, radar, community, detection, organisation, evaluation, text, site, pipeline, mail, ledger)
+FAMILIES = (scoring, radar, community, detection, organisation, evaluation, text, site, pipeline, mail, ledger, parallel)
 
 
 @pytest.fixture(scope="module")

@@ -67,3 +67,27 @@ def streaks(days: DataFrame, who: str) -> DataFrame:
 def round_robin(rows: DataFrame, kind: str, order: list[str]) -> DataFrame:
     """Interleaves kinds: all firsts, then all seconds. Adds ``place``."""
     return numbered(rows, [kind], order, "place")
+
+
+def case_summaries(cases: DataFrame, by: list[str]) -> DataFrame:
+    """How detectors did on cases, overall (all keys null) and per value of each key, in one pass.
+
+    ``cases`` has expected, forbidden and codes (arrays of codes) and level.
+    A case passes with every expected code and no forbidden one; legitimate
+    cases expect none, and one is a false positive above the level ``low``.
+    Null arrays count as empty.
+    """
+    some = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    in_codes = lambda c: F.size(F.filter(some(c), lambda x: F.array_contains(some("codes"), x)))
+    t = cases.select(*by, F.size(some("expected")).alias("e"), in_codes("expected").alias("f"), F.size(some("forbidden")).alias("c"), in_codes("forbidden").alias("h"), F.coalesce(F.col("level") != "low", F.lit(True)).alias("raised"))
+    sets = ", ".join(["()"] + [f"({c})" for c in by])
+    counts = "count(*) AS cases, count_if(e = f AND h = 0) AS passed, sum(e) AS expected, sum(f) AS found, sum(c) AS forbidden_checks, sum(h) AS forbidden_hits, count_if(e = 0) AS legit, count_if(e = 0 AND raised) AS legit_raised"
+    t = t.sparkSession.sql(f"SELECT {', '.join(by)}, {counts} FROM {{t}} GROUP BY GROUPING SETS ({sets})", t=t)
+    rates = {"pass_rate": ("passed", "cases"), "recall": ("found", "expected"), "legit_false_positive_rate": ("legit_raised", "legit")}
+    return t.withColumns({name: ratio(F.col(a), F.col(b)) for name, (a, b) in rates.items()})
+
+
+def variant_groups(cases: DataFrame, group: str) -> DataFrame:
+    """Per group of cases that say the same: members, distinct sets of codes, whether there is one only. Sets are counted before groups are, so a large group is split."""
+    sets = cases.select(group, F.array_join(F.array_sort(F.array_distinct(F.coalesce("codes", F.array().cast("array<string>")))), ",").alias("codes")).groupBy(group, "codes").agg(F.count("*").alias("n"))
+    return sets.groupBy(group).agg(F.sum("n").alias("members"), F.count("*").alias("code_sets")).withColumn("consistent", F.col("code_sets") == 1)

@@ -15,14 +15,14 @@ from tracewell.functions import text as t
 from tracewell.operators import offsets
 
 # Results depend on them.
-_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 _MONEY = r"(?:Rs\.?|MUR|USD|EUR|GBP|€|\$|£)"
 _AMOUNT = r"(?:\d{1,3}(?:[ ,.\x{a0}\x{202f}]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d{1,2})?)"
 #: What a message is about, by kind; earlier kinds claim their place first.
 ENTITIES = [
     ("priv", r"<PRIV_\d+>"),
-    ("url", rf"(?iu){_EDGE}(?:https?://|www\.)[^\s<>\"'`]+[^\s<>\"'`.,;:!?)\]]"),
-    ("email", rf"(?iu){_EDGE}[\p{{L}}\p{{N}}._%+-]+@[\p{{L}}\p{{N}}.-]+\.\p{{L}}{{2,}}{_EDGE}"),
+    ("url", rf"(?iu){EDGE}(?:https?://|www\.)[^\s<>\"'`]+[^\s<>\"'`.,;:!?)\]]"),
+    ("email", rf"(?iu){EDGE}[\p{{L}}\p{{N}}._%+-]+@[\p{{L}}\p{{N}}.-]+\.\p{{L}}{{2,}}{EDGE}"),
     ("amount", rf"(?iu)(?<![\p{{L}}\p{{N}}]){_MONEY}\s?{_AMOUNT}(?![\p{{L}}\p{{N}}])|(?<![\p{{L}}\p{{N}}.,]){_AMOUNT}\s?(?:Rs|MUR|USD|EUR|€)(?![\p{{L}}\p{{N}}])"),
     ("date", r"(?u)(?<!\p{N})(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4})(?!\p{N})"),
     ("domain", r"(?iu)(?<![\p{L}\p{N}@.-])(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+(?:[a-z]{2,24})(?![\p{L}\p{N}-])(?:/[^\s<>\"'`]*[^\s<>\"'`.,;:!?)\]])?"),
