@@ -78,7 +78,7 @@ def checked(rows: DataFrame, source: str, target: str, deep: bool = True) -> Dat
     bare = lambda c: F.regexp_replace(c, PLACEHOLDER, " ")
     d = offsets.computed(rows, _i=F.coalesce("text", F.lit("")), _o=F.coalesce("output", F.lit("")), _p=F.coalesce("placeholders", F.array().cast("array<string>")))
     d = offsets.computed(d, _m=marks, _ib=bare(F.col("_i")), _ob=bare(F.col("_o")))
-    d = offsets.computed(d, _iw=F.regexp_count("_ib", F.lit(_TEXT_WORD)), _ow=F.regexp_count("_ob", F.lit(_TEXT_WORD)), _id=_digits("_ib"), _od=_digits("_ob"))
+    d = offsets.computed(d, _iw=F.regexp_count("_ib", F.lit(_TEXT_WORD)), _ow=F.regexp_count("_ob", F.lit(_TEXT_WORD)), _id=_digits("_ib"), _od=_digits("_ob"), _ni=_denies(F.col("_i"), source), _no=_denies(F.col("_o"), target))
     i, o, ib, ob, iw, ow = (F.col(c) for c in ("_i", "_o", "_ib", "_ob", "_iw", "_ow"))
     problem = lambda kind, detail: F.struct(F.lit(kind).alias("kind"), F.coalesce(detail, F.lit("")).alias("detail"))
     none = F.array().cast("array<struct<kind:string,detail:string>>")
@@ -96,7 +96,7 @@ def checked(rows: DataFrame, source: str, target: str, deep: bool = True) -> Dat
         when(F.length(o) > F.length(i) * MOST_LENGTH + MORE_LENGTH, "too_long"),
         when((iw >= SHORT_WORDS) & (ow < iw * F.lit(LEAST_WORDS)), "too_short"),
         when((iw >= COPIED_WORDS) & (_trimmed(F.lower(o)) == _trimmed(F.lower(i))), "not_translated"),
-        when(_denies(i, source) != _denies(o, target), "negation_mismatch", F.when(_denies(i, source), "lost").otherwise("added")),
+        when(F.col("_ni") != F.col("_no"), "negation_mismatch", F.when(F.col("_ni"), "lost").otherwise("added")),
         when(F.col("_id") != F.col("_od"), "number_mismatch"),
     ]
     if target == "mfe":
