@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from tracewell.functions import hosts as h
 from tracewell.operators import edits
 from tracewell.operators.offsets import computed
-from tracewell.sources.scratch import written
+from tracewell.sources.scratch import dealt, written
 
 #: Relations of a host to a trusted domain, the first that holds counts. Fixed values.
 RELATIONS = ["same", "sibling", "homoglyph", "label_split", "subdomain_abuse", "tld_swap", "confusable", "typo", "brand_embedded"]
 #: The shortest brand that counts for typos and inside longer labels.
 LEAST_BRAND = 5
 # End of the fixed values.
+#: Hosts whose keys one task makes, and trusted hosts whose keys may be broadcast: one has some 20 KB of them.
+HOSTS_A_TASK, MOST_BROADCAST = 2_000, 1_000
 
 _FORMS = "host string, unicode string, compat string, plain string"
 
@@ -51,7 +53,7 @@ def host_forms(hosts: DataFrame) -> DataFrame:
 
     Only hosts that are encoded or not ASCII leave the JVM, in Arrow batches.
     """
-    d = hosts.select(h.normal_host(F.col("host")).alias("host")).where("host IS NOT NULL AND host <> ''").distinct()
+    d = hosts.select("host").distinct().select(h.normal_host(F.col("host")).alias("host")).where("host IS NOT NULL AND host <> ''").distinct()
     odd = F.rlike("host", F.lit(r"[^\x00-\x7f]|(^|\.)xn--"))
     usual = d.where(~odd).select("host", F.col("host").alias("unicode"), F.col("host").alias("compat"), F.col("host").alias("plain"))
     return usual.unionAll(d.where(odd).mapInPandas(_forms, _FORMS))
@@ -121,10 +123,14 @@ def relations(hosts: DataFrame, trusted: DataFrame) -> DataFrame:
     ``hosts`` has ``host``, ``trusted`` has ``domain``. Both sides emit (kind,
     key) rows and meet in one join of equal keys; typos are then measured.
     Of several relations the first of RELATIONS counts. A label of n
-    characters emits about n*n/2 keys, and labels end at 63.
+    characters emits about n*n/2 keys, and labels end at 63. Spark knows
+    nothing of how many keys a host makes, so hosts are dealt to tasks by
+    their number, and the keys of many trusted hosts are never broadcast.
     """
     known = written(host_forms(trusted.select(F.col("domain").alias("host"))).withColumnRenamed("host", "trusted"), "trusted")
-    pairs = _candidate_keys(written(host_forms(hosts), "hosts")).join(_trusted_keys(known), ["kind", "key"])
+    keys = _trusted_keys(dealt(known, HOSTS_A_TASK, "trusted"))
+    keys = keys.hint("merge") if known.count() > MOST_BROADCAST else keys
+    pairs = _candidate_keys(dealt(written(host_forms(hosts), "hosts"), HOSTS_A_TASK, "host")).join(keys, ["kind", "key"])
     far = (F.col("kind") == "typo") & (F.levenshtein("label", "brand") > h.max_edits(F.length("brand")))
     unsplit = (F.col("kind") == "label_split") & F.startswith("key", F.lit("-")) & (F.col("label") == F.col("brand"))
     rank = F.array_position(F.array(*[F.lit(x) for x in RELATIONS]), F.col("kind"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import hosts as h
 from tracewell.operators import containment, domains
 from tracewell.operators.identity import Institution, claimed, names_match
-from tracewell.sources.scratch import written
+from tracewell.sources.scratch import dealt, written
 
 # Results depend on them.
 FREEMAIL = ["gmail.com", "googlemail.com", "outlook.com", "hotmail.com", "live.com", "msn.com", "yahoo.com", "yahoo.fr", "ymail.com", "icloud.com", "me.com", "aol.com", "proton.me", "protonmail.com", "gmx.com", "gmx.net", "mail.com", "yandex.com", "zoho.com", "orange.mu"]
@@ -37,6 +37,8 @@ LURES = ["login", "logon", "signin", "sso", "auth", "secure", "security", "verif
 TECHNIQUE_ORDER = ["homoglyph", "label_split", "subdomain_abuse", "confusable", "typo", "tld_swap", "brand_embedded"]
 FIRST_CONTACT_SECONDS = 7 * 24 * 3600
 # End of the fixed values.
+#: Emails that one task reads: their patterns take longer than their bytes tell.
+EMAILS_A_TASK = 50_000
 
 
 @dataclass(frozen=True)
@@ -107,17 +109,19 @@ def thread_changes(emails: DataFrame) -> DataFrame:
     no window over its rows, and no pairs of its messages.
     """
     e = emails.where("thread IS NOT NULL").select("msg_id", "thread", F.lower("from_address").alias("address"), domain_of(F.col("from_address")).alias("domain"), F.nullif(key(F.col("from_name")), F.lit("")).alias("name"), F.struct("ts", "msg_id").alias("at"))
-    e = e.where("domain IS NOT NULL").withColumn("site", h.registrable_domain(F.col("domain")))
-    first = lambda *by: e.groupBy("thread", *by).agg(F.min("at").alias("since"))
+    # Read some ten times below.
+    e = written(e.where("domain IS NOT NULL").withColumn("site", h.registrable_domain(F.col("domain"))), "thread-mail")
+    # Every side below grows with the mail, and its files are far smaller than its rows: none is broadcast.
+    first = lambda *by: e.groupBy("thread", *by).agg(F.min("at").alias("since")).hint("merge")
     new = e.join(first("address"), ["thread", "address"]).where("at = since").drop("since")
     new = new.join(first("site"), ["thread", "site"]).where("at = since").drop("since")
     alike = domains.relations(e.select(F.col("domain").alias("host")), e.select("domain"))
-    alike = written(alike.where(domains.compared(F.col("relation")) == "lookalike").select(F.col("host").alias("domain"), F.col("trusted").alias("previous")), "alike")
+    alike = written(alike.where(domains.compared(F.col("relation")) == "lookalike").select(F.col("host").alias("domain"), F.col("trusted").alias("previous")), "alike").hint("merge")
     imitated = new.join(alike, "domain").join(first("domain").withColumnRenamed("domain", "previous"), ["thread", "previous"]).where("since < at").groupBy("msg_id").agg(F.min_by("previous", "since").alias("imitated"))
     named = e.where("name IS NOT NULL").groupBy("thread", "name").agg(F.min("at").alias("since"), F.min_by("domain", "at").alias("same_name"))
     sites = first("site").groupBy("thread").agg(F.min("since").alias("one_since"), F.min_by("site", "since").alias("one"))
     second = first("site").join(sites, "thread").where("since > one_since").groupBy("thread").agg(F.min("since").alias("two_since"))
-    new = new.join(imitated, "msg_id", "left").join(named, ["thread", "name"], "left").join(sites, "thread").join(second, "thread", "left").where("one_since < at")
+    new = new.join(imitated.hint("merge"), "msg_id", "left").join(named.hint("merge"), ["thread", "name"], "left").join(sites.hint("merge"), "thread").join(second.hint("merge"), "thread", "left").where("one_since < at")
     by_name = F.when(F.col("since") < F.col("at"), F.col("same_name"))
     only = F.when(F.col("two_since").isNull() | (F.col("two_since") >= F.col("at")), F.col("one"))
     variant = F.when(F.col("imitated").isNotNull(), "lookalike").when(by_name.isNotNull(), "same_name_new_domain").when(only.isNotNull(), "different_domain")
@@ -166,23 +170,23 @@ def prepared(emails: DataFrame, suppliers: DataFrame, org: Organisation) -> Data
     imitates one; else it is the sender's own.
     """
     e = emails.withColumn("domain", domain_of(F.col("from_address")))
-    # Small tables by host or email, written so that no plan holds all of their making.
+    # Tables by host or email, written so that no plan holds all of their making. They grow with hosts, mail or suppliers, so none is broadcast.
     hosts = written(e.select(F.col("domain").alias("host")).where("host IS NOT NULL").distinct(), "mail-hosts")
-    org_rel = written(organisation_relations(hosts, org).select(F.col("host").alias("domain"), F.col("relation").alias("org_relation"), "technique"), "mail-org")
+    org_rel = written(organisation_relations(hosts, org).select(F.col("host").alias("domain"), F.col("relation").alias("org_relation"), "technique"), "mail-org").hint("merge")
     e = e.join(org_rel, "domain", "left").withColumn("internal", F.coalesce(F.col("org_relation") == "same", F.lit(False))).withColumn("claims", mentions(F.col("from_name"), org))
     owned = suppliers.select("supplier_id", F.explode("domains").alias("domain"))
-    pairs = domains.relations(hosts, owned.select("domain")).join(owned.select("supplier_id", F.col("domain").alias("trusted")), "trusted")
+    pairs = domains.relations(hosts, owned.select("domain")).join(owned.select("supplier_id", F.col("domain").alias("trusted")).hint("merge"), "trusted")
     pairs = pairs.select(F.col("host").alias("domain"), "supplier_id", "relation", domains.compared(F.col("relation")).alias("compared"))
-    best = written(pairs.groupBy("domain", "supplier_id").agg(F.bool_or(F.col("compared").isin("same", "sibling")).alias("owns"), F.bool_or(F.col("compared") == "lookalike").alias("imitates"), F.bool_or(F.col("relation") == "brand_embedded").alias("embeds")), "mail-suppliers")
+    best = written(pairs.groupBy("domain", "supplier_id").agg(F.bool_or(F.col("compared").isin("same", "sibling")).alias("owns"), F.bool_or(F.col("compared") == "lookalike").alias("imitates"), F.bool_or(F.col("relation") == "brand_embedded").alias("embeds")), "mail-suppliers").hint("merge")
     sender = best.groupBy("domain").agg(F.min(F.when(F.col("owns"), F.col("supplier_id"))).alias("own_id"), F.min(F.when(F.col("imitates"), F.col("supplier_id"))).alias("like_id"))
     names = suppliers.select(F.col("supplier_id").alias("name_id"), "name")
-    named = lambda column, out: written(containment.names_in(e.select(F.col("msg_id").alias("text_id"), F.col(column).alias("text")), names).groupBy(F.col("text_id").alias("msg_id")).agg(F.min("name_id").alias(out)), out)
+    named = lambda column, out: written(containment.names_in(e.select(F.col("msg_id").alias("text_id"), F.col(column).alias("text")), names).groupBy(F.col("text_id").alias("msg_id")).agg(F.min("name_id").alias(out)), out).hint("merge")
     e = e.join(sender, "domain", "left").join(named("from_name", "name_id"), "msg_id", "left").join(named("subject", "subject_id"), "msg_id", "left")
     said = F.coalesce("name_id", F.when(~F.col("internal"), F.col("subject_id")), F.when(F.col("own_id").isNull(), F.col("like_id")))
     e = e.withColumn("claimed_supplier", said).withColumn("supplier_id", F.coalesce("claimed_supplier", "own_id")).drop("own_id", "like_id", "name_id", "subject_id")
     e = e.join(best.select("domain", "supplier_id", "owns", "imitates", "embeds"), ["domain", "supplier_id"], "left")
     known = suppliers.select("supplier_id", F.struct("name", "domains", "accounts", "beneficiaries", "addresses").alias("supplier"))
-    return e.join(known, "supplier_id", "left").withColumn("owned", F.coalesce("owns", F.lit(False)))
+    return e.join(known.hint("merge"), "supplier_id", "left").withColumn("owned", F.coalesce("owns", F.lit(False)))
 
 
 def signals(emails: DataFrame, suppliers: DataFrame, org: Organisation, registry: list[Institution], financial: DataFrame) -> DataFrame:
@@ -191,8 +195,8 @@ def signals(emails: DataFrame, suppliers: DataFrame, org: Organisation, registry
     ``financial`` lists messages (msg_id) that ask for money. Each code comes
     once a message.
     """
-    e = prepared(emails, suppliers, org).join(financial.select("msg_id", F.lit(True).alias("asks")).distinct(), "msg_id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    e = written(e, "mail")
+    e = prepared(emails, suppliers, org).join(financial.select("msg_id", F.lit(True).alias("asks")).distinct().hint("merge"), "msg_id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    e = dealt(written(e, "mail"), EMAILS_A_TASK, "msg_id")
     domain, s = F.col("domain"), F.col("supplier")
     row = lambda place, code, when, variant=None, host=None, evidence=None: F.when(when, F.struct(F.lit(place).alias("place"), F.lit(code).alias("code"), F.lit(variant).cast("string").alias("variant") if variant is None or isinstance(variant, str) else variant.alias("variant"), (F.lit(None).cast("string") if host is None else host).alias("host"), (F.lit(None).cast("string") if evidence is None else evidence).alias("evidence")))
     address = F.lower("from_address")
@@ -263,10 +267,10 @@ def reply_changes(e: DataFrame, org: Organisation) -> DataFrame:
     r = e.where("domain IS NOT NULL AND size(reply_to) > 0").select("msg_id", "thread", "ts", "domain", F.lower("from_address").alias("address"), "internal", "owned", F.col("supplier.domains").alias("own"), F.posexplode("reply_to").alias("k", "reply"))
     r = r.withColumn("reply_domain", domain_of(F.col("reply"))).where("reply_domain IS NOT NULL").where(h.registrable_domain(F.col("reply_domain")) != h.registrable_domain(F.col("domain")))
     same_party = F.col("owned") & F.exists(F.coalesce("own", F.array().cast("array<string>")), lambda d: h.official(F.col("reply_domain"), d) | (h.registrable_domain(F.col("reply_domain")) == h.registrable_domain(d)))
-    ours = organisation_relations(r.select(F.col("reply_domain").alias("host")), org).where("relation = 'same'").select(F.col("host").alias("reply_domain"), F.lit(True).alias("ours"))
+    ours = organisation_relations(r.select(F.col("reply_domain").alias("host")), org).where("relation = 'same'").select(F.col("host").alias("reply_domain"), F.lit(True).alias("ours")).hint("merge")
     r = r.join(ours, "reply_domain", "left").where(~F.coalesce(same_party, F.lit(False)) & ~(F.col("internal") & F.coalesce("ours", F.lit(False))))
     r = r.groupBy("msg_id", "thread", "ts", "address").agg(F.min_by("reply_domain", "k").alias("host"))
-    since = e.where("thread IS NOT NULL").groupBy("thread", F.lower("from_address").alias("address")).agg(F.min(F.struct("ts", "msg_id")).alias("since"))
+    since = e.where("thread IS NOT NULL").groupBy("thread", F.lower("from_address").alias("address")).agg(F.min(F.struct("ts", "msg_id")).alias("since")).hint("merge")
     r = r.join(since, ["thread", "address"], "left")
     return r.select("msg_id", F.lit(2).alias("place"), F.lit("EMAIL-01").alias("code"), F.when(F.col("since") < F.struct("ts", "msg_id"), "in_thread").alias("variant"), "host", F.col("host").alias("evidence"))
 
@@ -274,6 +278,6 @@ def reply_changes(e: DataFrame, org: Organisation) -> DataFrame:
 def first_contacts(e: DataFrame) -> DataFrame:
     """ORG-04, an outsider who first wrote to this mailbox less than seven days ago or just now: one of ``signals``. ``e`` is ``prepared``."""
     s = e.where("recipient IS NOT NULL AND domain IS NOT NULL").select("msg_id", "ts", "internal", F.lower("from_address").alias("address"), F.lower("recipient").alias("recipient"))
-    since = s.groupBy("address", "recipient").agg(F.min("ts").alias("since"))
+    since = s.groupBy("address", "recipient").agg(F.min("ts").alias("since")).hint("merge")
     s = s.where("NOT internal").join(since, ["address", "recipient"]).where(F.col("ts") - F.col("since") < FIRST_CONTACT_SECONDS)
     return s.select("msg_id", F.lit(22).alias("place"), F.lit("ORG-04").alias("code"), F.lit(None).cast("string").alias("variant"), F.lit(None).cast("string").alias("host"), F.col("address").alias("evidence"))

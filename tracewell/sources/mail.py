@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from tracewell.operators.mail import Organisation
 from tracewell.sources.messages import sql_list
+from tracewell.sources.scratch import dealt
 
 ORGANISATION = Organisation("Aspen Group", ["aspen.mu"], ["aspen"], [("Jane Doe", "executive", ["jane.doe@aspen.mu"]), ("Ravi Patel", "employee", ["ravi@aspen.mu"])], [("finance", ["accounts team", "finance desk"], ["accounts@aspen.mu"]), ("it", ["it helpdesk"], ["helpdesk@aspen.mu"])])
 FROM_NAMES = ["{s}", "Accounts Team", "Doe Jane", "", "billing@{d}", "North Bank support", "CEO office"]
 SUBJECTS = ["Invoice from {s}", "Hello", "Payment of {s} and others", "Re: meeting", "Your order"]
 BODIES = ["Please pay account number 55512{n} today", "Beneficiary: {s}\nThanks", "See you tomorrow", "Compte se terminant par {a}, merci", "Payee: Someone Else\n****{a}"]
+#: Events of which one task makes emails.
+EVENTS_A_TASK = 50_000
+#: Suppliers that are broadcast to the events.
+MOST_BROADCAST = 10_000
 FILES = [("invoice.pdf.exe", "application/pdf"), ("terms.pdf", "text/html"), ("photo.jpg", "image/jpeg"), ("setup.msi", "application/octet-stream")]
 
 
@@ -43,9 +48,10 @@ def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One email an event, about some supplier: the columns that operators.mail reads."""
     s = suppliers(spark, sf_dir).select("supplier_id", "name", F.col("domains")[0].alias("sdomain"))
     n = s.count()
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("long").alias("msg_id"), F.unix_timestamp("ts").alias("ts"), "user_id")
+    e = dealt(spark.read.parquet(f"{sf_dir}/events.parquet"), EVENTS_A_TASK, "event_id").select(F.col("event_id").cast("long").alias("msg_id"), F.unix_timestamp("ts").alias("ts"), "user_id")
     i, label = F.col("msg_id"), F.replace("sdomain", F.lit(".com"), F.lit(""))
-    e = e.withColumn("slot", F.floor(i / 2) % n).join(s.withColumn("slot", F.col("supplier_id") % n), "slot")
+    s = s.withColumn("slot", F.col("supplier_id") % n)
+    e = e.withColumn("slot", F.floor(i / 2) % n).join(s if n <= MOST_BROADCAST else s.hint("merge"), "slot")
     kind = i % 9
     host = (
         F.when(i % 11 == 0, "aspen.mu").when(i % 13 == 0, "aspen-login.com").when(i % 17 == 0, "asp1en.mu").when(kind == 2, F.concat(label, F.lit("x.com"))).when(kind == 3, F.concat(label, F.lit(".net")))
