@@ -29,19 +29,21 @@ def domain_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domains.relations(hosts, src.suppliers(spark, sf_dir).select(F.explode("domains").alias("domain")))
 
 
-def _mail_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = src.emails(spark, sf_dir)
-    return mail.signals(e, src.suppliers(spark, sf_dir), ORG, REGISTRY, _financial(e))
+def _mail_signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Emails, made and written once, and their signals."""
+    e = written(src.emails(spark, sf_dir), "emails")
+    return e, mail.signals(e, src.suppliers(spark, sf_dir), ORG, REGISTRY, _financial(e))
 
 
 def mail_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mail_signals(spark, sf_dir).select("msg_id", "code", F.coalesce("variant", F.lit("")).alias("variant"), "host")
+    return _mail_signals(spark, sf_dir)[1].select("msg_id", "code", F.coalesce("variant", F.lit("")).alias("variant"), "host")
 
 
 def mail_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Emails to verdicts."""
-    s = pipeline.gathered({"email": _mail_signals(spark, sf_dir)}, "mail-signals")
-    contexts = src.emails(spark, sf_dir).select("msg_id", F.lit(False).alias("claimed"), F.lit(False).alias("semantic_ok"))
+    e, found = _mail_signals(spark, sf_dir)
+    s = pipeline.gathered({"email": found}, "mail-signals")
+    contexts = e.select("msg_id", F.lit(False).alias("claimed"), F.lit(False).alias("semantic_ok"))
     return pipeline.assess(s, contexts)
 
 
