@@ -3,7 +3,11 @@
 from pyspark.sql import functions as F
 
 from tracewell.operators import domains, mail
-from tracewell.sources import scratch
+from tracewell.plans import pipeline, scoring
+from tracewell.plans.ruleset import ruleset
+from tracewell.sources import messages, scratch
+
+SF = "/root/testdata/sf0.001"
 
 
 def _plan(df):
@@ -29,3 +33,26 @@ def test_rows_are_dealt_by_their_number(spark):
     df = scratch.written(spark.range(1000).coalesce(1), "many")
     assert scratch.dealt(df, 100, "id").rdd.getNumPartitions() == 10
     assert scratch.dealt(df, 1000).rdd.getNumPartitions() == df.rdd.getNumPartitions()
+
+
+def test_scores_broadcast_rulesets_only(spark):
+    scored = _plan(scoring.score(messages.signals(spark, SF), messages.contexts(spark, SF)))
+    assert "BroadcastHashJoin [msg_id" not in scored
+
+
+def test_members_are_made_once_for_marks_and_interactions(spark):
+    m = scoring.members(messages.signals(spark, SF), ruleset())
+    assert "Join [msg_id" not in _plan(pipeline.annotated(m))
+    assert "Join [msg_id" not in _plan(scoring.interactions(m, scoring.findings(m), ruleset()))
+
+
+def test_signals_are_scored_by_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "SIGNALS_A_TASK", 100)
+    assert "REPARTITION_BY_NUM" in _plan(scoring.members(messages.signals(spark, SF), ruleset()))
+
+
+def test_registries_in_memory_are_the_broadcast_side(spark):
+    hosts, listed = scratch.written(spark.createDataFrame([("a.b.com",), ("c.org",)], "host string"), "some"), spark.createDataFrame([("b.com",)], "domain string")
+    found = domains.below(hosts, listed)
+    assert "rightHint=(strategy=broadcast)" in found._jdf.queryExecution().analyzed().toString() or "BuildRight" in _plan(found)
+    assert [tuple(r) for r in found.collect()] == [("a.b.com", "b.com")]

@@ -7,12 +7,12 @@ turn and its place there, so no window is needed to number them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.plans import scoring
 from tracewell.plans.ruleset import Ruleset, ruleset
-from tracewell.sources.scratch import written
+from tracewell.sources.scratch import dealt, written
 
 # Results depend on them.
 #: Detectors in the order in which their signals arrive.
@@ -94,8 +94,9 @@ def annotated(members: DataFrame) -> DataFrame:
 
     ``members`` is scoring.members of the signals.
     """
-    primary = members.where("place = 1").select("msg_id", "grp", F.col("code").alias("primary"))
-    out = members.join(primary, ["msg_id", "grp"])
+    # A window over what members has sorted already; a join would make the members twice.
+    primary = F.max(F.when(F.col("place") == 1, F.col("code"))).over(Window.partitionBy("msg_id", "grp"))
+    out = members.where("grp IS NOT NULL").withColumn("primary", primary)
     return out.select("msg_id", "ord", "code", "grp", (F.col("place") == 1).alias("scored"), F.when(F.col("place") > 1, F.col("primary")).alias("merged_into"))
 
 
@@ -126,7 +127,7 @@ def categories(signals: DataFrame, contexts: DataFrame) -> DataFrame:
     s = signals.where("detector <> 'community'").select("msg_id", category(F.col("code")).alias("category"), rank.alias("r"))
     worst = s.groupBy("msg_id").agg(*[F.max(F.when(F.col("category") == c, F.col("r"))).alias(c) for c in CATEGORIES])
     name = lambda c: F.element_at(F.array(F.lit("LOW"), F.lit("MEDIUM"), F.lit("HIGH")), F.greatest(F.coalesce(F.col(c), F.lit(1)), F.lit(1)).cast("int")).alias(c)
-    return contexts.select("msg_id").join(worst, "msg_id", "left").select("msg_id", *[name(c) for c in CATEGORIES])
+    return contexts.select("msg_id").join(worst.hint("merge"), "msg_id", "left").select("msg_id", *[name(c) for c in CATEGORIES])
 
 
 def assess(signals: DataFrame, contexts: DataFrame, version: str | None = None) -> DataFrame:
@@ -136,10 +137,10 @@ def assess(signals: DataFrame, contexts: DataFrame, version: str | None = None)
     semantic_ok.
     """
     rules = ruleset(version) if version else ruleset()
-    s = checked(signals, rules)
+    s = checked(dealt(signals, scoring.SIGNALS_A_TASK, "msg_id"), rules)
     found = scoring.score(s.select("msg_id", "ord", "code", "source_type", F.coalesce("variant", F.lit("")).alias("variant"), "host"), contexts, version)
     seen = s.groupBy("msg_id").agg(F.sort_array(F.collect_set("code")).alias("codes"))
-    return found.join(seen, "msg_id", "left").withColumn("stage", stage(F.col("codes"))).withColumn("codes", F.coalesce(F.array_join("codes", ","), F.lit("")))
+    return found.join(seen.hint("merge"), "msg_id", "left").withColumn("stage", stage(F.col("codes"))).withColumn("codes", F.coalesce(F.array_join("codes", ","), F.lit("")))
 
 
 def batch_summary(assessed: DataFrame) -> DataFrame:

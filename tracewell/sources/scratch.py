@@ -27,12 +27,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
-    """The rows, dealt out to a task for each ``rows`` of them: a file of few bytes can hold many, and one task would read them all. Counts them, so for tables only."""
-    n = df.count()
-    return df if n <= rows else df.repartition(-(-n // rows), *by)
+def tasks(df: DataFrame, rows: int) -> int:
+    """How many tasks get at most about ``rows`` of the rows each. Counts them, so for tables only."""
+    return max(1, -(-df.count() // rows))
 
 
-def growing(df: DataFrame, most: int) -> DataFrame:
-    """A side of a join that isn't broadcast where it has more than ``most`` rows, whatever its files' bytes say. Counts them, so for tables only."""
-    return df.hint("merge") if df.count() > most else df
+def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """The rows, dealt out to a task for each ``rows`` of them: a file of few bytes can hold many, and one task would read them all."""
+    n = tasks(df, rows)
+    return df if n == 1 else df.repartition(n, *by)
