@@ -144,9 +144,14 @@ def compared(relation: Column) -> Column:
 
 
 def below(hosts: DataFrame, domains: DataFrame) -> DataFrame:
-    """Distinct hosts that are one of ``domains`` (column domain) or below one, joined by equal suffixes: host, domain (the longest)."""
-    d = domains.select(h.normal_host(F.col("domain")).alias("suffix")).distinct()
-    return hosts.select("host").distinct().withColumn("suffix", F.explode(h.host_suffixes(F.col("host")))).join(d, "suffix").groupBy("host").agg(F.max_by("suffix", F.length("suffix")).alias("domain"))
+    """Distinct hosts that are one of ``domains`` (column domain) or below one, joined by equal suffixes: host, domain (the longest).
+
+    ``domains`` is a registry and broadcast: of a list in memory Spark knows
+    no size and would broadcast the hosts instead. The result grows with the
+    hosts, so what joins it doesn't broadcast it.
+    """
+    d = F.broadcast(domains.select(h.normal_host(F.col("domain")).alias("suffix")).distinct())
+    return hosts.select("host").distinct().withColumn("suffix", F.explode(h.host_suffixes(F.col("host")))).join(d, "suffix").groupBy("host").agg(F.max_by("suffix", F.length("suffix")).alias("domain")).hint("merge")
 
 
 def trusted_hosts(hosts: DataFrame, trusted: DataFrame, user_content: DataFrame) -> DataFrame:
@@ -170,8 +175,8 @@ def brand_imitations(hosts: DataFrame, brands: DataFrame, exempt: DataFrame) ->
     brand in order counts.
     """
     d = hosts.select(h.normal_host(F.col("host")).alias("host")).distinct()
-    d = d.join(below(d, brands).select("host"), "host", "left_anti").join(exempt.select("host").distinct(), "host", "left_anti")
-    d = computed(d, label=h.registrable_label(F.col("host")))
+    d = d.join(below(d, brands).select("host"), "host", "left_anti").join(exempt.select("host").distinct().hint("merge"), "host", "left_anti")
+    d = dealt(written(computed(d, label=h.registrable_label(F.col("host"))), "brand-hosts"), HOSTS_A_TASK, "host")
     parts = F.split("label", "-")
     keys = F.flatten(F.array(
         _keyed("part", F.when(F.size(parts) > 1, F.transform(parts, h.visual_fold)).otherwise(F.array().cast("array<string>"))),
@@ -183,7 +188,7 @@ def brand_imitations(hosts: DataFrame, brands: DataFrame, exempt: DataFrame) ->
     fold = h.visual_fold(F.col("brand"))
     b_keys = F.flatten(F.array(_one("part", fold), _one("fold", fold), _keyed("typo", edits.keys(F.col("brand"), h.max_edits(F.length("brand")), 2))))
     b = b.select("ord", "official", "brand", F.explode(b_keys).alias("k")).select("ord", "official", "brand", "k.*")
-    hit = c.join(b, ["kind", "key"]).where("label <> brand")
+    hit = c.join(F.broadcast(b), ["kind", "key"]).where("label <> brand")
     near = (F.levenshtein("label", "brand") <= h.max_edits(F.length("brand"))) & (F.left("label", F.lit(1)) == F.left("brand", F.lit(1)))
     hit = hit.where((F.col("kind") != "typo") | near).withColumn("code", F.when(F.col("kind") == "part", "URL-02").otherwise("URL-01"))
     first = hit.groupBy("host").agg(F.min_by(F.struct("code", "official"), F.struct("ord", F.when(F.col("code") == "URL-02", 0).otherwise(1))).alias("x"))
@@ -212,9 +217,9 @@ def homoglyphs(messages: DataFrame, registry: DataFrame, brands: DataFrame) -> D
     owned = below(spots, registry.select(F.col("official").alias("domain"))).select("host", F.lit(0).alias("rank"), F.lit(0).alias("ord"), F.col("domain").alias("official"))
     tokens = registry.select("ord", "official", F.explode("tokens").alias("part"))
     parts = spots.select("host", F.explode(F.flatten(F.transform(F.split("host", r"\."), lambda x: F.split(x, "-")))).alias("part"))
-    named = parts.join(tokens, "part").select("host", F.lit(1).alias("rank"), "ord", "official")
+    named = parts.join(F.broadcast(tokens), "part").select("host", F.lit(1).alias("rank"), "ord", "official")
     branded = below(spots, brands).select("host", F.lit(2).alias("rank"), F.lit(0).alias("ord"), F.col("domain").alias("official"))
     target = owned.unionAll(named).unionAll(branded).groupBy(F.col("host").alias("skeleton")).agg(F.min_by("official", F.struct("rank", "ord")).alias("official"))
-    out = found.withColumn("plain_host", h.normal_host(F.col("host"))).join(skel.withColumnRenamed("host", "plain_host"), "plain_host").join(target, "skeleton", "left")
+    out = found.withColumn("plain_host", h.normal_host(F.col("host"))).join(skel.withColumnRenamed("host", "plain_host").hint("merge"), "plain_host").join(target.hint("merge"), "skeleton", "left")
     return out.select("msg_id", F.col("place").cast("long").alias("place"), F.lit("URL-04").alias("code"), "host", "evidence", "skeleton", "official")
 

@@ -111,8 +111,8 @@ def contradictions(messages: DataFrame, links: DataFrame, registry: list[Institu
     _, official = registry_frames(spark, registry)
     said = messages.where("claim IS NOT NULL").select("msg_id", "claim", "text")
     hosts = links.select("host").distinct().withColumn("domain", F.explode(h.host_suffixes(F.col("host"))))
-    owned = hosts.join(official, "domain").groupBy("host").agg(F.collect_set("ord").alias("owners"))
-    pairs = links.where(~F.col("host").isin(h.SHORTENERS)).join(said.select("msg_id", "claim"), "msg_id").join(owned, "host", "left")
+    owned = hosts.join(F.broadcast(official), "domain").groupBy("host").agg(F.collect_set("ord").alias("owners"))
+    pairs = links.where(~F.col("host").isin(h.SHORTENERS)).join(said.select("msg_id", "claim").hint("merge"), "msg_id").join(owned.hint("merge"), "host", "left")
     off = pairs.where(~F.coalesce(F.array_contains("owners", F.col("claim")), F.lit(False)))
     one = off.groupBy("msg_id").agg(F.min_by(F.struct("host", "url"), "ord").alias("x")).select("msg_id", F.lit(0).alias("place"), F.lit("ID-01").alias("code"), "x.host", F.col("x.url").alias("evidence"))
     paid = said.withColumn("to", beneficiary(F.col("text"))).where(F.col("to").isNotNull() & ~refers_to(F.col("to"), F.col("claim"), registry))
@@ -138,4 +138,4 @@ def reported_senders(senders: DataFrame, reports: DataFrame) -> DataFrame:
     so a sender with very many costs one row.
     """
     counts = reports.select(t.sender_key(F.col("sender")).alias("key")).where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("reports")).where(F.col("reports") >= MIN_REPORTS)
-    return senders.select("msg_id", F.col("sender").alias("evidence"), t.sender_key(F.col("sender")).alias("key")).join(counts, "key").select("msg_id", "evidence", "reports")
+    return senders.select("msg_id", F.col("sender").alias("evidence"), t.sender_key(F.col("sender")).alias("key")).join(counts.hint("merge"), "key").select("msg_id", "evidence", "reports")

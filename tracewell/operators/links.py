@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import hosts as h
 from tracewell.operators import domains, edits
-from tracewell.sources.scratch import written
+from tracewell.sources.scratch import dealt, written
 
 #: A link with a scheme, or a bare domain that nothing precedes which would make it part of a word or address.
 _SCHEME, _BARE = r"https?://[^\s<>\"'()]+", r"(?:www\.)?(?:[a-z0-9-]+\.)+[a-z]{2,10}(?:/[^\s<>\"'()]*)?"
@@ -34,9 +34,9 @@ def registry_frame(spark: SparkSession, rows: list[tuple[int, str, str, list[str
 
 def typos(labels: DataFrame, official: DataFrame) -> DataFrame:
     """Labels within the allowed edits of an official one, by a deletion neighbourhood: label, official_label. Both tables have ``label``."""
-    ours = labels.select("label").distinct().withColumn("key", F.explode(edits.all_keys(F.col("label"), h.EDIT_LENGTHS)))
+    ours = dealt(written(labels.select("label").distinct(), "labels"), domains.HOSTS_A_TASK, "label").withColumn("key", F.explode(edits.all_keys(F.col("label"), h.EDIT_LENGTHS)))
     theirs = official.select(F.col("label").alias("official_label")).distinct().withColumn("key", F.explode(edits.keys(F.col("official_label"), h.max_edits(F.length("official_label")), 2)))
-    pairs = written(ours.join(theirs, "key").select("label", "official_label").distinct(), "typos")
+    pairs = written(ours.join(F.broadcast(theirs), "key").select("label", "official_label").distinct(), "typos")
     return pairs.where(F.levenshtein("label", "official_label") <= h.max_edits(F.length("official_label")))
 
 
@@ -53,28 +53,29 @@ def imitations(links: DataFrame, registry: DataFrame, brands: DataFrame | None =
     """
     spots = links.select("host", "path").distinct()
     reg = registry.select(F.col("ord").alias("reg_ord"), "official", "tokens", h.registrable_label(F.col("official")).alias("label"))
-    known = registry.select(F.col("official").alias("suffix"))
+    # Registries are broadcast; what grows with the links never is.
+    reg, known = F.broadcast(reg), F.broadcast(registry.select(F.col("official").alias("suffix")))
     parents = spots.select("host", F.explode(h.host_suffixes(F.col("host"))).alias("suffix")).join(known, "suffix").select("host").distinct()
-    spots = spots.join(parents, "host", "left_anti").where(~F.col("host").isin(h.SHORTENERS))
+    spots = spots.join(parents.hint("merge"), "host", "left_anti").where(~F.col("host").isin(h.SHORTENERS))
     # Seven branches read this.
     spots = written(spots.withColumn("label", h.registrable_label(F.col("host"))).withColumn("subs", h.subdomains(F.col("host"))), "spots")
-    tokens = registry.select(F.col("ord").alias("reg_ord"), "official", F.explode("tokens").alias("part"))
+    tokens = F.broadcast(registry.select(F.col("ord").alias("reg_ord"), "official", F.explode("tokens").alias("part")))
     hit = lambda df, rank, code: df.select("host", "path", F.lit(rank).alias("rank"), "reg_ord", F.lit(code).alias("code"), "official")
     in_label = hit(spots.select("host", "path", F.explode(F.split("label", "-")).alias("part")).join(tokens, "part"), 1, "URL-02")
-    near = hit(spots.join(typos(spots, reg), "label").join(reg.select("reg_ord", "official", F.col("label").alias("official_label")), "official_label"), 2, "URL-01")
+    near = hit(spots.join(typos(spots, reg).hint("merge"), "label").join(reg.select("reg_ord", "official", F.col("label").alias("official_label")), "official_label"), 2, "URL-01")
     folded = spots.withColumn("fold", h.visual_fold(F.col("label"))).join(reg.select("reg_ord", "official", F.col("label").alias("official_label"), h.visual_fold(F.col("label")).alias("fold")), "fold")
     folded = hit(folded.where("label <> official_label"), 2, "URL-01")
     around = F.array_distinct(F.concat(F.flatten(F.transform("subs", lambda s: F.split(s, "-"))), F.split(F.lower("path"), r"[/\-_.?=&]+")))
-    named = spots if trusted is None else spots.join(trusted.select("host").distinct(), "host", "left_anti")
+    named = spots if trusted is None else spots.join(trusted.select("host").distinct().hint("merge"), "host", "left_anti")
     elsewhere = hit(named.select("host", "path", F.explode(around).alias("part")).where("part <> ''").join(tokens, "part"), 4, "URL-03")
     found = in_label.unionAll(near).unionAll(folded).unionAll(elsewhere)
     if brands is not None:
         none = spots.select("host").where("false")
         copies = written(domains.brand_imitations(spots.select("host"), brands, none if trusted is None else trusted), "brands")
-        found = found.unionAll(spots.select("host", "path").join(copies, "host").select("host", "path", F.lit(3), F.lit(0), "code", "official"))
+        found = found.unionAll(spots.select("host", "path").join(copies.hint("merge"), "host").select("host", "path", F.lit(3), F.lit(0), "code", "official"))
     first = Window.partitionBy("host", "path").orderBy("rank", "reg_ord")
     best = found.withColumn("turn", F.row_number().over(first)).where("turn = 1").select("host", "path", "code", "official")
-    return links.join(best, ["host", "path"]).select("msg_id", "ord", "host", "code", "official")
+    return links.join(best.hint("merge"), ["host", "path"]).select("msg_id", "ord", "host", "code", "official")
 
 
 #: A call to act: verify, log in, update, claim or pay. Fixed value.
@@ -87,9 +88,9 @@ def unofficial_calls(messages: DataFrame, links: DataFrame, official: DataFrame,
     ``official`` has domain, ``trusted`` host; ``messages`` may have
     page_host, the host of the page that the text was read from.
     """
-    out = links.join(domains.below(links, official).select("host"), "host", "left_anti").join(trusted.select("host").distinct(), "host", "left_anti")
+    out = links.join(domains.below(links, official).select("host"), "host", "left_anti").join(trusted.select("host").distinct().hint("merge"), "host", "left_anti")
     calls = messages.where(F.rlike("text", F.lit(CALL))).select("msg_id", F.regexp_extract("text", CALL, 0).alias("evidence"), *(["page_host"] if "page_host" in messages.columns else []))
-    both = out.join(calls, "msg_id")
+    both = out.join(calls.hint("merge"), "msg_id")
     if "page_host" in messages.columns:
         both = both.where(~h.same_site(F.col("host"), F.col("page_host")))
     return both.groupBy("msg_id").agg(F.min_by("host", "ord").alias("host"), F.first("evidence").alias("evidence"))
@@ -118,7 +119,7 @@ def threat_hits(links: DataFrame, listed: DataFrame, shared: DataFrame | None =
         on = on.where("NOT many OR l_path NOT IN ('', '/')").select("l_host", F.when(F.col("many"), F.col("l_path")).otherwise("").alias("l_path")).distinct()
     if official is not None:
         links = links.join(domains.below(links, official).select("host"), "host", "left_anti")
-    return links.join(on, F.col("host") == F.col("l_host")).where(below).select("msg_id", "ord", "host", F.col("l_path").alias("listed_path"))
+    return links.join(on.hint("merge"), F.col("host") == F.col("l_host")).where(below).select("msg_id", "ord", "host", F.col("l_path").alias("listed_path"))
 
 
 def slug(text: Column) -> Column:

@@ -12,7 +12,7 @@ from tracewell.plans.ruleset import VERSIONS, ruleset
 from tracewell.queries.detection import label_sql
 from tracewell.queries.scoring import ctes, score_sql
 from tracewell.sources import messages as src
-from tracewell.sources.scratch import written
+from tracewell.sources.scratch import dealt, written
 
 TEMPLATES = [
     "Dear North Bank client, verify your account at https://northbank.com.login-check.top/{u}",
@@ -68,6 +68,7 @@ def message_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
     """Messages with their claim, and the outputs of all detectors that need no phrase rules."""
     m = src.messages(spark, sf_dir, TEMPLATES)
     m = written(m.select("msg_id", "user_id", "text", identity.claimed(F.col("text"), REGISTRY).alias("claim")), "messages")
+    m = dealt(m, src.EVENTS_A_TASK, "msg_id")
     found = written(links.extract_links(m), "links")
     first, official = identity.registry_frames(spark, REGISTRY)
     brands = spark.createDataFrame(list(enumerate(BRANDS)), "ord int, domain string")

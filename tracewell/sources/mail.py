@@ -6,15 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.operators.mail import Organisation
-from tracewell.sources.messages import sql_list
+from tracewell.sources.messages import EVENTS_A_TASK, sql_list
 from tracewell.sources.scratch import dealt
 
 ORGANISATION = Organisation("Aspen Group", ["aspen.mu"], ["aspen"], [("Jane Doe", "executive", ["jane.doe@aspen.mu"]), ("Ravi Patel", "employee", ["ravi@aspen.mu"])], [("finance", ["accounts team", "finance desk"], ["accounts@aspen.mu"]), ("it", ["it helpdesk"], ["helpdesk@aspen.mu"])])
 FROM_NAMES = ["{s}", "Accounts Team", "Doe Jane", "", "billing@{d}", "North Bank support", "CEO office"]
 SUBJECTS = ["Invoice from {s}", "Hello", "Payment of {s} and others", "Re: meeting", "Your order"]
 BODIES = ["Please pay account number 55512{n} today", "Beneficiary: {s}\nThanks", "See you tomorrow", "Compte se terminant par {a}, merci", "Payee: Someone Else\n****{a}"]
-#: Events of which one task makes emails.
-EVENTS_A_TASK = 50_000
 #: Suppliers that are broadcast to the events.
 MOST_BROADCAST = 10_000
 FILES = [("invoice.pdf.exe", "application/pdf"), ("terms.pdf", "text/html"), ("photo.jpg", "image/jpeg"), ("setup.msi", "application/octet-stream")]

@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.sources.scratch import dealt
+
+#: Events of which one task makes messages: patterns over them take longer than their bytes tell.
+EVENTS_A_TASK = 50_000
 #: {u} is the user, {n} the event number, {a} a whole amount.
 TEMPLATES = [
     "URGENT: your account will be blocked, verify at https://secure-northbank.top/login?u={u} within 24 hours",
@@ -60,7 +64,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str, templates: list[str] = TEMPLATES) -> DataFrame:
     """msg_id, user_id, ts, text: one message an event."""
-    e = _events(spark, sf_dir)
+    e = dealt(_events(spark, sf_dir), EVENTS_A_TASK, "event_id")
     text = pick(templates, F.col("event_id"))
     for mark, value in (("{u}", F.col("user_id")), ("{n}", F.col("event_id")), ("{a}", F.floor("value").cast("long"))):
         text = F.replace(text, F.lit(mark), value.cast("string"))
