@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import domains, mail
 from tracewell.plans import pipeline, scoring
 from tracewell.plans.ruleset import ruleset
+from tracewell.queries import organisation
 from tracewell.sources import messages, scratch
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +57,9 @@ def test_registries_in_memory_are_the_broadcast_side(spark):
     found = domains.below(hosts, listed)
     assert "rightHint=(strategy=broadcast)" in found._jdf.queryExecution().analyzed().toString() or "BuildRight" in _plan(found)
     assert [tuple(r) for r in found.collect()] == [("a.b.com", "b.com")]
+
+
+def test_lines_are_grouped_by_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(organisation, "ROWS_A_TASK", 1000)
+    found = organisation.indicators(spark, SF)
+    assert "REPARTITION_BY_NUM" in _plan(found) and "BroadcastExchange" not in _plan(found)

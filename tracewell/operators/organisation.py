@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators.ranking import numbered
+from tracewell.sources.scratch import written
 
 # Fixed values of the campaign rules.
 WINDOW_DAYS = 14
@@ -68,14 +69,15 @@ def confirmed_fraud(emails: DataFrame, indicators: DataFrame, labels: DataFrame)
     that analysts confirmed as fraud. Counts per key come from aggregates, so
     emails are never paired.
     """
-    fraud = labels.where(F.col("label").isin(FRAUD)).select("input_hash", F.lit(1).alias("f"))
+    # Both are read several times below.
+    fraud = written(labels.where(F.col("label").isin(FRAUD)).select("input_hash", F.lit(1).alias("f")), "fraud").hint("merge")
     e = emails.select("input_hash", "sender", "sender_domain").distinct().join(fraud, "input_hash", "left").fillna(0, ["f"])
     by_sender = e.groupBy("sender").agg(F.sum("f").alias("by_sender"))
     by_domain = e.groupBy("sender_domain").agg(F.sum("f").alias("by_domain"))
-    ind = indicators.where(~F.startswith("indicator", F.lit("sender_"))).select("input_hash", "indicator").distinct().join(fraud, "input_hash", "left").fillna(0, ["f"])
+    ind = written(indicators.where(~F.startswith("indicator", F.lit("sender_"))).select("input_hash", "indicator").distinct().join(fraud, "input_hash", "left").fillna(0, ["f"]), "indicators")
     by_ind = ind.groupBy("indicator").agg(F.sum("f").alias("n"))
     best = ind.join(by_ind, "indicator").groupBy("input_hash").agg(F.max(F.col("n") - F.col("f")).alias("by_indicator"))
-    t = e.join(by_sender, "sender").join(by_domain, "sender_domain").join(best, "input_hash", "left")
+    t = e.join(by_sender.hint("merge"), "sender").join(by_domain, "sender_domain").join(best.hint("merge"), "input_hash", "left")
     s, d, i = F.col("by_sender") - F.col("f"), F.col("by_domain") - F.col("f"), F.coalesce("by_indicator", F.lit(0))
     t = t.select("input_hash", F.when(s > 0, "sender").when(i > 0, "indicator").when(d > 0, "domain").alias("basis"), F.when(s > 0, s).when(i > 0, i).otherwise(d).cast("long").alias("n"))
     return t.where("basis IS NOT NULL")

@@ -6,23 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.operators import organisation as ops
+from tracewell.sources.scratch import dealt
 
 LABELS = ["confirmed_fraud", "legitimate", "suspicious_unconfirmed", "false_positive", "confirmed_phishing", "insufficient_evidence"]
 SINCE = "1998-06-01 00:00:00"
+#: Rows of orders and their lines that one task groups.
+ROWS_A_TASK = 100_000
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines dealt out by their order, so that groups of an order's lines need no further exchange and a task holds as many at any size."""
+    return dealt(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"), ROWS_A_TASK, "l_orderkey")
 
 
 def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, k, c = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderkey"), F.col("o_custkey")
+    o, k, c = dealt(spark.read.parquet(f"{sf_dir}/orders.parquet"), ROWS_A_TASK, "o_orderkey"), F.col("o_orderkey"), F.col("o_custkey")
     return o.select(k.alias("input_hash"), c.alias("sender"), (c % 50).alias("sender_domain"), (k % 97).alias("recipient"), F.col("o_orderdate").alias("created_at"), (F.col("o_orderstatus") != "O").alias("flagged"))
 
 
 def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("input_hash"), F.concat(F.when(F.col("l_linenumber") % 2 == 0, "link:").otherwise("template:"), F.col("l_suppkey").cast("string")).alias("indicator")).distinct()
-    return li.join(emails(spark, sf_dir), "input_hash")
+    li = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("input_hash"), F.concat(F.when(F.col("l_linenumber") % 2 == 0, "link:").otherwise("template:"), F.col("l_suppkey").cast("string")).alias("indicator")).distinct()
+    return li.join(emails(spark, sf_dir).hint("merge"), "input_hash")
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    li = _lines(spark, sf_dir)
     label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), (F.col("l_partkey") % len(LABELS) + 1).cast("int"))
     return li.select(F.col("l_orderkey").alias("input_hash"), (F.col("l_suppkey") % 7).alias("analyst"), label.alias("label"), F.col("l_shipdate").alias("created_at"))
 
