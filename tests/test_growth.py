@@ -63,3 +63,10 @@ def test_lines_are_grouped_by_bounded_tasks(spark, monkeypatch):
     monkeypatch.setattr(organisation, "ROWS_A_TASK", 1000)
     found = organisation.indicators(spark, SF)
     assert "REPARTITION_BY_NUM" in _plan(found) and "BroadcastExchange" not in _plan(found)
+
+
+def test_what_makes_hosts_runs_once(spark):
+    hosts = spark.range(3).select(F.concat(F.lit("WWW.h"), F.col("id").cast("string"), F.lit(".com.")).alias("host"))
+    found = domains.host_forms(hosts)
+    assert "Range" not in _plan(found)
+    assert sorted(r["host"] for r in found.collect()) == ["h0.com", "h1.com", "h2.com"]

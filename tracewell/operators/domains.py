@@ -52,8 +52,10 @@ def host_forms(hosts: DataFrame) -> DataFrame:
     """Distinct ``host`` values with unicode (xn-- labels decoded), compat (NFKC) and plain (NFKD without marks).
 
     Only hosts that are encoded or not ASCII leave the JVM, in Arrow batches.
+    Both kinds read the hosts from a table, so what makes them runs once.
     """
-    d = hosts.select("host").distinct().select(h.normal_host(F.col("host")).alias("host")).where("host IS NOT NULL AND host <> ''").distinct()
+    d = computed(hosts.select("host").distinct(), normal=h.normal_host(F.col("host")))
+    d = written(d.select(F.col("normal").alias("host")).where("host IS NOT NULL AND host <> ''").distinct(), "plain-hosts")
     odd = F.rlike("host", F.lit(r"[^\x00-\x7f]|(^|\.)xn--"))
     usual = d.where(~odd).select("host", F.col("host").alias("unicode"), F.col("host").alias("compat"), F.col("host").alias("plain"))
     return usual.unionAll(d.where(odd).mapInPandas(_forms, _FORMS))
