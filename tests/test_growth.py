@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import domains, mail
+from tracewell.operators import domains, indicators, mail
 from tracewell.plans import pipeline, scoring
 from tracewell.plans.ruleset import ruleset
 from tracewell.queries import organisation
+from tracewell.queries.pipeline import REGISTRY
+from tracewell.sources import mail as source_mail
 from tracewell.sources import messages, scratch
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +72,9 @@ def test_what_makes_hosts_runs_once(spark):
     found = domains.host_forms(hosts)
     assert "Range" not in _plan(found)
     assert sorted(r["host"] for r in found.collect()) == ["h0.com", "h1.com", "h2.com"]
+
+
+def test_indicators_broadcast_nothing_that_grows(spark):
+    e = source_mail.emails(spark, SF)
+    found = indicators.indicators(e, source_mail.suppliers(spark, SF), source_mail.ORGANISATION, REGISTRY, "secret")
+    assert "BroadcastExchange" not in _plan(found)

@@ -9,7 +9,7 @@ from tracewell.functions import hosts as h
 from tracewell.functions import keyed
 from tracewell.operators import community, domains, links, mail
 from tracewell.operators.identity import Institution, name_tokens, registry_frames
-from tracewell.sources.scratch import written
+from tracewell.sources.scratch import dealt, written
 
 # Results depend on them.
 MAX_INDICATORS = 20
@@ -39,16 +39,18 @@ def indicators(emails: DataFrame, suppliers: DataFrame, org: mail.Organisation,
     other senders as their site. Accounts on any supplier's record and payees
     that share a word with any known beneficiary are no indicators; both are
     looked up by equal keys, so suppliers may be many. A value counts once a
-    type and email.
+    type and email. Every kind reads the emails, which are written once; what
+    they are looked up in grows with hosts or suppliers and isn't broadcast.
     """
     e = emails.select("msg_id", "text", "reply_to", "attachments", "pay_recipient", "pay_last4", F.lower("from_address").alias("address"), mail.domain_of(F.col("from_address")).alias("domain"))
+    e = dealt(written(e, "indicator-mail"), mail.EMAILS_A_TASK, "msg_id")
     box = e.where("domain IS NOT NULL").select("msg_id", F.lit("sender").alias("kind"), F.lit(0).alias("k"), "address", F.col("domain").alias("host"))
     reply = e.select("msg_id", "domain", F.posexplode("reply_to").alias("k", "r")).select("msg_id", F.lit("reply").alias("kind"), "k", F.lower(F.trim("r")).alias("address"), mail.domain_of(F.col("r")).alias("host"), "domain").where("host IS NOT NULL")
     reply = reply.where(domains_differ(F.col("host"), F.col("domain"))).drop("domain")
     link = links.extract_links(e.select("msg_id", "text")).select("msg_id", F.lit("link").alias("kind"), F.col("ord").cast("int").alias("k"), F.lit(None).cast("string").alias("address"), "host")
     hosted = written(box.unionByName(reply).unionByName(link), "indicator-hosts")
-    generic = written(generic_domains(hosted.select("host").distinct(), suppliers, org, registry), "generic")
-    hosted = hosted.join(generic, "host", "left_anti")
+    generic = written(generic_domains(written(hosted.select("host").distinct(), "indicator-sites"), suppliers, org, registry), "generic")
+    hosted = hosted.join(generic.hint("merge"), "host", "left_anti")
     personal = (F.col("kind") != "link") & mail.freemail(F.col("host"))
     site = h.registrable_domain(F.col("host"))
     value = F.when(personal, keyed.pseudonym(F.lit(secret), F.lit(org.domains[0]), F.col("address"))).otherwise(site)
@@ -56,12 +58,12 @@ def indicators(emails: DataFrame, suppliers: DataFrame, org: mail.Organisation,
     out = hosted.select("msg_id", F.array_position(F.array(*[F.lit(x) for x in KINDS]), F.col("kind")).cast("int").alias("rank"), "k", kind.alias("type"), value.alias("value"), F.when(personal, masked(F.col("address"))).otherwise(site).alias("display"))
     row = lambda df, name, value, display: df.select("msg_id", F.lit(KINDS.index(name) + 1).alias("rank"), "k", F.lit(name).alias("type"), value.alias("value"), display.alias("display"))
     asked = F.array_distinct(F.concat(mail.account_ends(F.col("text")), F.when(F.col("pay_last4").isNotNull(), F.array("pay_last4")).otherwise(F.array().cast("array<string>"))))
-    accounts = e.select("msg_id", F.posexplode(asked).alias("k", "v")).join(suppliers.select(F.explode("accounts").alias("v")).distinct(), "v", "left_anti")
+    accounts = e.select("msg_id", F.posexplode(asked).alias("k", "v")).join(suppliers.select(F.explode("accounts").alias("v")).distinct().hint("merge"), "v", "left_anti")
     out = out.unionAll(row(accounts, "account", F.col("v"), F.concat(F.lit("****"), "v")))
     paid = e.select("msg_id", F.lit(0).alias("k"), F.coalesce("pay_recipient", mail.payee(F.col("text"))).alias("v")).where("v IS NOT NULL").withColumn("t", name_tokens(F.col("v"))).where(F.size("t") > 0)
     words = suppliers.select(F.explode("beneficiaries").alias("b")).select(F.explode(name_tokens(F.col("b"))).alias("w")).distinct()
-    met = paid.select("msg_id", F.explode("t").alias("w")).join(words, "w", "left_semi").select("msg_id").distinct()
-    out = out.unionAll(row(paid.join(met, "msg_id", "left_anti"), "payee", mail.key(F.col("v")), F.col("v")))
+    met = paid.select("msg_id", F.explode("t").alias("w")).join(words.hint("merge"), "w", "left_semi").select("msg_id").distinct()
+    out = out.unionAll(row(paid.join(met.hint("merge"), "msg_id", "left_anti"), "payee", mail.key(F.col("v")), F.col("v")))
     risky = F.filter(F.coalesce("attachments", F.array().cast("array<struct<name:string,type:string>>")), lambda a: mail.attachment_risk(a["name"], a["type"]).isNotNull())
     hidden = F.filter(risky, lambda a: mail.attachment_risk(a["name"], a["type"]) != "risky_type")
     files = e.select("msg_id", F.lit(0).alias("k"), F.lower(F.coalesce(F.get(hidden, F.lit(0)), F.get(risky, F.lit(0)))["name"]).alias("v")).where("v IS NOT NULL")
