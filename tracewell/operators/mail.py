@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import hosts as h
-from tracewell.operators import containment, domains
+from tracewell.operators import containment, domains, offsets
 from tracewell.operators.identity import Institution, claimed, names_match
 from tracewell.sources.scratch import dealt, written
 
@@ -112,16 +112,20 @@ def thread_changes(emails: DataFrame) -> DataFrame:
     # Read some ten times below.
     e = written(e.where("domain IS NOT NULL").withColumn("site", h.registrable_domain(F.col("domain"))), "thread-mail")
     # Every side below grows with the mail, and its files are far smaller than its rows: none is broadcast.
-    first = lambda *by: e.groupBy("thread", *by).agg(F.min("at").alias("since")).hint("merge")
+    # What is joined is written first, so that no plan holds all of it, which the driver would plan anew after each shuffle.
+    first = lambda *by: written(e.groupBy("thread", *by).agg(F.min("at").alias("since")), "thread-first").hint("merge")
+    by_site = first("site")
     new = e.join(first("address"), ["thread", "address"]).where("at = since").drop("since")
-    new = new.join(first("site"), ["thread", "site"]).where("at = since").drop("since")
+    new = written(new.join(by_site, ["thread", "site"]).where("at = since").drop("since"), "thread-new")
     alike = domains.relations(e.select(F.col("domain").alias("host")), e.select("domain"))
     alike = written(alike.where(domains.compared(F.col("relation")) == "lookalike").select(F.col("host").alias("domain"), F.col("trusted").alias("previous")), "alike").hint("merge")
     imitated = new.join(alike, "domain").join(first("domain").withColumnRenamed("domain", "previous"), ["thread", "previous"]).where("since < at").groupBy("msg_id").agg(F.min_by("previous", "since").alias("imitated"))
-    named = e.where("name IS NOT NULL").groupBy("thread", "name").agg(F.min("at").alias("since"), F.min_by("domain", "at").alias("same_name"))
-    sites = first("site").groupBy("thread").agg(F.min("since").alias("one_since"), F.min_by("site", "since").alias("one"))
-    second = first("site").join(sites, "thread").where("since > one_since").groupBy("thread").agg(F.min("since").alias("two_since"))
-    new = new.join(imitated.hint("merge"), "msg_id", "left").join(named.hint("merge"), ["thread", "name"], "left").join(sites.hint("merge"), "thread").join(second.hint("merge"), "thread", "left").where("one_since < at")
+    imitated = written(imitated, "thread-imitated")
+    named = written(e.where("name IS NOT NULL").groupBy("thread", "name").agg(F.min("at").alias("since"), F.min_by("domain", "at").alias("same_name")), "thread-named")
+    sites = written(by_site.groupBy("thread").agg(F.min("since").alias("one_since"), F.min_by("site", "since").alias("one")), "thread-sites")
+    second = by_site.join(sites.hint("merge"), "thread").where("since > one_since").groupBy("thread").agg(F.min("since").alias("two_since"))
+    sites = written(sites.join(second.hint("merge"), "thread", "left"), "thread-sites")
+    new = new.join(imitated.hint("merge"), "msg_id", "left").join(named.hint("merge"), ["thread", "name"], "left").join(sites.hint("merge"), "thread").where("one_since < at")
     by_name = F.when(F.col("since") < F.col("at"), F.col("same_name"))
     only = F.when(F.col("two_since").isNull() | (F.col("two_since") >= F.col("at")), F.col("one"))
     variant = F.when(F.col("imitated").isNotNull(), "lookalike").when(by_name.isNotNull(), "same_name_new_domain").when(only.isNotNull(), "different_domain")
@@ -180,7 +184,7 @@ def prepared(emails: DataFrame, suppliers: DataFrame, org: Organisation) -> Data
     best = written(pairs.groupBy("domain", "supplier_id").agg(F.bool_or(F.col("compared").isin("same", "sibling")).alias("owns"), F.bool_or(F.col("compared") == "lookalike").alias("imitates"), F.bool_or(F.col("relation") == "brand_embedded").alias("embeds")), "mail-suppliers").hint("merge")
     sender = best.groupBy("domain").agg(F.min(F.when(F.col("owns"), F.col("supplier_id"))).alias("own_id"), F.min(F.when(F.col("imitates"), F.col("supplier_id"))).alias("like_id"))
     names = suppliers.select(F.col("supplier_id").alias("name_id"), "name")
-    named = lambda column, out: written(containment.names_in(e.select(F.col("msg_id").alias("text_id"), F.col(column).alias("text")), names).groupBy(F.col("text_id").alias("msg_id")).agg(F.min("name_id").alias(out)), out).hint("merge")
+    named = lambda column, out: written(containment.names_in(emails.select(F.col("msg_id").alias("text_id"), F.col(column).alias("text")), names).groupBy(F.col("text_id").alias("msg_id")).agg(F.min("name_id").alias(out)), out).hint("merge")
     e = e.join(sender, "domain", "left").join(named("from_name", "name_id"), "msg_id", "left").join(named("subject", "subject_id"), "msg_id", "left")
     said = F.coalesce("name_id", F.when(~F.col("internal"), F.col("subject_id")), F.when(F.col("own_id").isNull(), F.col("like_id")))
     e = e.withColumn("claimed_supplier", said).withColumn("supplier_id", F.coalesce("claimed_supplier", "own_id")).drop("own_id", "like_id", "name_id", "subject_id")
@@ -198,49 +202,53 @@ def signals(emails: DataFrame, suppliers: DataFrame, org: Organisation, registry
     e = prepared(emails, suppliers, org).join(financial.select("msg_id", F.lit(True).alias("asks")).distinct().hint("merge"), "msg_id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
     e = dealt(written(e, "mail"), EMAILS_A_TASK, "msg_id")
     domain, s = F.col("domain"), F.col("supplier")
+    # Columns that several rules read are computed once a row; else each rule, and the plan, would hold a copy.
+    rows = offsets.computed(e, _bank=claimed(F.coalesce("from_name", F.lit("")), registry), _free=freemail(domain), _key=key(F.col("from_name")), _words=containment.name_words(F.col("from_name")), _shown=F.lower(F.regexp_extract(F.coalesce("from_name", F.lit("")), EMBEDDED_ADDRESS, 1)))
     row = lambda place, code, when, variant=None, host=None, evidence=None: F.when(when, F.struct(F.lit(place).alias("place"), F.lit(code).alias("code"), F.lit(variant).cast("string").alias("variant") if variant is None or isinstance(variant, str) else variant.alias("variant"), (F.lit(None).cast("string") if host is None else host).alias("host"), (F.lit(None).cast("string") if evidence is None else evidence).alias("evidence")))
     address = F.lower("from_address")
     # EMAIL-02: a known supplier's name, not its domain.
     mismatch = F.col("claimed_supplier").isNotNull() & domain.isNotNull() & ~F.col("owned") & ~F.col("internal")
-    two = F.when(F.col("imitates"), "lookalike").when(F.col("embeds"), "brand_embedded").when(freemail(domain), "freemail").otherwise("unrelated")
+    two = F.when(F.col("imitates"), "lookalike").when(F.col("embeds"), "brand_embedded").when(F.col("_free"), "freemail").otherwise("unrelated")
     failed = authentication(F.col("spf"), F.col("dkim"), F.col("dmarc"), F.col("owned") | F.col("internal"))
     risks = F.transform(F.coalesce("attachments", F.array().cast("array<struct<name:string,type:string>>")), lambda a: F.struct(F.array_position(F.array(F.lit("risky_type"), F.lit("type_mismatch"), F.lit("double_extension")), attachment_risk(a["name"], a["type"])).alias("r"), attachment_risk(a["name"], a["type"]).alias("v"), a["name"].alias("n")))
     # Types that disguise themselves are equally bad; the first of the worst counts.
-    bad = F.filter(risks, lambda x: x["r"] > 0)
+    bad = F.col("_bad")
     worst = F.coalesce(F.get(F.filter(bad, lambda x: x["r"] > 1), F.lit(0)), F.get(bad, F.lit(0)))
     asked = F.array_distinct(F.concat(account_ends(F.col("text")), F.when(F.col("pay_last4").isNotNull(), F.array("pay_last4")).otherwise(F.array().cast("array<string>"))))
     changed = F.get(F.filter(asked, lambda x: ~F.array_contains(s["accounts"], x)), F.lit(0))
     to = F.coalesce("pay_recipient", payee(F.col("text")))
     people = [(" ".join(sorted(set(key_of(n).split()))), role, [a.lower() for a in addresses]) for n, role, addresses in org.people]
-    words = containment.name_words(F.col("from_name"))
+    words = F.col("_words")
     person = F.coalesce(F.lit(None).cast("struct<role:string,mine:boolean>"), *[F.when(F.size(F.array_except(F.array(*[F.lit(w) for w in k.split()]), words)) == 0, F.struct(F.lit(role).alias("role"), address.isin(addresses).alias("mine"))) for k, role, addresses in people if len(k.split()) >= 2])
-    impersonates = domain.isNotNull() & ~F.col("internal") & person.isNotNull() & ~person["mine"]
+    impersonates = domain.isNotNull() & ~F.col("internal") & F.col("_person").isNotNull() & ~F.col("_person.mine")
     org_like = F.coalesce((F.col("org_relation") == "lookalike") & (F.col("technique") != "brand_embedded"), F.lit(False))
-    shown = F.lower(F.regexp_extract(F.coalesce("from_name", F.lit("")), EMBEDDED_ADDRESS, 1))
-    bank = claimed(F.coalesce("from_name", F.lit("")), registry)
+    shown, bank = F.col("_shown"), F.col("_bank")
     theirs = F.lit(False)
     for i in registry:
         own = F.lit(False)
         for d in i.official:
             own = own | h.official(domain, F.lit(d))
         theirs = F.when(bank == i.ord, own).otherwise(theirs)
-    eight = F.when((shown != "") & (h.registrable_domain(shown) != h.registrable_domain(domain)), "embedded_address").when(bank.isNotNull() & ~theirs, "institution_name").when(F.rlike(F.coalesce("from_name", F.lit("")), F.lit(SENIOR_TITLE)) & freemail(domain), "title_on_freemail")
+    eight = F.when((shown != "") & (h.registrable_domain(shown) != h.registrable_domain(domain)), "embedded_address").when(bank.isNotNull() & ~theirs, "institution_name").when(F.rlike(F.coalesce("from_name", F.lit("")), F.lit(SENIOR_TITLE)) & F.col("_free"), "title_on_freemail")
     # ORG-01 and ORG-03: our own domain or functions, from outside.
     imitation = domain.isNotNull() & ~F.col("internal") & strong_imitation(domain, F.col("org_relation"), F.col("technique"), F.col("claims"))
-    by_name = _role(key(F.col("from_name")), [(f, key_of(label)) for f, labels, _ in org.roles for label in labels])
+    by_name = _role(F.col("_key"), [(f, key_of(label)) for f, labels, _ in org.roles for label in labels])
     local = F.substring_index(address, "@", 1)
     by_local = F.coalesce(F.lit(None).cast("string"), *[F.when(local.isin([a.lower().split("@")[0] for a in addresses]), f) for f, _, addresses in org.roles if addresses])
-    plausible = F.col("claims") | imitation | freemail(domain) | (by_local.isNotNull() & by_name.isNotNull())
+    rows = offsets.computed(rows, _bad=F.filter(risks, lambda x: x["r"] > 0), _changed=changed, _to=to, _person=person, _eight=eight, _imitation=imitation, _by_name=by_name, _by_local=by_local, _failed=failed)
+    rows = offsets.computed(rows, _worst=worst)
+    failed, worst, changed, to, eight, imitation, by_name, by_local = (F.col(c) for c in ("_failed", "_worst", "_changed", "_to", "_eight", "_imitation", "_by_name", "_by_local"))
+    plausible = F.col("claims") | imitation | F.col("_free") | (by_local.isNotNull() & by_name.isNotNull())
     role = domain.isNotNull() & ~F.col("internal") & F.coalesce(by_name, by_local).isNotNull() & ~F.col("owned") & plausible
     full = lambda c: F.size(F.coalesce(s[c], F.array().cast("array<string>"))) > 0
-    ladder = e.select("msg_id", F.inline(F.array_compact(F.array(
+    ladder = rows.select("msg_id", F.inline(F.array_compact(F.array(
         row(1, "EMAIL-02", mismatch, two, domain, address),
         row(3, "EMAIL-03", failed.isNotNull(), failed, None, F.concat_ws(" / ", "spf", "dkim", "dmarc")),
         row(5, "EMAIL-05", worst.isNotNull(), worst["v"], None, worst["n"]),
         row(6, "EMAIL-06", s.isNotNull() & full("accounts") & changed.isNotNull(), None, None, F.concat(F.lit("account ending "), changed)),
         row(7, "EMAIL-07", s.isNotNull() & full("beneficiaries") & to.isNotNull() & ~F.exists(s["beneficiaries"], lambda b: names_match(to, b, registry)), None, None, to),
         row(8, "EMAIL-10", F.col("asks") & F.col("owned") & full("addresses") & ~F.array_contains(s["addresses"], address), None, None, address),
-        row(9, "EMAIL-09", impersonates, F.when(person["role"] == "executive", "executive").otherwise("employee"), domain, address),
+        row(9, "EMAIL-09", impersonates, F.when(F.col("_person.role") == "executive", "executive").otherwise("employee"), domain, address),
         row(10, "EMAIL-08", domain.isNotNull() & F.col("from_name").isNotNull() & ~mismatch & ~impersonates & ~org_like & eight.isNotNull(), eight, domain, address),
         row(20, "ORG-01", imitation, F.col("technique"), domain, address),
         row(21, "ORG-03", role, F.coalesce(by_name, by_local), domain, address),
