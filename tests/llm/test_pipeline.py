@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
-from tracewell.llm import lattice, similar
+from tracewell.llm import lattice, similar, simhash
 from tracewell.llm.common import written
 
 
@@ -89,6 +89,15 @@ def test_near_dedup_by_brute_force(spark, docs, rows):
     assert {2, 56} & set(r["doc_id"] for r in stage(spark, spark.createDataFrame(sample, "doc_id long, text string"), "").collect()) != {2, 56}
 
 
+def test_near_dedup_groups_by_simhash(spark):
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(f"v{i}" for i in range(3000))]
+    sets = [similar.shingles_of(t) for t in texts]
+    nodes = [(similar.node_of(s), simhash.majority(s)) for s in sets]
+    got = similar.simhash_pairs(spark.createDataFrame(nodes, "node long, fp long")).collect()
+    assert [{r["a"], r["b"]} for r in got] == [{nodes[0][0], nodes[1][0]}]
+
+
 def test_run(spark):
     pieces = lattice.Pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()

@@ -36,7 +36,11 @@ def fingerprint_of(text: str | None, shingle: int = 3) -> int:
     else:
         grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(g, SEED) for g in grams], dtype="<u8")
+    return majority(np.array([digest(g, SEED) for g in grams], dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The signed 64-bit number whose bits are those that more than half of the hashes (little-endian) have; 0 of none."""
     planes = h.view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(planes[:, i], minlength=256) @ _BYTE_BITS for i in range(8)])
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])

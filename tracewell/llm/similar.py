@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands propose pairs, exact sets confirm them."""
+"""Near copies by the Jaccard similarity of word shingles: SimHash groups them, exact sets confirm them, MinHash bands propose what SimHash leaves apart."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import discard, mapped, small_side, written
 from tracewell.llm.components import connected_components
-from tracewell.llm.simhash import placed, row_key
+from tracewell.llm.simhash import majority, near_links, placed, row_key
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -49,11 +49,11 @@ def keys_of(shingles: np.ndarray) -> list[int]:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, k, text) to (id, k, node, keys)."""
+    """(id, k, text) to (id, k, node, fp, keys); fp is the SimHash of the set."""
     for batch in batches:
         sets = [shingles_of(x.as_py()) for x in batch.column(2)]
-        columns = [*batch.columns[:2], pa.array([node_of(s) for s in sets], pa.int64()), pa.array([keys_of(s) for s in sets], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "k", "node", "keys"])
+        columns = [*batch.columns[:2], pa.array([node_of(s) for s in sets], pa.int64()), pa.array([majority(s) for s in sets], pa.int64()), pa.array([keys_of(s) for s in sets], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "k", "node", "fp", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,6 +85,27 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return written(one.select("a", "b", "of_a", "of_b").transform(mapped, _confirmed(similarity), "a long, b long"), "similar-links")
 
 
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs a, b of sets (node, fp): each set of a SimHash group and the group's greatest, so one pair a set at most.
+
+    Groups are operator 5's, by covering LSH: links of at most three
+    differing bits, and what they reach.
+    """
+    fps = written(nodes.select("fp").distinct(), "simhash-nodes")
+    parts = connected_components(near_links(fps)).withColumnRenamed("node", "fp")
+    groups = written(nodes.join(parts, "fp", "left").select("node", F.coalesce("component", "fp").alias("part")), "similar-groups")
+    hubs = groups.groupBy("part").agg(F.max("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("part", "hub")
+    pairs = written(groups.join(hubs, "part").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")), "similar-twins")
+    discard(fps, groups)
+    return pairs
+
+
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs that ``parts`` (node, component) don't join yet."""
+    side = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("of_a IS NULL OR of_b IS NULL OR of_a <> of_b").select("a", "b")
+
+
 def _open(side: DataFrame) -> DataFrame:
     """The rows of the buckets (key) whose sets are in several parts."""
     mixed = side.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
@@ -135,9 +156,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of ``docs``: id, ``k``, ``fp`` (number of its shingle set), ``component_id``, ``part``, ``first``, as simhash.near_duplicates has them.
 
     Texts are linked if the Jaccard similarity of their sets of five-word
-    shingles is at least ``similarity``; texts without a word are alike. A
-    bucket holds the sets that agree in one band. All pairs of a small bucket
-    are compared. In larger ones each set is first compared with one hub;
+    shingles is at least ``similarity``; texts without a word are alike. Sets
+    are first compared within their SimHash group. Three bits reach close
+    copies only, so MinHash bands propose the rest, of which pairs that are
+    joined already are left out. A bucket holds the sets that agree in one
+    band. All pairs of a small bucket are compared. In larger ones each set is first compared with one hub;
     then only sets that no confirmed link joins yet, and that can have a link
     at all by an exact bound, are compared with each other. So nothing is
     dropped and a large group of copies costs its size. Null and blank texts
@@ -147,8 +170,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     texts = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = written(texts.transform(mapped, _signed, f"id {kind}, k long, node long, keys array<bigint>"), "similar-rows")
-    nodes = written(rows.groupBy("node").agg(F.min("k").alias("k"), F.first("keys").alias("keys")), "similar-nodes")
+    rows = written(texts.transform(mapped, _signed, f"id {kind}, k long, node long, fp long, keys array<bigint>"), "similar-rows")
+    nodes = written(rows.groupBy("node").agg(F.min("k").alias("k"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "similar-nodes")
+    twins = simhash_pairs(nodes.select("node", "fp"))
     dealt = nodes.select("node", F.explode("keys").alias("key"))
     least = written(dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "similar-buckets")
     shared = written(dealt.join(least, "key"), "similar-shared")
@@ -167,15 +191,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = written(small.unionAll(spokes).distinct(), "similar-pairs")
 
     # One row's text for each set that is to be compared.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionAll(crowded.select("node")).distinct()
+    wanted = pairs.unionAll(twins).select(F.explode(F.array("a", "b")).alias("node")).unionAll(crowded.select("node")).distinct()
     wanted = written(nodes.select("node", "k").join(wanted, "node", "left_semi"), "similar-wanted")
     sets = texts.select("k", "text").join(small_side(wanted), "k").select("node", "text").transform(mapped, _sets, "node long, shingles binary")
     sets = written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "similar-sets")
-    links = _confirm(pairs, sets, similarity)
+    close = _confirm(twins, sets, similarity)
+    joined = written(connected_components(close), "similar-parts")
+    rest = _confirm(_apart(pairs, joined), sets, similarity)
+    links = close.unionAll(rest)
     parts = written(connected_components(links), "similar-parts")
 
     side = written(crowded.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")), "similar-sides")
-    done = [shared, met, crowded, hubs, pairs, wanted, sets, links, side]
+    done = [shared, met, crowded, hubs, pairs, twins, wanted, sets, joined, close, rest, side]
     open_ = written(_open(side), "similar-open")
     if not open_.isEmpty():
         able = written(_able(open_, sets, similarity), "similar-able")
