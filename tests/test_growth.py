@@ -9,6 +9,7 @@ from tracewell.queries import organisation
 from tracewell.queries.pipeline import REGISTRY
 from tracewell.sources import mail as source_mail
 from tracewell.sources import messages, scratch
+from tracewell.streaming import campaigns
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,3 +81,19 @@ def test_indicators_broadcast_nothing_that_grows(spark):
     e = source_mail.emails(spark, SF)
     found = indicators.indicators(e, source_mail.suppliers(spark, SF), source_mail.ORGANISATION, REGISTRY, "secret")
     assert "BroadcastExchange" not in _plan(found)
+
+
+def test_a_campaign_batch_is_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+    rows = spark.sparkContext.parallelize([(i, "scam", "bank", "North Bank", f"s{i % 3}", ["a.com"], True) for i in range(20)], 2)
+    kinds = "msg_id long, verdict string, scam_type string, identity string, sender string, domains array<string>, share boolean"
+
+    def row(x):
+        made.add(1)
+        return x
+
+    batch = spark.createDataFrame(rows.map(row), kinds).withColumn("ts", F.timestamp_seconds("msg_id"))
+    store = campaigns.Campaigns(scratch.folder(spark, "campaigns"), 2)
+    store.record(batch, 0)
+    assert made.value == 20
+    assert [tuple(r) for r in store.known(spark).collect()] == [("north-bank", 20, 3, 1)]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.operators.links import slug
+from tracewell.sources.scratch import written
 from tracewell.streaming.store import KeyedStore
 
 #: Senders that a redaction has taken out name nobody. Fixed value.
@@ -43,7 +44,8 @@ class Campaigns:
 
     def record(self, batch: DataFrame, version: int) -> None:
         """Add a batch (msg_id, ts, verdict, scam_type, identity, sender, domains, share) as version ``version``. Messages whose senders don't share are left out of all stores."""
-        rows = self._flagged(batch).where("share")
+        # Three stores read them: fingerprints and names are made once.
+        rows = written(self._flagged(batch.where("share")).select("campaign", "scam_type", "identity", "sender", "domains", "ts"), "flagged")
         self.main.put(rows.select("campaign", "scam_type", "identity", F.lit(1).cast("long").alias("messages"), "ts"), version)
         sender = F.nullif(F.left(F.trim(F.regexp_replace("sender", r"\s+", " ")), F.lit(200)), F.lit(""))
         self.senders.put(rows.select("campaign", sender.alias("sender"), "ts").where(F.col("sender").isNotNull() & ~F.rlike("sender", F.lit(REDACTED))), version)

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.sources.scratch import written
+
 
 @dataclass(frozen=True)
 class KeyedStore:
@@ -75,7 +77,8 @@ class KeyedStore:
         spark = batch.sparkSession
         b = batch.where(F.col(self.time).isNotNull()).dropna(subset=list(self.keys))
         b = b.select(*self.keys, *self.merge, F.col(self.time).alias("first_at"), F.col(self.time).alias("last_at"), F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("bucket"))
-        b = self._merged(b)
+        # Read twice below, and what makes a batch may take long.
+        b = written(self._merged(b), "batch")
         touched = b.select("bucket").distinct()
         old = self._newest(spark, version).where("NOT marker").join(touched, "bucket", "left_semi").select(*b.columns)
         self._put(self._merged(b.unionByName(old)), touched, version)
