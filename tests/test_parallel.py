@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from tracewell.operators import evaluation, parallel
+from tracewell.operators import evaluation, parallel, spelling
+from tracewell.queries import parallel as queries
 
 PAIRS = [
     ("", "x", "invalid", ["empty_side"]), (None, "x", "invalid", ["empty_side"]), ("12 34", "dis", "invalid", ["no_letters"]), ("a�", "b", "invalid", ["replacement_char"]),
@@ -46,6 +50,29 @@ def test_nulls_and_empty_tables(spark):
     assert parallel.classified(spark.createDataFrame([], "source string, target string")).count() == 0
 
 
+def test_problems_are_found_once(spark):
+    plan = queries.translation_problems(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # Their patterns stand in one place, not in a filter on their number too.
+    assert plan.count(parallel.STRAY_MARKUP) == 2
+    assert r"[\t-\r ]+\z" not in plan
+
+
+@pytest.mark.parametrize("language", list(parallel.NEGATION))
+def test_denials_equal_their_plain_patterns(spark, language):
+    rng = random.Random(language)
+    parts = ["not", "NO", "nobody", "n't", "N’T", "can", "cannot", "ne", "n'", "n’", "pas", "aucune", "Pann", "zamai", "ſans", "é", "_", "7", "x", " ", ".", "'", "\n", "\u212a"]
+    d = spark.createDataFrame([("".join(rng.choice(parts) for _ in range(rng.randint(0, 5))),) for _ in range(3000)] + [(None,)], "t string")
+    plain = F.rlike("t", F.lit("(?i)" + parallel.NEGATION[language].replace("EDGE", spelling.EDGE)))
+    got = d.select("t", plain.alias("plain"), parallel._denies(F.col("t"), language).alias("quick"))
+    assert got.where("NOT plain <=> quick").count() == 0 and got.where("plain").count() > 100 and got.where("NOT plain").count() > 100
+
+
+def test_blanks_are_taken_off_both_ends_only(spark):
+    texts = ["", " ", "\t\n\v\f\r a \t b\u00a0\r\n", "\u00a0 a", "a" + " " * 5 + "b", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "t string").select(parallel._trimmed(F.col("t"))).collect()]
+    assert got == ["", "", "a \t b\u00a0", "\u00a0 a", "a     b", None]
+
+
 def test_case_summaries(spark):
     rows = [("a", ["X"], ["Y"], ["X", "Z"], "high"), ("a", ["X", "W"], [], ["X"], "low"), ("b", [], ["Y"], ["Y"], "medium"), ("b", None, None, None, "low")]
     d = spark.createDataFrame(rows, "family string, expected array<string>, forbidden array<string>, codes array<string>, level string")

@@ -17,6 +17,8 @@ WORD = r"[\p{L}\p{N}_'-]+"
 RATIO_WORDS, MOST_RATIO = 6, 3
 #: Words by which a text of each language denies something; ``EDGE`` stands where a word ends.
 NEGATION = {"mfe": "EDGE(?:pa|pann|zame|zamai|pena)EDGE", "en": "EDGE(?:not|never|no|nobody|neither|without|cannot)EDGE|n['’]tEDGE", "fr": "EDGE(?:ne|n['’]|pas|jamais|personne|sans|aucun|aucune)EDGE"}
+#: The letters that these words begin with.
+DENIAL_STARTS = {"mfe": "pz", "en": "ncw", "fr": "npjsa"}
 PLACEHOLDER = r"<[A-Z]+_[0-9]+>"
 STRAY_MARKUP = r"</?[A-Za-z][^<>]{0,40}>"
 NONSTANDARD = r"(?iu)(?<![\p{L}\p{N}'’])(?:u|nu|pu)(?![\p{L}\p{N}'’])"
@@ -30,7 +32,8 @@ _BLANK = r"[\t-\r ]+"
 
 
 def _trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{_BLANK}|{_BLANK}\z", "")
+    """Without blanks at its ends; a pattern would try each run of blanks anew from each of its places."""
+    return F.btrim(text, F.lit("\t\n\v\f\r "))
 
 
 def _has(text: Column, pattern: str) -> Column:
@@ -61,7 +64,10 @@ def classified(pairs: DataFrame) -> DataFrame:
 
 
 def _denies(text: Column, language: str) -> Column:
-    return _has(text, "(?i)" + NEGATION[language].replace("EDGE", spelling.EDGE))
+    """Only places of a letter that such words begin with are tried; before a letter, an edge is where no word character stands."""
+    words = NEGATION[language].replace("EDGE(?:", "(?<![A-Za-z0-9_])(?:").replace("EDGE", spelling.EDGE)
+    first = f"[{DENIAL_STARTS[language]}]"
+    return _has(text, f"(?i){first}(?<=(?={words}){first})")
 
 
 def checked(rows: DataFrame, source: str, target: str, deep: bool = True) -> DataFrame:
@@ -95,7 +101,7 @@ def checked(rows: DataFrame, source: str, target: str, deep: bool = True) -> Dat
         when(_has(ob, STRAY_MARKUP) & ~_has(ib, STRAY_MARKUP), "stray_markup"),
         when(F.length(o) > F.length(i) * MOST_LENGTH + MORE_LENGTH, "too_long"),
         when((iw >= SHORT_WORDS) & (ow < iw * F.lit(LEAST_WORDS)), "too_short"),
-        when((iw >= COPIED_WORDS) & (_trimmed(F.lower(o)) == _trimmed(F.lower(i))), "not_translated"),
+        when((iw >= COPIED_WORDS) & (F.lower(_trimmed(o)) == F.lower(_trimmed(i))), "not_translated"),
         when(F.col("_ni") != F.col("_no"), "negation_mismatch", F.when(F.col("_ni"), "lost").otherwise("added")),
         when(F.col("_id") != F.col("_od"), "number_mismatch"),
     ]
@@ -104,7 +110,8 @@ def checked(rows: DataFrame, source: str, target: str, deep: bool = True) -> Dat
     if deep:
         fits = F.array_contains("_mix.languages", "mfe") & (F.col("_scores.mfe") >= spelling.SECOND_LANGUAGE) if target == "mfe" else F.col("_mix.primary") == target
         parts.append(when((ow >= LANGUAGE_WORDS) & ~fits, "wrong_language", F.col("_mix.primary")))
-    return d.withColumn("problems", F.when(_trimmed(o) == "", F.array(problem("empty_output", F.lit("")))).otherwise(F.concat(*parts))).select(*rows.columns, "problems")
+    # Who explodes them has a filter on their number: it must not hold all of this again.
+    return offsets.computed(d, problems=F.when(_trimmed(o) == "", F.array(problem("empty_output", F.lit("")))).otherwise(F.concat(*parts))).select(*rows.columns, "problems")
 
 
 def _digits(column: str) -> Column:
