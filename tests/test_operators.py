@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import collections
 import json
+import random
+import re
 from datetime import date, datetime
 
 import pytest
@@ -12,7 +15,7 @@ from tracewell.functions import hosts, text
 from tracewell.operators import community, lexicon
 from tracewell.plans import radar, scoring
 from tracewell.plans.ruleset import ruleset
-from tracewell.sources import files
+from tracewell.sources import files, messages
 from tracewell.streaming import counters
 
 SIGNAL = "msg_id long, ord int, code string, source_type string, variant string, host string"
@@ -87,6 +90,47 @@ def test_phrases(spark):
     assert {CASES[i][0]: got.get(i, set()) for i in range(len(CASES))} == dict(CASES)
 
 
+def _samples(pattern, rng):
+    """A text that the pattern may match, by its parsed form; what it looks ahead or back for is left to chance."""
+    out = []
+    for op, arg in pattern:
+        kind = str(op)
+        if kind == "LITERAL":
+            out.append(chr(arg))
+        elif kind == "IN":
+            one = rng.choice(arg)
+            out.append({"LITERAL": lambda a: chr(a), "RANGE": lambda a: chr(a[0]), "CATEGORY": lambda a: {"DIGIT": "7", "SPACE": " "}.get(str(a).split("_")[1], "x"), "NEGATE": lambda a: " "}[str(one[0])](one[1]))
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += [_samples(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1)))]
+        elif kind == "BRANCH":
+            out.append(_samples(rng.choice(arg[1]), rng))
+        elif kind == "SUBPATTERN":
+            out.append(_samples(arg[3], rng))
+    return "".join(out)
+
+
+def test_patterns_match_only_texts_with_a_needed_string(spark):
+    rng, rows = random.Random(7), []
+    swaps = {"s": "Sſ", "i": "Iıİ", "k": "K\u212a"}
+    rules = [*lexicon.RULES, ("SOC-07", "mixed", "", lexicon.INJECTION), ("ID-05", "mixed", "", lexicon.TEMPLATE_MARK)]
+    for n, (*_, pattern) in enumerate(rules):
+        for _ in range(150):
+            text = _samples(re._parser.parse(pattern), rng)
+            rows.append((n, rng.choice(["", " ", "é ", "é"]) + "".join(rng.choice(swaps.get(c, c.upper())) if rng.random() < 0.2 else c for c in text)))
+    d = spark.createDataFrame(rows, "n int, text string").withColumn("lowered", lexicon.plain(F.col("text")))
+    t, by_rule = F.col("text"), lambda cols: F.get(F.array(*cols), F.col("n"))
+    plain = by_rule([F.rlike(t, F.lit("(?iu)" + p.replace(r"\b", r"(?U:\b)"))) for *_, p in rules])
+    got = d.select("n", "text", plain.alias("plain"), by_rule([F.rlike(t, F.lit(lexicon.java(p))) for *_, p in rules]).alias("quick"), by_rule([lexicon.may_match(F.col("lowered"), c, lang) for c, lang, *_ in rules]).alias("may")).collect()
+    assert [r for r in got if r["plain"] != r["quick"] or (r["plain"] and not r["may"])] == []
+    matched = collections.Counter(r["n"] for r in got if r["plain"])
+    assert all(matched[n] for n in range(len(rules))), matched
+
+
+def test_patterns_are_tried_where_they_may_match(spark):
+    plan = lexicon.detect(messages.messages(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(lowered") >= len(lexicon.RULES)
+
+
 def test_evidence_is_cut_from_the_text(spark):
     m = spark.createDataFrame([(1, "😀 hello, please send me your OTP code now")], "msg_id long, text string")
     r = lexicon.detect(m).where("code = 'SEC-01'").first()

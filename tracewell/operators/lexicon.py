@@ -8,7 +8,10 @@ signal. All rules run on all messages, as expressions.
 
 from __future__ import annotations
 
+import operator
+import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,6 +84,52 @@ INJECTION = "|".join([
     r"\bignorez (?:toutes )?les instructions\b",
 ])
 TEMPLATE_MARK = r"\{\{\s*[.#/]?[\w.]+\s*\}\}|\{%\s*[.#/]?[\w. ]+\s*%\}|%%[\w.]+%%"
+#: What a match of a rule holds one of, in lower case; the rest of the texts needn't be tried.
+NEEDS = {
+    ("SEC-01", "mixed"): "otp|code|pin|password|mot de passe|modpas|cvv|cvc|kod",
+    ("SEC-01", "en"): "what is |what was ",
+    ("SEC-03", "en"): "password|passcode",
+    ("SEC-03", "fr"): "mot de passe",
+    ("SEC-03", "mfe"): "modpas",
+    ("SEC-02", "mixed"): "anydesk|teamviewer|quick|rustdesk|ultraviewer|remote |screen",
+    ("PAY-03", "en"): "safe account|secure account|safety account|protected account|holding account|move |transfer ",
+    ("PAY-03", "fr"): "compte s|compte de s|compte temporaire",
+    ("PAY-03", "mfe"): "kont sekiri|kont provizwar",
+    ("PAY-02", "mixed"): "gift|google play|itunes|steam card|amazon|bitcoin|btc|crypto|usdt|binance|western union|moneygram|cash courier|cadeau|kart kado",
+    ("PAY-04", "en"): "fee|starter kit",
+    ("PAY-04", "fr"): "frais d",
+    ("PAY-04", "mfe"): "fre |frais ",
+    ("PAY-07", "en"): " details|new account |new bank account ",
+    ("PAY-07", "fr"): "changement de banque|nouveau compte|nouvelles coordonn",
+    ("PAY-07", "mfe"): "detail la banque|nouvo compte|nouvo kont",
+    ("PAY-01", "en"): "pay|send|transfer|deposit|remit|wire",
+    ("PAY-01", "fr"): "paye|glez|gler|envoye|virez|verse|effectuer le paiement|faire un virement",
+    ("PAY-01", "mfe"): "pey|avoy|envoye|fer transfer|fer enn transfer|depoz|investi|bizin rs",
+    ("SOC-03", "en"): "tell |keep this |keep it |t inform |t contact |t call |between you and me|between us",
+    ("SOC-03", "fr"): "n'en parle|dites |gardez ",
+    ("SOC-03", "mfe"): "pa dir |pa koz|gard sa ",
+    ("SOC-08", "en"): "bypass |skip |without |t go through |t involve |t copy |t cc |t loop in |no need to ",
+    ("SOC-08", "fr"): "sans |contourn|inutile de ",
+    ("SOC-08", "mfe"): "pa bizin |pa pas par ",
+    ("SOC-02", "en"): "suspend|locked|frozen|closed|deactivated|terminated|restricted|legal action|prosecut|arrest|penalt|be fined|permanent|lose access",
+    ("SOC-02", "fr"): "suspendu|bloqu|gel|sactiv|poursuites|nalit|amende",
+    ("SOC-02", "mfe"): "bloke|sispan|penalite|prosekision|lapolis",
+    ("SOC-01", "en"): "urgent|immediately|right away|asap|act now|within |minute|hour|before midnight|today only|expire|last chance|final ",
+    ("SOC-01", "fr"): "urgent|diatement|sans d|dans les |sous |avant |dernier |au plus vite",
+    ("SOC-01", "mfe"): "deswit|touswit|tousuit|toutswit|zordi mem|vit vit|avan |dan ",
+    ("SOC-04", "en"): "whatsapp|telegram|viber|signal|call this number|call the following number|call our number|reply to this number",
+    ("SOC-04", "fr"): "whatsapp|telegram|appelez ",
+    ("SOC-04", "mfe"): "sa nimero|whatsapp|telegram|viber",
+    ("SOC-05", "en"): " won|winner|prize|lottery|jackpot|refund|cashback",
+    ("SOC-05", "fr"): "vous avez gagn|gagnant|loterie|remboursement",
+    ("SOC-05", "mfe"): " gagn|nn gagn|loterie|ranbours|remboursement",
+    ("SOC-10", "en"): "by mistake|by accident",
+    ("SOC-10", "fr"): "par erreur",
+    ("SOC-10", "mfe"): "par erer",
+    ("SOC-09", "en"): "no survey|direct download link|keygen|serial key|activation key|repack|crack|version",
+    ("SOC-07", "mixed"): f"ignore|disregard |forget |safe|legit|scam|harmless|benign|system|assistant|developer|[|untrusted_message|instruction|{CHECKER}|as an ai",
+    ("ID-05", "mixed"): "{{|{%|%%",
+}
 NEGATION = r"\b(?:never|not|don'?t|do not|no one|nobody|ne|jamais|pa|pann|zame|zamai)\b|\bn'"
 CONDITION = r"\b(?:if|unless|si|sinon|otherwise)\b"
 CONTACT = "|".join([
@@ -96,11 +145,26 @@ DETERMINER = r"\b(?:a|an|the|this|that|your|my|enn|sa)\s+$"
 
 #: A word edge that knows accented letters; only this sign takes the Unicode classes.
 _EDGE = r"(?U:\b)"
+_OUTSIDE = r"(?-iu:(?<![A-Za-z0-9_]))"
 
 
 def java(pattern: str) -> str:
-    """The pattern for Spark: letters of any case, and word edges that know accented letters."""
-    return "(?iu)" + pattern.replace(r"\b", _EDGE)
+    """The pattern for Spark: letters of any case, and word edges that know accented letters.
+
+    Where an alternative begins with an edge, a plain letter follows; so within
+    a plain word the edge, which takes long, needn't be tried.
+    """
+    return "(?iu)" + re.sub(r"(^|\|)\\b", lambda m: m[1] + _OUTSIDE + r"\b", pattern).replace(r"\b", _EDGE)
+
+
+def plain(text: Column) -> Column:
+    """Lower-cased, with the other characters that stand for s, i and k where case doesn't count (ſ, ı, İ and the kelvin sign); ``NEEDS`` are looked up in it."""
+    lowered = F.lower(text)
+    return F.when(F.octet_length(text) == F.length(text), lowered).otherwise(F.translate(lowered, "ſı\u0307", "si"))
+
+
+def may_match(lowered: Column, code: str, lang: str) -> Column:
+    return reduce(operator.or_, [F.contains(lowered, F.lit(x)) for x in NEEDS[code, lang].split("|")])
 
 
 @dataclass(frozen=True)
@@ -152,15 +216,14 @@ def _surviving(text: Column, pattern: str, guards: str, lang: str) -> Column:
     """
     regex = F.lit(java(pattern))
     hit = lambda start, found: F.struct(F.lit(lang).alias("lang"), start.alias("start"), found.alias("evidence"))
-    pieces = F.split(text, java(pattern), -1)
     if not guards:
-        return F.when(F.rlike(text, regex), hit(F.length(F.get(pieces, F.lit(0))), F.regexp_extract(text, java(pattern), 0)))
-    found = F.regexp_extract_all(text, regex, F.lit(0))
-    matches = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda gap, x: F.struct(gap.alias("gap"), x.alias("found")))
+        return F.when(F.rlike(text, regex), hit(F.length(F.get(F.split(text, java(pattern), 2), F.lit(0))), F.regexp_extract(text, java(pattern), 0)))
+    # There is a piece more than matches: the last has none.
+    matches = F.zip_with(F.split(text, java(pattern), -1), F.regexp_extract_all(text, regex, F.lit(0)), lambda gap, x: F.struct(gap.alias("gap"), x.alias("found")))
 
     def step(state: Column, m: Column) -> Column:
         start = state["at"] + F.length(m["gap"])
-        kept = F.when(~_suppressed(_Match(text, start, m["found"]), guards), hit(start, m["found"]))
+        kept = F.when(m["found"].isNotNull() & state["hit"].isNull() & ~_suppressed(_Match(text, start, m["found"]), guards), hit(start, m["found"]))
         return F.struct((start + F.length(m["found"])).alias("at"), F.coalesce(state["hit"], kept).alias("hit"))
 
     zero = F.struct(F.lit(0).alias("at"), F.lit(None).cast("struct<lang:string,start:int,evidence:string>").alias("hit"))
@@ -172,15 +235,16 @@ def detect(messages: DataFrame) -> DataFrame:
 
     Patterns run once per distinct text; copies of a message share the work.
     Distinct texts are few bytes and much work, so they are dealt by number,
-    which adaptive execution leaves alone. The rules of a code stand in one
+    which adaptive execution leaves alone. A rule's pattern is tried on texts
+    that hold one of the strings it needs. The rules of a code stand in one
     coalesce, which ends at the first that matches. Messages find their text's
     hits by its 128-bit hash.
     """
     n = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = messages.select("text").distinct().repartition(n)
     t = F.col("text")
+    texts = offsets.computed(messages.select("text").distinct().repartition(n), lowered=plain(t))
     rules = [*RULES, ("SOC-07", "mixed", "", INJECTION), ("ID-05", "mixed", "", TEMPLATE_MARK)]
-    hits = [F.struct(F.lit(code).alias("code"), F.coalesce(*[_surviving(t, pattern, guards, lang) for c, lang, guards, pattern in rules if c == code]).alias("hit")) for code in dict.fromkeys(c for c, *_ in rules)]
+    hits = [F.struct(F.lit(code).alias("code"), F.coalesce(*[F.when(may_match(F.col("lowered"), c, lang), _surviving(t, pattern, guards, lang)) for c, lang, guards, pattern in rules if c == code]).alias("hit")) for code in dict.fromkeys(c for c, *_ in rules)]
     rows = texts.select(F.md5(t.cast("binary")).alias("key"), F.explode(F.array(*hits)).alias("x")).where("x.hit IS NOT NULL")
     keyed = messages.select("msg_id", F.md5(t.cast("binary")).alias("key"))
     return keyed.join(rows, "key").select("msg_id", "x.code", "x.hit.lang", F.col("x.hit.start").cast("long").alias("start"), "x.hit.evidence")
